@@ -191,9 +191,11 @@ def _unbits(b: bytes, n: int) -> np.ndarray:
     return np.unpackbits(blocks.unpack(b, -(-n // 8), np.uint8), count=n).astype(bool)
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, block_bytes: int = blocks.BLOCK_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, block_bytes: int = blocks.BLOCK_BYTES, as_text: bool = False) -> DataFrame:
     """``docs`` without the text, with COLUMNS: removed byte ranges, and the bytes that stay.
 
+    ``as_text``: what stays is a string, without what a cut has left of a character.
+
     The key must be an integer. ``docs`` must have no column named as one of COLUMNS or ``_block``.
     """
     rest = [c for c in docs.columns if c != text]
@@ -256,14 +258,15 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)), spans)
         kept = data[~covered].tobytes()
         cuts = np.r_[0, np.cumsum(size - removed)]
+        parts = [kept[a:b].decode("utf-8", "ignore") if as_text else kept[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         out = table.select(rest).take(pa.array(order))
-        for name, column in zip(("n_bytes", "n_removed", "removed", "kept"), (pa.array(size), pa.array(removed), lists, pa.array([kept[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())), strict=True):
+        for name, column in zip(("n_bytes", "n_removed", "removed", "kept"), (pa.array(size), pa.array(removed), lists, pa.array(parts, pa.string() if as_text else pa.binary())), strict=True):
             out = out.append_column(name, column)
         return out
 
 
 
-    kinds = dict(COLUMNS) | {"removed": T.ArrayType(T.StructType().add("start", "long").add("end", "long"))}
+    kinds = dict(COLUMNS) | {"removed": T.ArrayType(T.StructType().add("start", "long").add("end", "long")), "kept": "string" if as_text else "binary"}
     schema = widened(docs.select(*rest).schema, *kinds.items())
     asked = blocks.ask(dealt, send)
     return blocks.conclude(dealt, blocks.ask(dealt, send, asked, heard), finish, schema)
