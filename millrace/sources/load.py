@@ -180,7 +180,7 @@ def _delimited(c: Context, source: str, form: str, name: str, infer: str, option
     df = reader.schema(T.StructType([T.StructField(x, T.StringType()) for x in raw])).csv(source)
     df = df.withColumn(ORDER, F.monotonically_increasing_id()) if c.ordered or skip else df
     if skip:  # the lines up to the header: the first rows of the file
-        df = df.where(F.col(ORDER) >= F.lit(skip))
+        df = df.where(F.col(ORDER) >= F.lit(_records(lines, skip)))
     blank = None
     for x in raw:
         b = F.coalesce(F.col(x), F.lit("")) == ""
@@ -208,6 +208,11 @@ def _first_row(parsed: list[list[str]]) -> int:
     return next((i for i, w in enumerate(widths) if w >= usual or w > 1), 0)
 
 
+def _records(lines: list[str], upto: int) -> int:
+    """How many of the first lines Spark's reader gives as rows: it leaves out empty ones."""
+    return sum(1 for line in lines[:upto] if line.strip())
+
+
 def infer_text(values: Iterable[str]) -> str:
     """The narrowest type that all texts fit, but for empty ones."""
     given = [v.strip() for v in values if v and v.strip()]
