@@ -28,6 +28,8 @@ from .common import ByteHash, chunks, mix64, utf8, widened
 
 LENGTH = 100
 GRAM = 32
+#: Minimisers and factor arrays are worked out for about so many bytes at a time, to bound a task's memory.
+_CHUNK = 1 << 20
 COLUMNS = (("n_bytes", "long"), ("n_removed", "long"), ("removed", "array<struct<start:bigint,end:bigint>>"), ("kept", "binary"))
 
 
@@ -43,14 +45,14 @@ def ranks(symbols: np.ndarray, depth: int) -> list[tuple[int, np.ndarray]]:
     out, length = [], min(per, depth)
     while True:
         _, rank = np.unique(key, return_inverse=True)
-        rank = rank.astype(np.int64) + 1
+        rank = (rank + 1).astype(np.int32)
         out.append((length, rank))
         if length >= depth:
             return out
         step = min(length, depth - length)
         behind = np.zeros(n, dtype=np.int64)
         behind[: max(n - step, 0)] = rank[step:]
-        key, length = rank * (n + 2) + behind, length + step
+        key, length = rank.astype(np.int64) * (n + 2) + behind, length + step
 
 
 def previous_factors(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,7 +68,7 @@ def previous_factors(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.nd
     common = np.where(same, depth, 0)
     off = np.zeros(n - 1, dtype=np.int64)
     for length, rank in reversed(levels[:-1]):
-        padded = np.r_[rank, np.zeros(depth + 1, dtype=np.int64)]
+        padded = np.r_[rank, np.zeros(depth + 1, dtype=np.int32)]
         a, b = padded[left + off], padded[right + off]
         off += np.where((a == b) & (a > 0) & ~same, length, 0)
     padded = np.r_[symbols, np.zeros(depth + 8, dtype=np.int64)]
@@ -110,13 +112,15 @@ def minimisers(h: np.ndarray, width: int) -> np.ndarray:
 
 
 class Scan:
-    """Minimisers of a block's texts: places, hashes, hashes of their surroundings; and each string's minimiser."""
+    """Minimisers of a block's texts: places, hashes, hashes of their surroundings; and in ``runs``, if asked for, the strings of each
+    chunk of texts with their minimisers' numbers."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int, strings: bool):
         gram = min(GRAM, length)
-        places, hashes, around, strings, owner = [], [], [], [], []
+        hashes, around = [], []
+        self.runs: list[tuple[np.ndarray, np.ndarray]] = []
         seen = 0
-        for a, b in chunks(offsets):
+        for a, b in chunks(offsets, _CHUNK):
             lo, hi = offsets[a], offsets[b]
             part, off = data[lo:hi], offsets[a : b + 1] - lo
             if len(part) < length:
@@ -128,18 +132,19 @@ class Scan:
             string = np.flatnonzero(np.arange(len(first)) + length <= end)
             if not len(string):
                 continue
-            place, which = np.unique(first[string], return_inverse=True)
-            begin, stop = np.repeat(off[:-1], np.diff(off))[place], np.repeat(off[1:], np.diff(off))[place]
-            x, y = np.maximum(place - (length - gram), begin), np.minimum(place + length, stop)
-            places.append(place + lo)
+            mine = first[string]  # never falls, so equal ones stand together
+            new = np.ones(len(mine), dtype=bool)
+            new[1:] = mine[1:] != mine[:-1]
+            place = mine[new]
+            text = np.searchsorted(off, place, side="right") - 1
+            x, y = np.maximum(place - (length - gram), off[text]), np.minimum(place + length, off[text + 1])
             hashes.append(h[place])
             around.append(mix64(of(x, y) + (place - x).astype(np.uint64)))
-            strings.append(string + lo)
-            owner.append(which + seen)
+            if strings:
+                self.runs.append(((string + lo).astype(np.int32 if hi < 1 << 31 else np.int64), (np.cumsum(new) - 1 + seen).astype(np.int32)))
             seen += len(place)
-        join = lambda x, kind: np.concatenate([np.zeros(0, dtype=kind), *x])
-        self.place, self.hash, self.around = join(places, np.int64), join(hashes, np.uint64), join(around, np.uint64)
-        self.string, self.owner = join(strings, np.int64), join(owner, np.int64)
+        none = np.zeros(0, dtype=np.uint64)
+        self.hash, self.around = np.concatenate([none, *hashes]), np.concatenate([none, *around])
 
 
 def _arranged(table: pa.Table, key: str, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -164,24 +169,42 @@ def _string_hashes(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
 
 
 def _new_in_block(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-    """Which of the strings at ascending places don't start earlier among them."""
-    if not len(at):
-        return np.zeros(0, dtype=bool)
+    """Which of the strings at ascending places don't start earlier, as far as factor arrays over parts of the block tell."""
     # fragments: runs of places whose strings overlap (so within a text), each followed by a separator
     cut = np.flatnonzero(np.diff(at) >= length) + 1
-    heads, tails = at[np.r_[0, cut]], at[np.r_[cut - 1, len(at) - 1]] + length
+    starts, stops = np.r_[0, cut], np.r_[cut, len(at)]
+    room = np.cumsum(at[stops - 1] - at[starts] + length + 1) if len(at) else np.zeros(0, dtype=np.int64)
+    out, done = np.ones(len(at), dtype=bool), 0
+    while len(at) and done < len(starts):
+        base = room[done - 1] if done else 0
+        end = max(done + 1, int(np.searchsorted(room, base + _CHUNK, side="right")))
+        a, b = starts[done], stops[end - 1]
+        out[a:b] = _new_in_part(data, at[a:b], length)
+        done = end
+    return out
+
+
+def _new_in_part(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    cut = np.flatnonzero(np.diff(at) >= length) + 1
+    heads, tails = at[np.r_[0, cut]].astype(np.int64), at[np.r_[cut - 1, len(at) - 1]].astype(np.int64) + length
     sizes = tails - heads + 1
     begin = np.cumsum(sizes) - sizes
     symbols = np.full(sizes.sum(), 257, dtype=np.int64)
-    inside = np.repeat(heads - begin, sizes) + np.arange(len(symbols))
     real = np.ones(len(symbols), dtype=bool)
     real[begin + sizes - 1] = False
+    inside = np.repeat(heads - begin, sizes) + np.arange(len(symbols))
     symbols[real] = data[inside[real]].astype(np.int64) + 1
     factor, _ = previous_factors(symbols, length)
     run = np.searchsorted(heads, at, side="right") - 1
     return factor[at - heads[run] + begin[run]] < length
 
 
+def _cover(delta: np.ndarray, at: np.ndarray, length: int) -> None:
+    """Notes strings at distinct places as covered."""
+    delta[at] += 1
+    delta[at + length] -= 1
+
+
 def _bits(flags: np.ndarray) -> bytes:
     packed = np.packbits(flags)
     return blocks.pack(packed)
@@ -209,28 +232,29 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
 
     def send(block: int, table: pa.Table) -> list[tuple]:
         _, data, offsets = _arranged(table, key, text)
-        found = facts(Scan(data, offsets, length))
+        found = facts(Scan(data, offsets, length, False))
         return [m for kind, (keys, _, _, counts) in enumerate(found) for m in blocks.messages(block, kind, keys, counts, buckets)]
 
     def heard(block: int, table: pa.Table, answers: blocks.Answers) -> list[tuple]:
         _, data, offsets = _arranged(table, key, text)
-        scan = Scan(data, offsets, length)
+        scan = Scan(data, offsets, length, True)
         (_, _, of_hash, _), (_, first, of_around, _) = facts(scan)
         total, alike, new = answers.totals(0)[of_hash], answers.totals(1)[of_around], answers.first(1)[of_around]
         new &= first[of_around] == np.arange(len(of_around))
         open_ = new & (alike < total)  # first of its surroundings, but the minimiser occurs in others
         covered = np.zeros(len(data) + 1, dtype=np.int32)
-        gone = scan.string[~new[scan.owner]]
-        left = scan.string[open_[scan.owner]]
+        for string, owner in scan.runs:
+            _cover(covered, string[~new[owner]], length)
+        left = np.concatenate([np.zeros(0, dtype=np.int64), *(string[open_[owner]] for string, owner in scan.runs)])
+        del scan
         fresh = _new_in_block(data, left, length)
-        for at in (gone, left[~fresh]):
-            np.add.at(covered, at, 1)
-            np.add.at(covered, at + length, -1)
-        left = left[fresh]
+        keys, first = np.unique(_string_hashes(data, left[fresh], length), return_index=True)
+        asked = np.zeros(len(left), dtype=bool)
+        asked[np.flatnonzero(fresh)[first]] = True
+        _cover(covered, left[~asked], length)
         asks = np.zeros(len(data), dtype=bool)
-        asks[left] = True
-        keys = np.unique(_string_hashes(data, left, length))
-        state = [(block % buckets, block, kind, len(data), b"", _bits(flags)) for kind, flags in ((-1, np.cumsum(covered[:-1]) > 0), (-2, asks))]
+        asks[left[asked]] = True
+        state = [(block % buckets, block, kind, len(data), b"", _bits(flags)) for kind, flags in ((-1, np.cumsum(covered[:-1], dtype=np.int32) > 0), (-2, asks))]
         return [*state, *blocks.messages(block, 2, keys, None, buckets)]
 
     def finish(block: int, table: pa.Table, answers: blocks.Answers) -> pa.Table:
@@ -242,9 +266,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         _, which = np.unique(h, return_inverse=True)
         gone = asks[~answers.first(2)[which]] if len(asks) else asks
         delta = np.zeros(len(data) + 1, dtype=np.int32)
-        np.add.at(delta, gone, 1)
-        np.add.at(delta, gone + length, -1)
-        covered |= np.cumsum(delta[:-1]) > 0
+        _cover(delta, gone, length)
+        covered |= np.cumsum(delta[:-1], dtype=np.int32) > 0
         n, size = len(offsets) - 1, np.diff(offsets)
         edge = np.zeros(len(data) + 1, dtype=bool)
         edge[offsets] = True
