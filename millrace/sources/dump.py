@@ -21,6 +21,7 @@ from ..flow import Context, Step, with_order
 from ..functions.text import col, python_text, python_time_pattern
 from ..package import ORDER, Package, Resource, select
 from ..schema import TableSchema
+from . import xlsx
 
 #: How dates and times are written unless a field says otherwise.
 PATTERNS = {"date": "%Y-%m-%d", "datetime": "%Y-%m-%dT%H:%M:%S", "time": "%H:%M:%S"}
@@ -125,6 +126,25 @@ def _write_one(r: Resource, form: str, out: Any, titles: bool, temporal: str | N
     return count, put.size, put.hash.hexdigest()
 
 
+def _write_book(r: Resource, out: Any, titles: bool, temporal: str | None, options: dict, place: Any, path: str) -> tuple[int, int, str]:
+    """A workbook with the resource's sheet; rows, bytes, md5. ``sheetname``: its name; ``update_existing``: other sheets stay."""
+    header = [f.get("title", f["name"]) if titles else f["name"] for f in r.schema.fields]
+    raw = {f["name"] for f in r.schema.fields if f["type"] in ("integer", "number", "boolean", "year")}
+    columns = [(col(f["name"]).cast("double") if f["type"] == "number" else col(f["name"])) if f["name"] in raw else _text(r, f, temporal) for f in r.schema.fields]
+    rows = r.df.orderBy(ORDER).select(*[c.alias(f"c{i}") for i, c in enumerate(columns)]).toLocalIterator(prefetchPartitions=True)
+
+    def lines() -> Iterator[Any]:
+        yield header
+        yield from rows
+
+    existing = place.existing(path) if options.get("update_existing") else None
+    beside = io.BytesIO()
+    count = xlsx.write(beside, options.get("sheetname") or r.name[:31], lines(), existing) - 1
+    data = beside.getvalue()
+    out.write(data)
+    return count, len(data), hashlib.md5(data).hexdigest()
+
+
 def _path(r: Resource, form: str, forced: bool) -> tuple[str, str | None]:
     """Where a resource goes, and in which format; None where its name's ending has none."""
     path = r.properties.get("path") or f"{r.name}.{form}"
@@ -133,12 +153,12 @@ def _path(r: Resource, form: str, forced: bool) -> tuple[str, str | None]:
     if forced:
         return os.path.splitext(path)[0] + "." + form, form
     end = os.path.splitext(path)[1].lstrip(".")
-    return path, end if end in ("csv", "json", "geojson") else None
+    return path, end if end in ("csv", "json", "geojson", "xlsx") else None
 
 
 def _dump(name: str, form: str, forced: bool, titles: bool, temporal: str | None, options: dict, target: Callable) -> Step:
     """Files of all resources, then the descriptor. ``target`` opens a place to put them."""
-    if form not in ("csv", "json", "geojson", "parquet"):
+    if form not in ("csv", "json", "geojson", "xlsx", "parquet"):
         raise ValueError(f"no format {form!r}")
 
     def plan(package: Package, c: Context) -> Package:
@@ -158,7 +178,7 @@ def _dump(name: str, form: str, forced: bool, titles: bool, temporal: str | None
                 done.append(r)
                 continue
             with place.file() as (out, publish):
-                count, n, digest = _write_one(r, kind, out, titles, temporal)
+                count, n, digest = _write_book(r, out, titles, temporal, options, place, path) if kind == "xlsx" else _write_one(r, kind, out, titles, temporal)
                 if options.get("add_filehash_to_path"):
                     path = f"{os.path.dirname(path)}/{digest}/{os.path.basename(path)}".lstrip("/")
                 publish(path)
@@ -217,6 +237,9 @@ class _Folder:
 
         return _Opened(lambda: (out, publish), lambda ok: out.close())
 
+    def existing(self, path: str) -> str | None:
+        return os.path.join(self.path, path)
+
     def table(self, r: Resource) -> DataFrame:
         path = os.path.join(self.path, r.name)
         r.rows.write.mode("overwrite").parquet(path)
@@ -248,6 +271,9 @@ class _Archive:
 
         return _Opened(lambda: (out, publish), lambda ok: out.close())
 
+    def existing(self, path: str) -> str | None:
+        return None
+
     def table(self, r: Resource) -> DataFrame:
         raise ValueError("Parquet goes to folders only")
 

@@ -319,11 +319,15 @@ def _xlsx(source: str, sheet: Any = None) -> list[dict]:
     rows = []
     for row in root.iter(f"{space}row"):
         cells: dict[int, str] = {}
+        at = 0
         for cell in row:
-            letters = re.match(r"[A-Z]+", cell.get("r", "A1"))[0]
-            at = 0
-            for x in letters:
-                at = at * 26 + ord(x) - 64
+            if "r" in cell.attrib:  # else it stands behind the one before
+                place = 0
+                for x in re.match(r"[A-Z]+", cell.get("r"))[0]:
+                    place = place * 26 + ord(x) - 64
+                at = place
+            else:
+                at += 1
             value = cell.find(f"{space}v")
             inline = cell.find(f"{space}is")
             text = "".join(t.text or "" for t in inline.iter(f"{space}t")) if inline is not None else "" if value is None else value.text or ""

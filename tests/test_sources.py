@@ -137,6 +137,24 @@ def test_sql_modes(spark, tmp_path):
         m.Flow(m.load(engine)).results()
 
 
+def test_workbooks(spark, tmp_path):
+    data = [{"s": "a<b", "n": 1, "f": 1.5, "b": True, "d": dt.date(2020, 1, 2)}, {"s": None, "n": None, "f": None, "b": None, "d": None}]
+    m.Flow(data, m.dump_to_path(str(tmp_path), format="xlsx")).process()
+    m.Flow([{"x": 1}], m.update_resource(-1, path="res_1.csv"), m.dump_to_path(str(tmp_path), format="xlsx", sheetname="other", update_existing=True)).process()
+    out = rows(m.load(str(tmp_path / "res_1.xlsx")))
+    assert out[0] == data[0] and len(out) == 1  # a row without any value is left out
+    assert rows(m.load(str(tmp_path / "res_1.xlsx"), sheet=2)) == [{"x": 1}]
+
+
+def test_questionnaire_writes_a_flow(spark, tmp_path, put):
+    from millrace.cli import main
+
+    answers = iter([put("a.csv", "x,y\n2,b\n1,a\n"), "", "data", "x > 0", "x", "json", str(tmp_path / "out"), "y"])
+    assert main(["init", str(tmp_path / "flow.py")], lambda _: next(answers)) == 0
+    assert json.loads((tmp_path / "out" / "a.json").read_text()) == [{"x": 1, "y": "a"}, {"x": 2, "y": "b"}]
+    assert main([]) == 2
+
+
 def test_stream_round_trip(spark, tmp_path):
     path = str(tmp_path / "s.ndjson")
     m.Flow(DATA, [{"z": 1}], m.stream(path)).results()
