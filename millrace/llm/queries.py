@@ -42,7 +42,8 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = F.coalesce(langid.fold("doc_id", 5) == 1, F.lit(True))
-    return lm.score(docs.withColumn("held_out", held), ~F.col("held_out"))
+    scored = lm.score(docs.withColumn("held_out", held), ~F.col("held_out"))
+    return scored.withColumns({n: F.round(n, 6) for n in ("base_score", "score")})  # sums depend on their order beyond that
 
 
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,8 +98,47 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc": op10_warc,
 }
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"list_filter(string_split_regex({_LOWER}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
 #: DuckDB SQL for the queries that it can express.
 ORACLE_SQL: dict[str, str] = {
+    "op2_near_duplicates": rf"""
+        WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS words FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(words, i, i + 3), ' ') AS g
+              FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 1) + 1)) AS i FROM w WHERE len(words) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+        l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 80 * (nx.n + ny.n - c)),
+        e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+        r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.y FROM r JOIN e ON r.b = e.x),
+        root AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
+        SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM documents JOIN root USING (doc_id) LEFT JOIN n USING (doc_id)
+    """,
+    "op4_language_model": rf"""
+        WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} || [' '] AS words FROM documents),
+        bits AS (SELECT i, 0 AS k, CAST(i AS UINTEGER) AS c FROM range(256) t(i)
+                 UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UINTEGER) ELSE c >> 1 END FROM bits WHERE k < 8),
+        tab AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+        crc AS (SELECT doc_id, 1 AS k, CAST(doc_id AS VARCHAR) AS v, 4294967295::UINTEGER AS c FROM documents
+                UNION ALL SELECT doc_id, k + 1, v, xor(c >> 8, t[CAST(xor(c & 255, CAST(ascii(v[k]) AS UINTEGER)) AS BIGINT) + 1]) FROM crc, tab WHERE k <= length(v)),
+        held AS (SELECT doc_id, xor(c, 4294967295::UINTEGER) % 5 = 1 AS held_out FROM crc WHERE k = length(v) + 1),
+        t AS (SELECT doc_id, held_out, i, words[i] AS w, CASE WHEN i > 1 THEN words[i - 1] ELSE '  ' END AS v, CASE WHEN i > 2 THEN words[i - 2] WHEN i = 2 THEN '  ' END AS u
+              FROM (SELECT doc_id, held_out, words, unnest(range(1, len(words) + 1)) AS i FROM d JOIN held USING (doc_id))),
+        c1 AS (SELECT w, count(*) AS n FROM t WHERE NOT held_out GROUP BY ALL),
+        c2 AS (SELECT v, w, count(*) AS n FROM t WHERE NOT held_out GROUP BY ALL),
+        c3 AS (SELECT u, v, w, count(*) AS n FROM t WHERE NOT held_out AND u IS NOT NULL GROUP BY ALL),
+        h1 AS (SELECT w, n FROM c1 UNION ALL SELECT '  ', count(*) FROM held WHERE NOT held_out),
+        z AS (SELECT sum(n) AS n, count(*) AS v FROM c1),
+        q AS (SELECT t.doc_id, t.held_out, coalesce(c1.n, 0) AS own, (coalesce(c1.n, 0) + 0.5) / (z.n + 0.5 * (z.v + 1)) AS p1, coalesce(c2.n, 0) AS n2, coalesce(h1.n, 0) AS m2,
+                     coalesce(c3.n, 0) AS n3, coalesce(h2.n, 0) AS m3, z.n AS total
+              FROM t CROSS JOIN z LEFT JOIN c1 ON c1.w = t.w LEFT JOIN c2 ON c2.v = t.v AND c2.w = t.w LEFT JOIN h1 ON h1.w = t.v
+              LEFT JOIN c3 ON c3.u = t.u AND c3.v = t.v AND c3.w = t.w LEFT JOIN c2 h2 ON h2.v = t.u AND h2.w = t.v),
+        b AS (SELECT *, CASE WHEN m2 > 0 THEN (n2 + {lm.STRENGTH}e0 * p1) / (m2 + {lm.STRENGTH}e0) ELSE p1 END AS p2 FROM q)
+        SELECT doc_id, held_out, count(*) AS n_tokens, count(*) FILTER (own > 0) AS n_known, CAST(any_value(total) AS BIGINT) AS train_tokens, round(sum(log10(CAST(p1 AS DOUBLE))), 6) AS base_score,
+               round(sum(log10(CAST(CASE WHEN m3 > 0 THEN (n3 + {lm.STRENGTH}e0 * p2) / (m3 + {lm.STRENGTH}e0) ELSE p2 END AS DOUBLE))), 6) AS score
+        FROM b GROUP BY doc_id, held_out
+    """,
     "op3_decontamination": r"""
         WITH docs AS (SELECT doc_id, row_number() OVER () AS r,
                  list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS words FROM documents),
