@@ -70,11 +70,10 @@ def deal(docs: DataFrame, key: str, text: str, block_bytes: int = BLOCK_BYTES) -
     return docs.withColumn(BLOCK, block(F.col(key).cast("long")) if len(cuts) else F.lit(0)), len(cuts) + 1
 
 
-def messages(block: int, kind: int, keys: np.ndarray, counts: np.ndarray | None, buckets: int) -> Iterator[tuple]:
-    """A message to each bucket; ``keys`` are sorted and distinct. All buckets get one, so that each answers each block."""
-    width = np.uint64((1 << 64) // buckets + 1)
-    edges = np.searchsorted(keys, np.arange(1, buckets, dtype=np.uint64) * width) if buckets > 1 else np.zeros(0, dtype=np.int64)
-    edges = np.r_[0, edges, len(keys)]
+def messages(block: int, kind: int, keys: np.ndarray, counts: np.ndarray | None, buckets: int, bits: int = 64) -> Iterator[tuple]:
+    """A message to each bucket; ``keys`` are sorted and distinct, of so many bits. All buckets get one, so that each answers each block."""
+    starts = [i * ((1 << bits) // buckets + 1) for i in range(1, buckets)]
+    edges = np.r_[0, np.searchsorted(keys, np.array(starts, dtype=np.uint64)), len(keys)]
     for i in range(buckets):
         a, b = edges[i], edges[i + 1]
         yield i, block, kind, int(b - a), pack_keys(keys[a:b]), b"" if counts is None else pack(counts[a:b].astype(np.uint32))

@@ -8,7 +8,7 @@ s / (c(h) + s) times what the shorter context gives it, down to (c + 0.5) / (N +
 
 The model grows with the corpus, so it is never in one place: blocks of documents ask for the counts of their own n-grams
 (see ``blocks``), build the part of the automaton that their texts can reach, and all texts of a block are traversed at
-once from left to right, each carrying its state and its sum.
+once from left to right, each with its state and its sum.
 
 Defined results: null and empty texts hold the end only; rows of a null key are scored but never learned; repeated rows
 count each time; without training texts the model is the uniform base of V = N = 0.
@@ -28,6 +28,8 @@ from .common import mix64, text_chunks, widened, word_hashes
 ORDER = 3
 STRENGTH = 4.0
 _START, _END = np.uint64(0x5354415254), np.uint64(0x454E44)
+#: Bits of the keys of n-grams longer than a word, to keep messages small: of ten thousand million n-grams some hundred share a key.
+_BITS = np.uint64(56)
 _TRAIN = "_train"
 COLUMNS = (("n_tokens", "long"), ("n_known", "long"), ("train_tokens", "long"), ("base_score", "double"), ("score", "double"))
 
@@ -71,84 +73,56 @@ class Tokens:
         return out
 
 
+class Arcs:
+    """The distinct n-grams of one order in a block: sorted keys, how often each is learned here, and each token's arc (-1: none)."""
+
+    def __init__(self, keys: np.ndarray, learned: np.ndarray):
+        there = np.flatnonzero(keys)
+        order = there[np.argsort(keys[there])]
+        ordered = keys[order]
+        new = np.ones(len(ordered), dtype=bool)
+        new[1:] = ordered[1:] != ordered[:-1]
+        starts = np.flatnonzero(new)
+        self.keys = ordered[starts]
+        self.learned = np.add.reduceat(learned[order].astype(np.int64), starts) if len(starts) else np.zeros(0, dtype=np.int64)
+        self.of = np.full(len(keys), -1, dtype=np.int32)
+        self.of[order] = np.cumsum(new, dtype=np.int32) - 1
+
+
 class Automaton:
-    """The part of the automaton that a block needs. State 0 is the empty context; keys name the others."""
+    """The part of the automaton that a block needs.
+
+    An arc is an n-gram with a count; it leads to the state of the same name. A state is a context with its count; from it a failure
+    arc of weight s / (count + s) leads to the next shorter context.
+    """
 
-    def __init__(self, keys: list[np.ndarray], counts: list[np.ndarray], starts: int, distinct: int, total: int, strength: float):
-        self.keys, self.counts, self.strength = keys, counts, strength
+    def __init__(self, counts: list[np.ndarray], starts: int, distinct: int, total: int, strength: float):
+        self.counts, self.begun, self.strength = counts, starts, strength
         self.floor = total + 0.5 * (distinct + 1)
-        self.begun = starts
-        self.start = mix64(np.array([_START]))[0]
-
-    def count(self, order: int, key: np.ndarray) -> np.ndarray:
-        """Counts of n-grams; 0 of those unknown."""
-        have = self.keys[order - 1]
-        if not len(have):
-            return np.zeros(len(key), dtype=np.int64)
-        at = np.minimum(np.searchsorted(have, key), len(have) - 1)
-        return np.where(have[at] == key, self.counts[order - 1][at], 0)
-
-    def initial(self, texts: int) -> tuple[np.ndarray, ...]:
-        """States of texts not begun: for each context length the key (0: none) and its count."""
-        depth = len(self.keys) - 1
-        key, count = np.zeros((depth, texts), dtype=np.uint64), np.zeros((depth, texts), dtype=np.int64)
-        if depth:
-            key[0], count[0] = self.start, self.begun
-        return key, count
-
-    def step(self, state: tuple[np.ndarray, ...], token: np.ndarray) -> tuple[tuple[np.ndarray, ...], np.ndarray, np.ndarray]:
-        """Read a token from each state: new states, log10 probabilities, and the token's own count.
-
-        Contexts are tried from the empty one up: the failure arcs' weights are the factors s / (c + s).
-        """
-        contexts, seen = state
-        depth = len(contexts)
-        unigram = mix64(token)
-        own = self.count(1, unigram)
-        p = (own + 0.5) / self.floor
-        new_key, new_count = np.zeros_like(contexts), np.zeros_like(seen)
-        if depth:
-            new_key[0], new_count[0] = unigram, own
-        s = self.strength
-        for k in range(depth):
-            there = (seen[k] > 0) & (contexts[k] != 0)
-            key = chain(contexts[k], token)
-            c = np.zeros(len(token), dtype=np.int64)
-            c[there] = self.count(k + 2, key[there])
-            p = np.where(there, (c + s * p) / (seen[k] + s), p)
-            if k + 1 < depth:
-                new_key[k + 1], new_count[k + 1] = np.where(contexts[k] != 0, key, 0), c
-        return (new_key, new_count), np.log10(p), own
-
-    def traverse(self, tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Each text's summed log10 probability, known tokens, and sum of log10(c + 0.5); longest texts first, in step."""
-        size = np.diff(tokens.first)
-        order = np.argsort(-size, kind="stable")
-        size, first = size[order], tokens.first[:-1][order]
-        total, known, base = np.zeros(len(size)), np.zeros(len(size), dtype=np.int64), np.zeros(len(size))
-        state, n = self.initial(len(size)), len(size)
-        for t in range(int(size[0]) if len(size) else 0):
-            alive = int(np.searchsorted(-size, -t, side="left"))  # texts of more than t tokens
-            if alive < n:
-                n = alive
-                state = tuple(x[:, :n] for x in state)
-            state, logp, own = self.step(state, tokens.token[first[:n] + t])
-            total[:n] += logp
-            known[:n] += own > 0
-            base[:n] += np.log10(own + 0.5)
-        out = tuple(np.empty_like(x) for x in (total, known, base))
-        for o, x in zip(out, (total, known, base), strict=True):
-            o[order] = x
-        return out
 
+    def traverse(self, tokens: Tokens, arcs: list[Arcs]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each text's summed log10 probability, known tokens, and sum of log10(c + 0.5).
 
-def _distinct(keys: np.ndarray, learned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys other than 0, and how often each is learned."""
-    keys, learned = keys[keys != 0], learned[keys != 0]
-    order = np.argsort(keys)
-    keys = keys[order]
-    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, dtype=np.int64)
-    return keys[starts], np.add.reduceat(learned[order].astype(np.int64), starts) if len(starts) else np.zeros(0, dtype=np.int64)
+        All texts are read from left to right at once. The state in which a token is read is where the arc of the token before has led,
+        and each text begins in the state of its start; so the states of all places follow from the arcs by moving them one place on.
+        """
+        first = tokens.first[:-1]
+        own = self.counts[0][arcs[0].of]
+        p = (own + 0.5) / self.floor
+        state = own  # the state's count, in the context length at hand
+        for order in range(2, len(self.counts) + 1):
+            context = np.zeros_like(state)
+            context[1:] = state[:-1]
+            context[first] = self.begun if order == 2 else 0
+            there = arcs[order - 1].of >= 0
+            seen = np.zeros_like(state)
+            seen[there] = self.counts[order - 1][arcs[order - 1].of[there]]
+            taken = there & (context > 0)  # else the failure arc alone, of weight 1
+            s = self.strength
+            p = np.where(taken, (seen + s * p) / (context + s), p)
+            state = seen
+        add = lambda x: np.add.reduceat(x, first) if len(first) else x[:0]
+        return add(np.log10(p)), add((own > 0).astype(np.int64)), add(np.log10(own + 0.5))
 
 
 def score(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", order: int = ORDER, strength: float = STRENGTH, block_bytes: int = blocks.BLOCK_BYTES) -> DataFrame:
@@ -162,25 +136,24 @@ def score(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text
     marked = docs.withColumn(_TRAIN, F.coalesce(learn, F.lit(False)))
     dealt, buckets = blocks.deal(marked, key, text, block_bytes)
 
-    def asked(table: pa.Table) -> tuple[Tokens, list[tuple[np.ndarray, np.ndarray]]]:
+    def asked(table: pa.Table) -> tuple[Tokens, list[Arcs], np.ndarray]:
         tokens = Tokens(table.column(text))
         learned = table.column(_TRAIN).to_numpy(zero_copy_only=False).astype(bool)
         each = learned[tokens.owner]
-        grams = [_distinct(g, each) for g in tokens.grams(order)]
-        start = mix64(np.array([_START]))
-        return tokens, [*grams, (start, np.array([learned.sum()]))]
+        return tokens, [Arcs(g if n == 1 else g >> (np.uint64(64) - _BITS), each) for n, g in enumerate(tokens.grams(order), 1)], learned
 
     def send(block: int, table: pa.Table) -> list[tuple]:
-        _, grams = asked(table)
-        return [m for kind, (keys, counts) in enumerate(grams) for m in blocks.messages(block, kind, keys, counts, buckets)]
+        _, arcs, learned = asked(table)
+        out = [m for kind, a in enumerate(arcs) for m in blocks.messages(block, kind, a.keys, a.learned, buckets, 64 if kind == 0 else int(_BITS))]
+        return [*out, *blocks.messages(block, order, mix64(np.array([_START])), np.array([learned.sum()]), buckets)]
 
     def finish(block: int, table: pa.Table, answers: blocks.Answers) -> pa.Table:
         if not table.num_rows:
             return to_arrow_schema(schema).empty_table()
-        tokens, grams = asked(table)
+        tokens, arcs, _ = asked(table)
         distinct, total = answers.sums(0)
-        model = Automaton([g[0] for g in grams[:order]], [answers.totals(k) for k in range(order)], int(answers.totals(order)[0]), distinct, total, strength)
-        logp, known, base = model.traverse(tokens)
+        model = Automaton([answers.totals(k) for k in range(order)], int(answers.totals(order)[0]), distinct, total, strength)
+        logp, known, base = model.traverse(tokens, arcs)
         n = np.diff(tokens.first)
         out = table.select(rest)
         values = (n, known, np.full(len(n), total), base - n * np.log10(model.floor), logp)
