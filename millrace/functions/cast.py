@@ -1,8 +1,8 @@
 """Typed casts with errors told apart from nulls, constraints, and what to do with rows that fail.
 
 Policies: ``raise`` stops the job, ``drop`` leaves out the row, ``clear`` makes the field null, ``ignore`` keeps what can be kept
-(as a typed column can't hold text that doesn't fit, that is null, with the text in ``<field>__raw`` if asked for), or a function
-of (resource, row, index, error[, field]) that says whether to keep the row.
+(a typed column can't hold text that doesn't fit, so that is null), or a function of (resource, row, index, error[, field]) that says
+whether to keep the row.
 """
 
 from __future__ import annotations

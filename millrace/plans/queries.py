@@ -31,8 +31,7 @@ def table(sf_dir: str, name: str, **options) -> m.Step:
 
 
 def flow(spark: SparkSession, *steps) -> DataFrame:
-    spark.conf.get("spark.sql.shuffle.partitions")  # the session must be alive
-    return m.Flow(*steps).dataframe()
+    return m.Flow(*steps).plan(spark=spark).resources[-1].rows
 
 
 @query("SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, avg(l_extendedprice) AS avg_price, count(*) AS n FROM lineitem WHERE l_quantity > 10 GROUP BY ALL")
@@ -158,7 +157,7 @@ def validate_drop(spark, sf_dir):
 
 @query("SELECT c_custkey, c_name, c_acctbal, row_number() OVER (ORDER BY c_acctbal, c_custkey) AS place FROM customer")
 def sort_rows(spark, sf_dir):
-    sorted_ = m.Flow(table(sf_dir, "customer"), m.select_fields(["c_custkey", "c_name", "c_acctbal"]), m.sort_rows(["c_acctbal", "c_custkey"])).plan(ordered=True)
+    sorted_ = m.Flow(table(sf_dir, "customer"), m.select_fields(["c_custkey", "c_name", "c_acctbal"]), m.sort_rows(["c_acctbal", "c_custkey"])).plan(ordered=True, spark=spark)
     from ..operators.join import numbered
 
     return numbered(sorted_.resources[0]).df.select("c_custkey", "c_name", "c_acctbal", F.col("__number").alias("place"))
@@ -257,7 +256,7 @@ def join_template_key(spark, sf_dir):
 
 
 def _group(spark, sf_dir, fields):
-    return flow(spark, table(sf_dir, "lineitem"), m.sort_rows(["l_orderkey", "l_linenumber"]) if any(f.get("aggregate") in ("first", "last", "any", "array", "counters") for f in fields.values()) else m.update_package(), m.join_with_self("lineitem", ["l_returnflag"], {"l_returnflag": {}, **fields}))
+    return flow(spark, table(sf_dir, "lineitem"), m.sort_rows(["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]) if any(f.get("aggregate") in ("first", "last", "any", "array", "counters") for f in fields.values()) else m.update_package(), m.join_with_self("lineitem", ["l_returnflag"], {"l_returnflag": {}, **fields}))
 
 
 @query("SELECT l_returnflag, round(sum(l_quantity), 2) AS q, round(avg(l_tax), 6) AS t, min(l_shipdate) AS a, max(l_shipdate) AS b, count(*) AS n FROM lineitem GROUP BY ALL")
@@ -272,8 +271,8 @@ def group_median(spark, sf_dir):
 
 
 @query(
-    "SELECT l_returnflag, first(l_partkey ORDER BY l_orderkey, l_linenumber) AS a, last(l_partkey ORDER BY l_orderkey, l_linenumber) AS b, "
-    "last(l_suppkey ORDER BY l_orderkey, l_linenumber) AS c FROM lineitem GROUP BY ALL"
+    "SELECT l_returnflag, first(l_partkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS a, last(l_partkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS b, "
+    "last(l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS c FROM lineitem GROUP BY ALL"
 )
 def group_first_last_any(spark, sf_dir):
     return _group(spark, sf_dir, {"a": {"name": "l_partkey", "aggregate": "first"}, "b": {"name": "l_partkey", "aggregate": "last"}, "c": {"name": "l_suppkey"}})
