@@ -54,7 +54,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of the texts, and whether decoding gives the text back."""
     proto = pieces.read_model(f"{TOKENIZERS}/{TOKENIZER}")
-    done = pieces.decode(pieces.encode(docs, proto), proto)
+    done = pieces.encode_and_decode(docs, proto)
     return done.select(*docs.columns, "ids", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_ids"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import ahocorasick
@@ -251,38 +251,41 @@ def _parts(texts: list) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def encode(df: DataFrame, proto: bytes, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``df`` with the piece ids of its texts; the new name must be free."""
+def _run(df: DataFrame, proto: bytes, source: str, added: list[tuple[str, T.DataType]], work: Callable[[PieceModel, list], list[list]]) -> DataFrame:
+    """``df`` with columns made from one of its columns, some megabytes at a time; nulls give nulls."""
     names = df.columns
-    if ids in names:
-        raise ValueError(f"column exists already: {ids}")
+    if clash := {n for n, _ in added} & set(names):
+        raise ValueError(f"columns exist already: {sorted(clash)}")
     shared = df.sparkSession.sparkContext.broadcast(proto)
+    kinds = [pa.list_(pa.int32()) if isinstance(t, T.ArrayType) else pa.string() for _, t in added]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(shared.value)
         for batch in batches:
-            texts = batch.column(names.index(text)).to_pylist()
-            for a, b in _parts(texts):
-                found = iter(m.encode([t for t in texts[a:b] if t is not None]))
-                column = pa.array([None if t is None else next(found) for t in texts[a:b]], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, column], [*names, ids])
+            values = batch.column(names.index(source)).to_pylist()
+            for a, b in _parts(values):
+                columns = [iter(c) for c in work(m, [v for v in values[a:b] if v is not None])]
+                made = [pa.array([None if v is None else next(c) for v in values[a:b]], k) for c, k in zip(columns, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, *made], [*names, *(n for n, _ in added)])
 
-    return df.mapInArrow(run, widened(df.schema, (ids, T.ArrayType(T.IntegerType()))))
+    return df.mapInArrow(run, widened(df.schema, *added))
+
+
+def encode(df: DataFrame, proto: bytes, text: str = "text", ids: str = "ids") -> DataFrame:
+    """``df`` with the piece ids of its texts; the new name must be free."""
+    return _run(df, proto, text, [(ids, T.ArrayType(T.IntegerType()))], lambda m, texts: [m.encode(texts)])
 
 
 def decode(df: DataFrame, proto: bytes, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """``df`` with the texts of its piece ids; the new name must be free."""
-    names = df.columns
-    if text in names:
-        raise ValueError(f"column exists already: {text}")
-    shared = df.sparkSession.sparkContext.broadcast(proto)
+    return _run(df, proto, ids, [(text, T.StringType())], lambda m, rows: [[m.decode(r) for r in rows]])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model(shared.value)
-        for batch in batches:
-            rows = batch.column(names.index(ids)).to_pylist()
-            for a, b in _parts(rows):
-                column = pa.array([None if r is None else m.decode(r) for r in rows[a:b]], pa.string())
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, column], [*names, text])
 
-    return df.mapInArrow(run, widened(df.schema, (text, "string")))
+def encode_and_decode(df: DataFrame, proto: bytes, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """Both in one pass, so that a task needs one worker only."""
+
+    def both(m: PieceModel, texts: list[str]) -> list[list]:
+        found = m.encode(texts)
+        return [found, [m.decode(i) for i in found]]
+
+    return _run(df, proto, text, [(ids, T.ArrayType(T.IntegerType())), (decoded, T.StringType())], both)

@@ -75,8 +75,7 @@ def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     proto = pieces.read_model(f"{TOKENIZERS}/{TOKENIZER}")
-    encoded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), proto)
-    decoded = pieces.decode(encoded, proto)
+    decoded = pieces.encode_and_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), proto)
     return decoded.select("doc_id", "ids", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_ids"), "decoded", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 
 
