@@ -6,9 +6,9 @@ value. Places are filled in steps of j for all texts of a batch; a text stops as
 
 Texts of equal sets form a class, of which the smallest key takes part. Signatures are cut in bands; classes that agree in a
 band share a bucket. Each member of a bucket is checked against the bucket's smallest key, on full sets, and verified links are
-grouped by union-find. Members of a bucket that are then still apart are compared by their whole signatures, in blocks,
-and pairs that may be similar are checked on full sets as well; so no bucket is expanded into its pairs, and no link among the
-members of a bucket is lost. At the default similarity 0.8, 32 bands of 4 miss a link with a probability of 5e-8.
+grouped by union-find. Members of a bucket that are then still apart are compared on full sets as well, in cells, which give one link
+to each component that a member is linked with; so no bucket is expanded into its pairs, and no link among the members of a
+bucket is lost. At the default similarity 0.8, 32 bands of 4 miss a link with a probability of 5e-8.
 
 Defined results: null, empty and word-free texts have an empty set and no links; texts of fewer words have one shingle; rows with a null key
 take no part and have a null component; rows of equal key are one node; ties go to the smaller key.
@@ -30,9 +30,8 @@ PLACES, BAND_ROWS = 128, 4
 WORDS = 5
 #: A link: DENOMINATOR * intersection >= NUMERATOR * union.
 NUMERATOR, DENOMINATOR = 80, 100
-#: Signatures that agree in fewer places than this share below the similarity aren't checked: 5 standard deviations.
-DEVIATIONS = 5.0
-_SIDE = 1024
+#: Members of a side of a cell, and columns of a matrix, that a task holds at a time.
+_SIDE, _COLUMNS = 512, 4096
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -88,7 +87,7 @@ def _bands(values: np.ndarray, rows: int) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, key: str, text: str, words: int, places: int = PLACES, rows: int = BAND_ROWS) -> DataFrame:
-    """key, n_shingles, two fingerprints of the set, signature (16 bits for each place) and band keys."""
+    """key, n_shingles, two fingerprints of the set, and band keys of the signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,19 +103,18 @@ def sketch(docs: DataFrame, key: str, text: str, words: int, places: int = PLACE
                         prints[0, some] = np.add.reduceat(mix64(elements), starts)
                         prints[1, some] = np.bitwise_xor.reduceat(mix64(elements ^ np.uint64(0x5DEECE66D)), starts)
                 values = signatures(elements, owner, n, places)
-                short = (mix64(values.view(np.uint64)) & np.uint64(0xFFFF)).astype(np.uint16)
                 bands = _bands(values, rows)
                 width = bands.shape[1]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, n), pa.array(count.astype(np.int64)), pa.array(prints[0].view(np.int64)), pa.array(prints[1].view(np.int64)),
-                        pa.array([r.tobytes() for r in short], pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(bands.ravel())),
+                        pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(bands.ravel())),
                     ],
-                    ["key", "n_shingles", "p1", "p2", "signature", "bands"],
+                    ["key", "n_shingles", "p1", "p2", "bands"],
                 )
 
     rows_ = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    return rows_.mapInArrow(run, "key long, n_shingles long, p1 long, p2 long, signature binary, bands array<long>")
+    return rows_.mapInArrow(run, "key long, n_shingles long, p1 long, p2 long, bands array<long>")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, key: str, text: str, words: int, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
@@ -147,37 +145,69 @@ def verify(pairs: DataFrame, docs: DataFrame, key: str, text: str, words: int, n
     return joined.mapInArrow(run, "x long, y long")
 
 
-def _apart(rows: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """Pairs of members of a bucket that lie in different components and whose signatures may be of similar sets.
-
-    ``rows``: band, key, component. The members outside a bucket's largest component meet all members, in blocks of some
-    hundred by some hundred. A pair is taken in the first band that it shares only.
+def overlaps(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray], n: int, m: int) -> np.ndarray:
+    """Intersection sizes of n sets with m sets, each given as elements and owners, by products of incidence matrices."""
+    common = np.intersect1d(left[0], right[0])
+    out = np.zeros((n, m), dtype=np.float32)
+    sides = []
+    for elements, owner in (left, right):
+        at = np.searchsorted(common, elements)
+        there = at < len(common)
+        there[there] = common[at[there]] == elements[there]
+        at, owner = at[there], owner[there]
+        order = np.argsort(at, kind="stable")
+        sides.append((at[order], owner[order]))
+    for start in range(0, len(common), _COLUMNS):
+        parts = []
+        for (at, owner), rows in zip(sides, (n, m), strict=True):
+            a, b = np.searchsorted(at, [start, start + _COLUMNS])
+            x = np.zeros((rows, min(_COLUMNS, len(common) - start)), dtype=np.float32)
+            x[owner[a:b], at[a:b] - start] = 1
+            parts.append(x)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def _apart(rows: DataFrame, docs: DataFrame, key: str, text: str, words: int, numerator: int, denominator: int) -> DataFrame:
+    """Links between members of a bucket that lie in different components: of each member one to each component that it is linked with.
+
+    ``rows``: band, key, component. The members outside a bucket's largest component meet all members, on full sets, in cells of some
+    hundred by some hundred; what a cell gives are links, never its pairs.
     """
     per = rows.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
     main = per.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("parts"), F.max("n").alias("most")).where("parts > 1")
     main = main.select("band", "main", F.ceil(F.col("all") / _SIDE).cast("int").alias("wide"), F.ceil((F.col("all") - F.col("most")) / _SIDE).cast("int").alias("high"))
-    here = rows.join(main, "band").join(nodes.select("key", "signature"), "key")
     mine = lambda n: F.array(F.pmod(F.xxhash64("key"), F.col(n)).cast("int"))
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    sides = here.select("band", "key", "component", "signature", F.lit(False).alias("asks"), mine("wide").alias("i"), every("high").alias("j")).unionByName(
-        here.where(F.col("component") != F.col("main")).select("band", "key", "component", "signature", F.lit(True).alias("asks"), every("wide").alias("i"), mine("high").alias("j"))
+    here = rows.join(main, "band")
+    sides = here.select("band", "key", "component", F.lit(False).alias("asks"), mine("wide").alias("i"), every("high").alias("j")).unionByName(
+        here.where(F.col("component") != F.col("main")).select("band", "key", "component", F.lit(True).alias("asks"), every("wide").alias("i"), mine("high").alias("j"))
     )
-    cells = sides.withColumn("i", F.explode("i")).withColumn("j", F.explode("j"))
+    texts = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    gathered = sides.groupBy("key").agg(F.collect_list(F.struct("band", "component", "asks", "i", "j")).alias("places"))  # two for each band at most
+    cells = texts.join(gathered, "key").select("key", "text", F.explode("places").alias("p")).select("key", "text", "p.*").withColumn("i", F.explode("i")).withColumn("j", F.explode("j"))
 
     def compare(table: pa.Table) -> pa.Table:
-        keys, comp = table.column("key").to_numpy(), table.column("component").to_numpy()
         asks = table.column("asks").to_numpy(zero_copy_only=False).astype(bool)
-        sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), dtype=np.uint16).reshape(len(keys), -1)
-        other = np.flatnonzero(~asks)
-        inner, outer = set(keys[asks].tolist()), ([], [])
-        is_inner = np.array([k in inner for k in keys[other].tolist()], dtype=bool)
-        for s in np.flatnonzero(asks):
-            same = sig[other] == sig[s]
-            near = (same.mean(axis=1) >= least) & (comp[other] != comp[s]) & (~is_inner | (keys[other] > keys[s]))
-            for o in other[near]:
-                outer[0].append(min(keys[s], keys[o]))
-                outer[1].append(max(keys[s], keys[o]))
-        return pa.table({"x": pa.array(outer[0], pa.int64()), "y": pa.array(outer[1], pa.int64())})
+        sides = []
+        for part in (table.filter(pa.array(asks)), table.filter(pa.array(~asks))):
+            elements, owner = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
+            for a, _, data, offsets in text_chunks(part.column("text")) if part.num_rows else ():
+                e, o = shingle_sets(data, offsets, words)
+                elements.append(e)
+                owner.append(o + a)
+            sides.append((np.concatenate(elements), np.concatenate(owner), part.column("key").to_numpy(), part.column("component").to_numpy()))
+        (e1, o1, k1, c1), (e2, o2, k2, c2) = sides
+        shared = overlaps((e1, o1), (e2, o2), len(k1), len(k2))
+        union = np.bincount(o1, minlength=len(k1))[:, None] + np.bincount(o2, minlength=len(k2))[None, :] - shared
+        linked = (denominator * shared >= numerator * union) & (shared > 0) & (c1[:, None] != c2[None, :])
+        x, y = [], []
+        for s in np.flatnonzero(linked.any(axis=1)):
+            to = np.flatnonzero(linked[s])
+            _, one = np.unique(c2[to], return_index=True)
+            x.extend(np.minimum(k1[s], k2[to[one]]))
+            y.extend(np.maximum(k1[s], k2[to[one]]))
+        return pa.table({"x": pa.array(x, pa.int64()), "y": pa.array(y, pa.int64())})
 
     return cells.groupBy("band", "i", "j").applyInArrow(compare, "x long, y long").distinct()
 
@@ -200,9 +230,6 @@ def near_duplicates(
     found = stage(connected(links, "x", "y"), "components")
     # what is still apart within a bucket; the pairs with the bucket's smallest key have been checked
     rest = shared.where("key <> least").join(found.withColumnRenamed("node", "key"), "key", "left").select("band", "key", F.coalesce("root", "key").alias("component"))
-    share = numerator / denominator
-    least = share - DEVIATIONS * (share * (1 - share) / places) ** 0.5
-    more = _apart(rest, nodes, least).join(pairs, ["x", "y"], "left_anti")
-    links = links.union(stage(verify(more, docs, key, text, words, numerator, denominator), "verified"))
+    links = links.union(stage(_apart(rest, docs, key, text, words, numerator, denominator), "verified"))
     found = stage(connected(links.union(member.where("key <> rep").select(F.col("rep").alias("x"), F.col("key").alias("y"))), "x", "y"), "components")
     return sketches.select("key", "n_shingles").join(found.withColumnRenamed("node", "key"), "key", "left").select(F.col("key").alias(key), "n_shingles", F.coalesce("root", "key").alias("component"))
