@@ -3,7 +3,7 @@
 A benchmark item becomes windows of ``window`` consecutive words (an item of fewer words is one window), and a window is
 a set of shingles of up to ``shingle`` words with their places. Shingles are ordered by rarity, counted over all
 documents. As an occurrence contains the whole window, the prefix that must be shared is a window's rarest shingle. Joining
-documents with the prefixes on that shingle's hash gives candidates; the shingle's place in the window gives the start,
+documents with the prefixes on that shingle's hash gives candidates (texts that are copies of each other once); the shingle's place in the window gives the start,
 which must leave room before and behind it (positional and length bounds); and the words of the document there must
 equal the window's, which is the exact check. Nothing but these checks decides, so hash collisions have no effect.
 
@@ -19,24 +19,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stage
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: ASCII letters and digits and all other characters beyond ASCII make words; fixed by the task.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW, SHINGLE = 10, 3
-#: Benchmark shingles up to which they are broadcast: a million take about 100 MB.
-SMALL = 200_000
+#: Benchmark shingles up to which they are broadcast: with their windows they take some tens of MB.
+SMALL = 50_000
 
 
 def words(text: Column) -> Column:
     """Words of a text, lower-cased A-Z; null as none."""
-    lowered = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-    return F.filter(F.split(lowered, SEPARATORS), lambda w: w != "")
+    text = F.coalesce(text, F.lit(""))
+    lowered = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+    return F.array_remove(F.split(lowered, SEPARATORS), "")
+
+
+def _hash(parts: list[Column], size: int) -> Column:
+    """The hash of a shingle; null where it would run past the end."""
+    return F.when(parts[size - 1].isNotNull(), F.xxhash64(*parts[:size], F.lit(size)))
+
+
+def _runs(words: Column, size: int) -> Column:
+    """(w0, w1, ...): each word with those behind it, null past the end."""
+    return F.arrays_zip(*[(words if k == 0 else F.slice(words, k + 1, F.greatest(F.size(words), F.lit(1)))).alias(f"w{k}") for k in range(size)])
 
 
 def _shingles(words: Column, size: int) -> Column:
     """(place from 0, hash) of all runs of ``size`` words."""
-    count = F.size(words) - (size - 1)
-    places = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.expr("cast(array() as array<int>)"))
+    places = F.when(F.size(words) >= size, F.sequence(F.lit(0), F.size(words) - size))
     return F.transform(places, lambda i: F.struct(i.alias("at"), F.xxhash64(*[F.get(words, i + k) for k in range(size)], F.lit(size)).alias("h")))
 
 
@@ -58,53 +70,67 @@ def occurrences(docs: DataFrame, items: DataFrame, text: str = "text", item_key:
     found = windows(items, item_key, item_text, window)
     wide = found.withColumn("size", F.least(F.size("w"), F.lit(shingle)))
     sizes = sorted(r["size"] for r in wide.select("size").distinct().collect())  # up to ``shingle`` numbers
-    base = docs.select(F.struct(*rest).alias("doc") if rest else F.struct(F.lit(0).alias("none")).alias("doc"), words(F.col(text)).alias("words"))
+    named = F.struct(*rest) if rest else F.struct(F.lit(0).alias("none"))
+    base = docs.select(named.alias("doc"), F.col(text).alias("text"))
+    id_array = f"array<{items.schema[item_key].dataType.simpleString()}>"
+    spans_array = "array<struct<at:int,size:int>>"
     if not sizes:
-        return _named(base.select("doc", F.size("words").cast("long").alias("n_words"), F.expr("cast(array() as array<struct<at:int,size:int>>)").alias("spans"), F.array().cast(_array_of(items, item_key)).alias("items")), rest)
+        nothing = base.select("doc", F.size(words(F.col("text"))).cast("long").alias("n_words"), F.array().cast(spans_array).alias("spans"), F.array().cast(id_array).alias("items"))
+        return _named(nothing, rest)
     tokens = None
     for s in sizes:
         part = wide.where(F.col("size") == s).select("item_id", "w", F.explode(_shingles(F.col("w"), s)).alias("s"))
         tokens = part if tokens is None else tokens.union(part)
     tokens = tokens.select("item_id", "w", F.col("s.at").alias("offset"), F.col("s.h").alias("h"))
-    doc_shingles = F.concat(*[_shingles(F.col("words"), s) for s in sizes])
-
-    # rarity: how often each of the benchmark's shingles occurs in all documents
     known = tokens.select("h").distinct()
-    is_small = known.limit(small + 1).count() <= small
+    some = known.limit(small + 1).collect()
+    is_small = len(some) <= small
     fit = F.broadcast if is_small else (lambda x: x)
-    counts = base.select(F.explode(F.transform(doc_shingles, lambda s: s["h"])).alias("h")).join(fit(known), "h", "left_semi").groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    ranked = tokens.join(counts, "h", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    prefix = ranked.groupBy("item_id", "w").agg(F.min(F.struct("n", "h", "offset")).alias("p")).where(F.col("p.n") > 0)
-    prefix = prefix.groupBy("w", F.col("p.h").alias("h"), F.col("p.offset").alias("offset")).agg(F.collect_set("item_id").alias("of"))
-    # a row for each shingle: the windows that it is the prefix of
-    index = prefix.groupBy("h").agg(F.collect_list(F.struct("offset", "w", "of")).alias("windows"))
-
-    # candidates: only places whose shingle is a prefix; documents without any keep one row
-    numbered = base.withColumn("row", F.monotonically_increasing_id())
+
+    # one pass over all texts: places of the benchmark's shingles, and a leading row for each document
+    split = base.select("doc", F.xxhash64("text").alias("hash"), F.octet_length("text").alias("bytes"), words(F.col("text")).alias("words"))
+    each = split.select("doc", "hash", "bytes", F.size("words").alias("n_words"), F.posexplode_outer(_runs(F.col("words"), max(sizes))).alias("at", "run"))
+    hashes = [(s, _hash([F.col(f"run.w{k}") for k in range(s)], s)) for s in sizes]
+    lead = F.coalesce(F.col("at") == 0, F.lit(True))
     if is_small:
-        hashes = [r["h"] for r in index.select("h").collect()]  # at most ``small``
-        places = F.filter(doc_shingles, lambda s: s["h"].isin(hashes)) if hashes else F.filter(doc_shingles, lambda s: F.lit(False))
-        numbered = numbered.withColumn("s", F.explode_outer(places))
+        listed = [r["h"] for r in some]
+        hit = {s: F.coalesce(h.isin(listed), F.lit(False)) for s, h in hashes}
+        any_hit = lead
+        for h in hit.values():
+            any_hit = any_hit | h
+        found_at = F.array_compact(F.array(*[F.when(hit[s], h) for s, h in hashes]))
+        places = each.where(any_hit).select("doc", "hash", "bytes", "n_words", "at", lead.alias("lead"), found_at.alias("hs"))
     else:
-        numbered = numbered.withColumn("s", F.explode_outer(doc_shingles))
-    joined = numbered.select("row", "doc", "words", F.col("s.at").alias("at"), F.col("s.h").alias("h")).join(fit(index), "h", "left")
-    start = F.col("at") - F.col("c.offset")
-    checked = joined.withColumn("c", F.explode_outer("windows")).select(
-        "row", "doc", F.size("words").cast("long").alias("n_words"), start.alias("start"), F.size("c.w").alias("size"), F.col("c.of").alias("of"),
-        ((start >= 0) & (start + F.size("c.w") <= F.size("words")) & (F.when(start >= 0, F.slice("words", start + 1, F.size("c.w"))) == F.col("c.w"))).alias("hit"),
+        exploded = each.select("doc", "hash", "bytes", "n_words", "at", lead.alias("lead"), F.explode_outer(F.array_compact(F.array(*[h for _, h in hashes]))).alias("h"))
+        kept = exploded.join(known.withColumn("known", F.lit(True)), "h", "left").where("lead or known")
+        places = kept.select("doc", "hash", "bytes", "n_words", "at", "lead", F.when(F.col("known"), F.array("h")).otherwise(F.array().cast("array<bigint>")).alias("hs"))
+    places = stage(places, "places")
+    hits = places.select("hash", "bytes", "at", F.explode("hs").alias("h"))
+
+    # rarity over all documents; each window's rarest shingle is its prefix
+    counts = hits.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    ranked = tokens.join(counts, "h")
+    all_there = tokens.groupBy("item_id", "w").agg(F.count_distinct("h").alias("need"))
+    prefix = ranked.groupBy("item_id", "w").agg(F.min(F.struct("n", "h", "offset")).alias("p"), F.count_distinct("h").alias("have"))
+    prefix = prefix.join(all_there, ["item_id", "w"]).where("have = need")  # else it occurs nowhere
+    index = prefix.groupBy(F.col("p.h").alias("h"), F.col("p.offset").alias("offset"), "w").agg(F.collect_set("item_id").alias("of"))
+
+    # candidates: a text once for all its copies; the start must leave room for the window
+    texts = places.select("hash", "bytes", "n_words").distinct()
+    start = F.col("at") - F.col("offset")
+    candidates = hits.distinct().join(fit(index), "h").join(texts, ["hash", "bytes"]).where((start >= 0) & (start + F.size("w") <= F.col("n_words")))
+    candidates = candidates.groupBy("hash", "bytes").agg(F.collect_set(F.struct(start.alias("at"), "w", "of")).alias("candidates"))
+    sources = base.select(F.xxhash64("text").alias("hash"), F.octet_length("text").alias("bytes"), "text")
+    wanted = sources.join(candidates.select("hash", "bytes"), ["hash", "bytes"], "left_semi").groupBy("hash", "bytes").agg(F.first("text").alias("text"))
+    checked = wanted.join(candidates, ["hash", "bytes"]).select("hash", "bytes", words(F.col("text")).alias("words"), "candidates")
+    exact = checked.select("hash", "bytes", F.filter("candidates", lambda c: F.slice(F.col("words"), c["at"] + 1, F.size(c["w"])) == c["w"]).alias("occ"))
+    exact = exact.select(
+        "hash", "bytes",
+        F.array_distinct(F.transform("occ", lambda c: F.struct(c["at"].alias("at"), F.size(c["w"]).alias("size")))).alias("spans"),
+        F.array_distinct(F.flatten(F.transform("occ", lambda c: c["of"]))).alias("items"),
     )
-    hit = F.col("hit") & F.lit(True)
-    summed = checked.groupBy("row").agg(
-        F.first("doc").alias("doc"),
-        F.first("n_words").alias("n_words"),
-        F.collect_set(F.when(hit, F.struct(F.col("start").alias("at"), "size"))).alias("spans"),
-        F.array_distinct(F.flatten(F.collect_set(F.when(hit, F.col("of"))))).alias("items"),
-    )
-    return _named(summed.drop("row"), rest)
-
-
-def _array_of(items: DataFrame, key: str) -> str:
-    return f"array<{items.schema[key].dataType.simpleString()}>"
+    lines = places.where("lead").select("doc", F.col("n_words").cast("long").alias("n_words"), "hash", "bytes").join(exact, ["hash", "bytes"], "left")
+    return _named(lines.select("doc", "n_words", F.coalesce("spans", F.array().cast(spans_array)).alias("spans"), F.coalesce("items", F.array().cast(id_array)).alias("items")), rest)
 
 
 def _named(df: DataFrame, rest: list[str]) -> DataFrame:
