@@ -267,3 +267,36 @@ def test_neighbours_edges(spark):
     out = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in ann.search(df, F.col("vec_id").isin(0, 4, 5)).collect())
     assert out == [(0, 1, 1), (0, 2, 2), (0, 3, 3)]
     assert ann.search(df.where("false"), F.lit(True)).count() == 0
+
+
+def test_pivots_are_apart():
+    r = np.random.default_rng(3)
+    v = r.standard_normal((1200, 16))
+    v[:400] = v[0] + 0.1 * r.standard_normal((400, 16))
+    chosen = ann.choose_pivots(v, 64)
+    group = chosen @ (v[:400].mean(axis=0) / np.linalg.norm(v[:400].mean(axis=0)))
+    assert len(chosen) == 64 and (group > 0.9).sum() <= 2
+    assert len(ann.choose_pivots(np.array([[1.0, 0.0], [2.0, 0.0], [0.0, 1.0], [3.0, 3.0]]), 256)) == 3
+
+
+def test_neighbours_recall_where_near_copies_hold_a_third(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    r = np.random.default_rng(0)
+    n = 24_000
+    v = r.standard_normal((n, 64)).astype(np.float32)
+    v[: n // 3] = v[0] + 0.1 * r.standard_normal((n // 3, 64))
+    key = r.permutation(n)
+    pq.write_table(pa.table({"vec_id": key, "embedding": pa.array(list(v), pa.list_(pa.float32()))}), tmp_path / "e.parquet")
+    asked = np.r_[np.arange(0, n // 3, 400), np.arange(n // 3, n, 200)]
+    df = spark.read.parquet(str(tmp_path / "e.parquet"))
+    found = ann.search(df, F.col("vec_id").isin([int(x) for x in key[asked]])).toPandas().groupby("query_id")["vec_id"].agg(set)
+    x = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    hits = []
+    for q in asked:
+        s = x @ x[q]
+        s[q] = -9
+        hits.append(len(set(key[np.argsort(-s)[:5]]) & found[key[q]]) / 5)
+    inside = asked < n // 3
+    assert np.mean(np.array(hits)[inside]) == 1 and np.mean(np.array(hits)[~inside]) >= 0.95
