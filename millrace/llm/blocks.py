@@ -70,9 +70,9 @@ def deal(docs: DataFrame, key: str, text: str, block_bytes: int = BLOCK_BYTES) -
     return docs.withColumn(BLOCK, block(F.col(key).cast("long")) if len(cuts) else F.lit(0)), len(cuts) + 1
 
 
-def messages(block: int, kind: int, keys: np.ndarray, counts: np.ndarray | None, buckets: int, bits: int = 64) -> Iterator[tuple]:
-    """A message to each bucket; ``keys`` are sorted and distinct, of so many bits. All buckets get one, so that each answers each block."""
-    starts = [i * ((1 << bits) // buckets + 1) for i in range(1, buckets)]
+def messages(block: int, kind: int, keys: np.ndarray, counts: np.ndarray | None, buckets: int) -> Iterator[tuple]:
+    """A message to each bucket; ``keys`` are sorted and distinct. All buckets get one, so that each answers each block."""
+    starts = [i * ((1 << 64) // buckets + 1) for i in range(1, buckets)]
     edges = np.r_[0, np.searchsorted(keys, np.array(starts, dtype=np.uint64)), len(keys)]
     for i in range(buckets):
         a, b = edges[i], edges[i + 1]
@@ -86,8 +86,8 @@ def table_of(rows: list[tuple], schema: str) -> pa.Table:
     return pa.table({name: pa.array(c, kinds[kind]) for (name, kind), c in zip(fields, columns, strict=True)})
 
 
-def add_up(table: pa.Table) -> pa.Table:
-    """The answers of a bucket. Messages of kind below 0 pass through to their block."""
+def add_up(table: pa.Table, firsts: bool = True) -> pa.Table:
+    """The answers of a bucket; without ``firsts``, no block learns whether it is the first. Messages of kind below 0 pass through to their block."""
     rows = table.to_pylist()
     out = [(r["block"], r["bucket"], r["kind"], r["n"], r["counts"], b"", 0, 0) for r in rows if r["kind"] < 0]
     for kind in sorted({r["kind"] for r in rows if r["kind"] >= 0}):
@@ -111,7 +111,7 @@ def add_up(table: pa.Table) -> pa.Table:
             totals[order] = np.repeat(np.minimum(sums, 0xFFFFFFFF), np.diff(np.r_[starts, len(keys)])).astype(np.uint32)
         at = 0
         for r, n in zip(part, sizes, strict=True):
-            out.append((r["block"], r["bucket"], kind, n, pack(totals[at : at + n]) if counted else b"", np.packbits(first[at : at + n]).tobytes(), distinct, total))
+            out.append((r["block"], r["bucket"], kind, n, pack(totals[at : at + n]) if counted else b"", np.packbits(first[at : at + n]).tobytes() if firsts else b"", distinct, total))
             at += n
     return table_of(out, ANSWER)
 
@@ -139,7 +139,7 @@ class Answers:
         return next((r["counts"] for r in self._of(kind)), b"")
 
 
-def ask(dealt: DataFrame, send: Callable[[int, pa.Table], list[tuple]], answers: DataFrame | None = None, heard: Callable[[int, pa.Table, Answers], list[tuple]] | None = None) -> DataFrame:
+def ask(dealt: DataFrame, send: Callable[[int, pa.Table], list[tuple]], answers: DataFrame | None = None, heard: Callable[[int, pa.Table, Answers], list[tuple]] | None = None, firsts: bool = True) -> DataFrame:
     """A round: blocks send messages (``send``, or ``heard`` if they had answers before), buckets answer."""
 
     def sent(table: pa.Table) -> pa.Table:
@@ -150,7 +150,10 @@ def ask(dealt: DataFrame, send: Callable[[int, pa.Table], list[tuple]], answers:
         return table_of(rows, MESSAGE)
 
     out = dealt.groupBy(BLOCK).applyInArrow(sent, MESSAGE) if answers is None else dealt.groupBy(BLOCK).cogroup(answers.groupBy(BLOCK)).applyInArrow(sent_again, MESSAGE)
-    return out.groupBy("bucket").applyInArrow(add_up, ANSWER)
+    def answered(table: pa.Table) -> pa.Table:
+        return add_up(table, firsts)
+
+    return out.groupBy("bucket").applyInArrow(answered, ANSWER)
 
 
 def conclude(dealt: DataFrame, answers: DataFrame, finish: Callable[[int, pa.Table, Answers], pa.Table], schema: T.StructType) -> DataFrame:

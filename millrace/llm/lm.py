@@ -17,9 +17,12 @@ count each time; without training texts the model is the uniform base of V = N =
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import blocks
@@ -28,8 +31,6 @@ from .common import mix64, text_chunks, widened, word_hashes
 ORDER = 3
 STRENGTH = 4.0
 _START, _END = np.uint64(0x5354415254), np.uint64(0x454E44)
-#: Bits of the keys of n-grams longer than a word, to keep messages small: of ten thousand million n-grams some hundred share a key.
-_BITS = np.uint64(56)
 _TRAIN = "_train"
 COLUMNS = (("n_tokens", "long"), ("n_known", "long"), ("train_tokens", "long"), ("base_score", "double"), ("score", "double"))
 
@@ -40,6 +41,21 @@ def chain(context: np.ndarray, token: np.ndarray) -> np.ndarray:
         return mix64(context * np.uint64(0x9E3779B97F4A7C15) + token)
 
 
+@F.pandas_udf(T.BinaryType())
+def squeezed(texts: pd.Series) -> pd.Series:
+    """Each text's bytes, compressed, so that the documents' exchange takes less disk."""
+    press = zstandard.ZstdCompressor(level=3)
+    return texts.map(lambda b: None if b is None else press.compress(b))
+
+
+def unsqueezed(column: pa.ChunkedArray) -> pa.ChunkedArray:
+    """The texts again; null as empty."""
+    press = zstandard.ZstdDecompressor()
+    texts = [press.decompress(b) if b else b"" for b in column.to_pylist()]
+    offsets = np.cumsum([0, *map(len, texts)], dtype=np.int64)
+    return pa.chunked_array([pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(offsets), pa.py_buffer(b"".join(texts)))])
+
+
 class Tokens:
     """Token hashes of a block's texts, each text with its end; ``first`` has each text's first token."""
 
@@ -135,16 +151,17 @@ def score(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text
         raise ValueError(f"columns exist already: {sorted(clash)}")
     marked = docs.withColumn(_TRAIN, F.coalesce(learn, F.lit(False)))
     dealt, buckets = blocks.deal(marked, key, text, block_bytes)
+    dealt = dealt.withColumn(text, squeezed(F.col(text).cast("binary")))
 
     def asked(table: pa.Table) -> tuple[Tokens, list[Arcs], np.ndarray]:
-        tokens = Tokens(table.column(text))
+        tokens = Tokens(unsqueezed(table.column(text)))
         learned = table.column(_TRAIN).to_numpy(zero_copy_only=False).astype(bool)
         each = learned[tokens.owner]
-        return tokens, [Arcs(g if n == 1 else g >> (np.uint64(64) - _BITS), each) for n, g in enumerate(tokens.grams(order), 1)], learned
+        return tokens, [Arcs(g, each) for g in tokens.grams(order)], learned
 
     def send(block: int, table: pa.Table) -> list[tuple]:
         _, arcs, learned = asked(table)
-        out = [m for kind, a in enumerate(arcs) for m in blocks.messages(block, kind, a.keys, a.learned, buckets, 64 if kind == 0 else int(_BITS))]
+        out = [m for kind, a in enumerate(arcs) for m in blocks.messages(block, kind, a.keys, a.learned, buckets)]
         return [*out, *blocks.messages(block, order, mix64(np.array([_START])), np.array([learned.sum()]), buckets)]
 
     def finish(block: int, table: pa.Table, answers: blocks.Answers) -> pa.Table:
@@ -162,5 +179,5 @@ def score(docs: DataFrame, learn: Column, key: str = "doc_id", text: str = "text
         return out
 
     schema = widened(docs.select(*rest).schema, *COLUMNS)
-    return blocks.conclude(dealt, blocks.ask(dealt, send), finish, schema)
+    return blocks.conclude(dealt, blocks.ask(dealt, send, firsts=False), finish, schema)
 

@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -204,6 +205,22 @@ def test_scores_edges(spark):
     assert all(r["n_known"] == 0 and math.isfinite(r["score"]) for r in none)
 
 
+def test_scores_of_bigrams_with_near_keys(spark):
+    """The first 56 bits of the hashes of the two bigrams are the same."""
+    a, b = "w16302 w3761", "w17646 w19944"
+    keys = [lm.Tokens(pa.chunked_array([[t]])).grams(2)[1][1] for t in (a, b)]
+    assert keys[0] != keys[1] and keys[0] >> np.uint64(8) == keys[1] >> np.uint64(8)
+    texts = [a, a, "w17646 x", b]
+    want = brute_scores(list(enumerate(texts)), lambda i: i < 3)
+    assert all(abs(g["score"] - want[g["doc_id"]][4]) < 1e-6 for g in lm.score(documents(spark, texts), F.col("doc_id") < 3).collect())
+
+
+def test_squeezed_texts_come_back(spark):
+    texts = ["", None, "Größe 漢字 \U0001f600", "a" * 100_000]
+    back = lm.unsqueezed(documents(spark, texts).select(lm.squeezed(F.col("text").cast("binary")).alias("t")).toArrow().column("t"))
+    assert sorted(back.to_pylist()) == sorted(t or "" for t in texts)
+
+
 def test_held_out_texts_score_better_than_the_base(spark):
     out = queries.op4_language_model(spark, SF).toPandas()
     held = out[out.held_out]
