@@ -7,8 +7,9 @@ priors, P(w|h) = (c(hw) + s P(w|h')) / (c(h) + s), so an unseen word's probabili
 s / (c(h) + s) times what the shorter context gives it, down to (c + 0.5) / (N + 0.5 (V + 1)).
 
 The model grows with the corpus, so it is never in one place: blocks of documents ask for the counts of their own n-grams
-(see ``blocks``), build the part of the automaton that their texts can reach, and all texts of a block are traversed at
-once from left to right, each with its state and its sum.
+(see ``blocks``), which are the weights of all arcs and failure arcs that their texts take. No automaton is built or walked:
+which state each token is read in follows from the n-grams before it, so the weights of all tokens of a block are looked up in arrays,
+an order of n-grams at a time, and give the sums of a traversal from left to right.
 
 Defined results: null and empty texts hold the end only; rows of a null key are scored but never learned; repeated rows
 count each time; without training texts the model is the uniform base of V = N = 0.
@@ -106,7 +107,7 @@ class Arcs:
 
 
 class Automaton:
-    """The part of the automaton that a block needs.
+    """The weights of the automaton that a block's texts take, as counts by n-gram; it has no states or arcs to follow.
 
     An arc is an n-gram with a count; it leads to the state of the same name. A state is a context with its count; from it a failure
     arc of weight s / (count + s) leads to the next shorter context.
@@ -119,8 +120,9 @@ class Automaton:
     def traverse(self, tokens: Tokens, arcs: list[Arcs]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Each text's summed log10 probability, known tokens, and sum of log10(c + 0.5).
 
-        All texts are read from left to right at once. The state in which a token is read is where the arc of the token before has led,
-        and each text begins in the state of its start; so the states of all places follow from the arcs by moving them one place on.
+        The sums are those of a traversal from left to right, but none takes place. The state in which a token is read is where the arc of
+        the token before has led, and each text begins in the state of its start; so the counts of all tokens' states are the counts of
+        the tokens before, moved one place on, and each order of n-grams is one step over all tokens.
         """
         first = tokens.first[:-1]
         own = self.counts[0][arcs[0].of]
