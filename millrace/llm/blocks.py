@@ -41,6 +41,16 @@ def unpack(b: bytes, n: int, kind: type) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(size, n).T).view(kind).ravel()
 
 
+def pack_counts(counts: np.ndarray) -> bytes:
+    """Counts as unsigned numbers of the fewest bytes that hold them all (the first byte says how many), up to 64 bits."""
+    kind = np.min_scalar_type(int(counts.max())) if len(counts) else np.dtype(np.uint8)
+    return bytes([kind.itemsize]) + pack(counts.astype(kind))
+
+
+def unpack_counts(b: bytes, n: int) -> np.ndarray:
+    return unpack(b[1:], n, np.dtype(f"u{b[0]}")).astype(np.int64)
+
+
 def pack_keys(keys: np.ndarray) -> bytes:
     """Sorted keys as differences."""
     return pack(np.diff(keys, prepend=np.uint64(0)))
@@ -76,7 +86,7 @@ def messages(block: int, kind: int, keys: np.ndarray, counts: np.ndarray | None,
     edges = np.r_[0, np.searchsorted(keys, np.array(starts, dtype=np.uint64)), len(keys)]
     for i in range(buckets):
         a, b = edges[i], edges[i + 1]
-        yield i, block, kind, int(b - a), pack_keys(keys[a:b]), b"" if counts is None else pack(counts[a:b].astype(np.uint32))
+        yield i, block, kind, int(b - a), pack_keys(keys[a:b]), b"" if counts is None else pack_counts(counts[a:b])
 
 
 def table_of(rows: list[tuple], schema: str) -> pa.Table:
@@ -102,16 +112,17 @@ def add_up(table: pa.Table, firsts: bool = True) -> pa.Table:
         starts = np.flatnonzero(new)
         first = np.zeros(len(keys), dtype=bool)
         first[order[starts]] = True
-        totals = np.zeros(len(keys), dtype=np.uint32)
+        totals = np.zeros(len(keys), dtype=np.uint8)
         distinct = total = 0
         if counted and len(keys):
-            counts = np.concatenate([unpack(r["counts"], r["n"], np.uint32) for r in part]).astype(np.int64)
+            counts = np.concatenate([unpack_counts(r["counts"], r["n"]) for r in part])
             sums = np.add.reduceat(counts[order], starts)
             distinct, total = int((sums > 0).sum()), int(sums.sum())
-            totals[order] = np.repeat(np.minimum(sums, 0xFFFFFFFF), np.diff(np.r_[starts, len(keys)])).astype(np.uint32)
+            totals = np.zeros(len(keys), dtype=np.min_scalar_type(int(sums.max())))
+            totals[order] = np.repeat(sums.astype(totals.dtype), np.diff(np.r_[starts, len(keys)]))
         at = 0
         for r, n in zip(part, sizes, strict=True):
-            out.append((r["block"], r["bucket"], kind, n, pack(totals[at : at + n]) if counted else b"", np.packbits(first[at : at + n]).tobytes() if firsts else b"", distinct, total))
+            out.append((r["block"], r["bucket"], kind, n, pack_counts(totals[at : at + n]) if counted else b"", np.packbits(first[at : at + n]).tobytes() if firsts else b"", distinct, total))
             at += n
     return table_of(out, ANSWER)
 
@@ -126,7 +137,7 @@ class Answers:
         return [r for r in self.rows if r["kind"] == kind]
 
     def totals(self, kind: int) -> np.ndarray:
-        return np.concatenate([np.zeros(0, dtype=np.int64), *(unpack(r["counts"], r["n"], np.uint32).astype(np.int64) for r in self._of(kind))])
+        return np.concatenate([np.zeros(0, dtype=np.int64), *(unpack_counts(r["counts"], r["n"]) for r in self._of(kind))])
 
     def first(self, kind: int) -> np.ndarray:
         return np.concatenate([np.zeros(0, dtype=bool), *(np.unpackbits(np.frombuffer(r["first"], dtype=np.uint8), count=r["n"]).astype(bool) for r in self._of(kind))])

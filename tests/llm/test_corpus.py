@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -299,6 +300,15 @@ def test_key_messages_round_trip():
     assert np.array_equal(back, keys) and len(list(blocks.messages(0, 0, keys[:0], None, 7))) == 7
 
 
+def test_totals_beyond_32_bits():
+    keys = np.array([3, 2**63, 2**64 - 1], dtype=np.uint64)
+    sent = [m for block, counts in enumerate(([2**32 - 1, 1, 0], [2**32 - 1, 2, 2**40])) for m in blocks.messages(block, 0, keys, np.array(counts), 1)]
+    table = blocks.add_up(blocks.table_of(sent, blocks.MESSAGE))
+    for block in (0, 1):
+        answers = blocks.Answers(table.filter(pc.field(blocks.BLOCK) == block))
+        assert answers.totals(0).tolist() == [2**33 - 2, 3, 2**40] and answers.sums(0) == (3, 2**33 + 1 + 2**40)
+
+
 def test_repeats_query(spark):
     rows = sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect())
     want = {i: (n, g, s, hashlib.sha256(k).hexdigest()) for (i, _), (n, g, s, k) in zip(rows, brute_repeats(rows, 100))}
