@@ -15,13 +15,15 @@ from millrace.llm.queries import TOKENIZER, TOKENIZERS, table
 
 #: Documents whose best language has a smaller posterior are rejected, as are those without a letter.
 LEAST_POSTERIOR = 0.5
+#: So are documents of a smaller likeness: clean ones of five letters have 0.69 or more, random letters of a learned script 0.55 or less.
+LEAST_LIKENESS = 0.6
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents of a recognised language. The model learns from all documents with a language."""
     model = langid.train(docs)
-    named = langid.identify(docs, model, prediction="_lang", score="_score")
-    return named.where((F.col("_lang") != "und") & (F.col("_score") >= LEAST_POSTERIOR)).select(*docs.columns)
+    named = langid.identify(docs, model, prediction="_lang", score="_score", likeness="_like")
+    return named.where((F.col("_lang") != "und") & (F.col("_score") >= LEAST_POSTERIOR) & (F.col("_like") >= LEAST_LIKENESS)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

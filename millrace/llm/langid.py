@@ -6,6 +6,10 @@ language, so its size is bounded whatever the corpus; it goes to the tasks with
 
 Defined results: a null text or one without a letter is ``und`` with score 0; a null language is never learned;
 with nothing to learn from, every text is ``und``. Rows are scored one by one, so repeated rows get equal results.
+
+The posterior says which language is the best of those learned; it nears 1 with length on texts in none of them, too. Likeness says
+whether a text is in that language at all: its mean log-probability an n-gram, from 0 where n-grams fall at random to 1 where
+the language's training texts are on average.
 """
 
 from __future__ import annotations
@@ -85,26 +89,38 @@ class LanguageModel:
         self.languages, self.orders, self.buckets = languages, orders, counts.shape[0]
         self.prior = np.log(documents + 1.0) - np.log(documents.sum() + len(languages)) if languages else np.zeros(0)
         self.logp = np.log(counts + smoothing) - np.log(counts.sum(axis=0) + smoothing * self.buckets)
+        self.typical = (counts * self.logp).sum(axis=0) / np.maximum(counts.sum(axis=0), 1)
+        self.random = self.logp.mean(axis=0)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        names, scores = ["und"] * len(texts), np.zeros(len(texts))
+        return self.measure(texts)[:2]
+
+    def measure(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Names, posteriors and likenesses."""
+        names, scores, like = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
         if not self.languages:
-            return names, scores
+            return names, scores, like
         for a, b in _groups(texts):
             part = [t or "" for t in texts[a:b]]
             grams, has = ngrams(part, self.orders, self.buckets)
             total = np.repeat(self.prior[None, :], len(part), axis=0)
+            n = np.zeros(len(part), dtype=np.int64)
             for bucket, owner in grams:
                 if len(owner):
                     starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
                     total[owner[starts]] += np.add.reduceat(self.logp[bucket], starts, axis=0)
+                    n[owner[starts]] += np.diff(np.r_[starts, len(owner)])
+            mean = (total - self.prior) / np.maximum(n, 1)[:, None]
             total -= total.max(axis=1, keepdims=True)
             p = np.exp(total)
             p /= p.sum(axis=1, keepdims=True)
             best = p.argmax(axis=1)
             for i in np.flatnonzero(has):
-                names[a + i], scores[a + i] = self.languages[best[i]], p[i, best[i]]
-        return names, scores
+                k = best[i]
+                names[a + i], scores[a + i] = self.languages[k], p[i, k]
+                span = self.typical[k] - self.random[k]
+                like[a + i] = (mean[i, k] - self.random[k]) / span if span > 0 else 1.0
+        return names, scores, like
 
 
 def train(df: DataFrame, text: str = "text", lang: str = "lang", orders: tuple[int, ...] = ORDERS, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> LanguageModel:
@@ -142,9 +158,9 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", orders: tuple[i
     return LanguageModel(languages, full[:buckets], full[buckets], orders, smoothing)
 
 
-def identify(df: DataFrame, model: LanguageModel, text: str = "text", prediction: str = "lang_pred", score: str = "lang_score") -> DataFrame:
-    """``df`` with the predicted language and its posterior probability; the two names must be new."""
-    clash = {prediction, score} & set(df.columns)
+def identify(df: DataFrame, model: LanguageModel, text: str = "text", prediction: str = "lang_pred", score: str = "lang_score", likeness: str | None = None) -> DataFrame:
+    """``df`` with the predicted language, its posterior probability and, if it is named, the likeness; the names must be new."""
+    clash = {prediction, score, likeness} & set(df.columns)
     if clash:
         raise ValueError(f"columns exist already: {sorted(clash)}")
     names = df.columns
@@ -153,10 +169,12 @@ def identify(df: DataFrame, model: LanguageModel, text: str = "text", prediction
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            found, p = model.predict(batch.column(names.index(text)).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(p)], [*batch.schema.names, prediction, score])
+            found, p, like = model.measure(batch.column(names.index(text)).to_pylist())
+            new = [pa.array(found, pa.string()), pa.array(p), pa.array(like)][: len(added)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *(n for n, _ in added)])
 
-    schema = widened(df.schema, (prediction, "string"), (score, "double"))
+    added = [(prediction, "string"), (score, "double"), *([(likeness, "double")] if likeness else [])]
+    schema = widened(df.schema, *added)
     return df.mapInArrow(predict, schema)
 
 

@@ -332,6 +332,17 @@ def test_pipeline_against_brute_force(spark):
     assert all(r["round_trip"] and r["n_chars"] == len(r["text"]) and r["n_ids"] == len(r["ids"]) for r in out)
 
 
+def test_texts_in_no_learned_language_are_rejected(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    r = random.Random(4)
+    alphabets = ["abcdefghijklmnopqrstuvwxyz ", "абвгдежзийклмнопрстуфхцчшщъыьэюя ", "".join(chr(0x4E00 + i) for i in range(3000))]
+    odd = ["".join(r.choice(a) for _ in range(n)) for a in alphabets for n in (30, 200, 3000) for _ in range(5)]
+    n = len(docs.columns) - 2
+    more = docs.union(spark.createDataFrame([(-1 - i, t, *[None] * n) for i, t in enumerate(odd)], docs.schema))
+    kept = {x["doc_id"] for x in corpus_pipeline.language(spark, more, SF).collect()}
+    assert kept == {x["doc_id"] for x in docs.collect()}
+
+
 def test_stages_with_odd_tables(spark, tmp_path):
     spark.createDataFrame([(1, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     schema = "doc_id long, text string, lang string, source string, n_chars long, key string, component long, rep long, at long, h long, bytes long"
