@@ -2,7 +2,9 @@
 
 ``derive`` turns each response into a metadata record (a JSON envelope with the source's WARC headers, HTTP headers,
 title, metas and links) and a conversion record (the visible text). Both keep the source's identifier in
-WARC-Refers-To, its target, date and payload digest; each has its own block digest and length.
+WARC-Refers-To, its target and date, and its payload and block digest in WARC-Source-Payload-Digest and WARC-Source-Block-Digest; the
+conversion has the source's WARC headers, as JSON, in WARC-Source-Headers. Each has its own block digest and length. Responses are made of
+pages, or come from WARC files by ``read``; transfer and content encodings of payloads are not undone.
 
 Defined results: a null or empty page gives a response with an empty payload, whose conversion has an empty block; a null
 URL gives records without WARC-Target-URI; repeated rows get distinct records only if their keys differ, as identifiers
@@ -97,6 +99,17 @@ def split_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     return status, [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in lines)], payload
 
 
+def header(headers: dict[str, str], name: str) -> str | None:
+    """A header's value, whatever the case of its name."""
+    return headers.get(name) or next((v for k, v in headers.items() if k.lower() == name.lower()), None)
+
+
+def source_fields(kind: str, payload_digest: str, block_digest: str, headers: dict[str, str]) -> dict[str, str]:
+    """The headers of a derivative record that tell of its source."""
+    found = {"WARC-Source-Payload-Digest": payload_digest, "WARC-Source-Block-Digest": block_digest}
+    return found | ({"WARC-Source-Headers": json.dumps(headers)} if kind == "conversion" else {})
+
+
 def _about(root: htmltext.Node, base: str | None) -> dict:
     title, metas, links = None, [], []
     stack: list = [root]
@@ -134,33 +147,42 @@ def derivatives(headers: dict[str, str], block: bytes) -> list[tuple[dict[str, s
             "Block-Digest": digest(block),
             "Payload-Metadata": {
                 "Actual-Content-Type": "application/http; msgtype=response",
-                "HTTP-Response-Metadata": {"Response-Message": status, "Headers": dict(http), "Entity-Length": str(len(payload)), "Entity-Digest": digest(payload), "HTML-Metadata": _about(root, headers.get("WARC-Target-URI"))},
+                "HTTP-Response-Metadata": {"Response-Message": status, "Headers": dict(http), "Entity-Length": str(len(payload)), "Entity-Digest": digest(payload), "HTML-Metadata": _about(root, header(headers, "WARC-Target-URI"))},
             },
         }
     }
-    source = headers.get("WARC-Record-ID", "")
-    common = {"WARC-Refers-To": source, "WARC-Date": headers.get("WARC-Date", DATE)}
-    if "WARC-Target-URI" in headers:
-        common["WARC-Target-URI"] = headers["WARC-Target-URI"]
+    target = header(headers, "WARC-Target-URI")
+    source = header(headers, "WARC-Record-ID") or record_id("response", target, digest(block))
+    common = {"WARC-Refers-To": source, "WARC-Date": header(headers, "WARC-Date") or DATE}
+    if target is not None:
+        common["WARC-Target-URI"] = target
+    digests = header(headers, "WARC-Payload-Digest") or digest(payload), header(headers, "WARC-Block-Digest") or digest(block)
     out = []
     for kind, content, body in (("metadata", "application/json", json.dumps(envelope, ensure_ascii=False, sort_keys=True)), ("conversion", "text/plain", htmltext.plain_text(root))):
         data = body.encode("utf-8", "replace")
-        out.append(({"WARC-Type": kind, "WARC-Record-ID": record_id(kind, source), **common, "Content-Type": content, "WARC-Block-Digest": digest(data), "Content-Length": str(len(data))}, data))
+        out.append(({"WARC-Type": kind, "WARC-Record-ID": record_id(kind, source), **common, **source_fields(kind, *digests, headers), "Content-Type": content, "WARC-Block-Digest": digest(data), "Content-Length": str(len(data))}, data))
     return out
 
 
 def derive(df: DataFrame, key: str = "page_id", url: str = "url", page: str = "html", date: str = DATE) -> DataFrame:
-    """Two rows for each page, of its response's derivative records (columns: SCHEMA). Other columns are left out."""
-    rows = df.select(F.col(key).cast("string").alias("key"), F.col(url).alias("url"), F.col(page).alias("page"))
+    """Two rows for each page, of its response's derivative records (columns: SCHEMA). Other columns are left out.
+
+    ``df`` may also be rows of ``read``: then each record of type response gives two rows, and ``key`` is the response's identifier.
+    """
+    given = page not in df.columns and {"type", "headers", "block"} <= set(df.columns)
+    if given:
+        rows = df.where(F.lower("type") == "response").select("headers", "block")
+    else:
+        rows = df.select(F.col(key).cast("string").alias("key"), F.col(url).alias("url"), F.col(page).alias("page"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns: list[list] = [[] for _ in range(13)]
-            for k, u, p in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                source, block = response(k, u, p, date)
+            for values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                source, block = (dict(values[0] or ()), values[1] or b"") if given else response(*values, date)
                 for h, data in derivatives(source, block):
-                    row = (k, h["WARC-Type"], h["WARC-Record-ID"], h["WARC-Refers-To"], u, h["WARC-Date"], h["Content-Type"], len(data), h["WARC-Block-Digest"])
-                    for c, v in zip(columns, (*row, source["WARC-Payload-Digest"], source["WARC-Block-Digest"], list(source.items()), data.decode()), strict=True):
+                    row = (h["WARC-Refers-To"] if given else values[0], h["WARC-Type"], h["WARC-Record-ID"], h["WARC-Refers-To"], h.get("WARC-Target-URI"), h["WARC-Date"], h["Content-Type"], len(data), h["WARC-Block-Digest"])
+                    for c, v in zip(columns, (*row, h["WARC-Source-Payload-Digest"], h["WARC-Source-Block-Digest"], list(source.items()), data.decode()), strict=True):
                         c.append(v)
             kinds = [pa.string()] * 7 + [pa.int64()] + [pa.string()] * 3 + [pa.map_(pa.string(), pa.string()), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [x.split()[0] for x in SCHEMA.split(", ")])
@@ -178,6 +200,7 @@ def write(derived: DataFrame, path: str) -> None:
                 h = {"WARC-Type": r["record_type"], "WARC-Record-ID": r["record_id"], "WARC-Refers-To": r["refers_to"], "WARC-Date": r["date"]}
                 if r["target_uri"] is not None:
                     h["WARC-Target-URI"] = r["target_uri"]
+                h |= source_fields(r["record_type"], r["source_payload_digest"], r["source_block_digest"], dict(r["source_headers"]))
                 h |= {"Content-Type": r["content_type"], "WARC-Block-Digest": r["block_digest"]}
                 out.append(gzip.compress(record(h, r["block"].encode()), mtime=0))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["member"])

@@ -227,6 +227,27 @@ def test_warc_files_round_trip(spark, tmp_path):
     assert {r["block"] for r in derived.collect() if r["record_type"] == "conversion"} == {"", "t"}
 
 
+def test_derivatives_of_responses_of_files(spark, tmp_path):
+    page_ = b"<html><head><title>T</title></head><body><p>Seen</p></body></html>"
+    block = b"HTTP/1.0 404 Not Found\r\nContent-Type: text/html\r\nX-Own: 1\r\n\r\n" + page_
+    full = {"WARC-Type": "response", "WARC-Record-ID": "<urn:uuid:1>", "WARC-Date": "2020-02-02T02:02:02Z", "WARC-Target-URI": "http://x/é", "WARC-Payload-Digest": "sha1:GIVEN", "X-Note": 'a "b"'}
+    bare = {"warc-type": "response", "warc-record-id": "<urn:uuid:2>", "warc-target-uri": "http://y/"}
+    other = {"WARC-Type": "request", "WARC-Record-ID": "<urn:uuid:3>"}
+    (tmp_path / "a.warc").write_bytes(b"".join(warc.record(h, block) for h in (full, bare, other)))
+    derived = warc.derive(warc.read(spark, str(tmp_path / "a.warc")))
+    rows = {(r["key"], r["record_type"]): r for r in derived.collect()}
+    assert set(rows) == {(f"<urn:uuid:{i}>", k) for i in (1, 2) for k in ("metadata", "conversion")}
+    one, two = rows["<urn:uuid:1>", "conversion"], rows["<urn:uuid:2>", "conversion"]
+    assert one["block"] == two["block"] == "Seen" and (one["date"], one["target_uri"], two["target_uri"]) == ("2020-02-02T02:02:02Z", "http://x/é", "http://y/")
+    assert one["source_payload_digest"] == "sha1:GIVEN" and two["source_payload_digest"] == warc.digest(page_) and two["source_block_digest"] == warc.digest(block)
+    http = json.loads(rows["<urn:uuid:1>", "metadata"]["block"])["Envelope"]["Payload-Metadata"]["HTTP-Response-Metadata"]
+    assert http["Response-Message"] == "HTTP/1.0 404 Not Found" and http["Headers"]["X-Own"] == "1"
+    warc.write(derived, str(tmp_path / "out"))
+    found = {(h["WARC-Refers-To"], h["WARC-Type"]): h for r in spark.read.parquet(str(tmp_path / "out")).collect() for h, _ in warc.records(bytes(r["member"]))}
+    assert {k: (h["WARC-Source-Payload-Digest"], h["WARC-Source-Block-Digest"]) for k, h in found.items()} == {k: (r["source_payload_digest"], r["source_block_digest"]) for k, r in rows.items()}
+    assert json.loads(found["<urn:uuid:1>", "conversion"]["WARC-Source-Headers"]) == one["source_headers"] and one["source_headers"]["X-Note"] == 'a "b"'
+
+
 def test_warc_query(spark):
     found = queries.op10_warc(spark, SF).toPandas()
     assert len(found) == 100 and found.record_id.nunique() == 100 and found.groupby("page_id").refers_to.nunique().eq(1).all()
