@@ -224,6 +224,19 @@ def join_full_outer(spark, sf_dir):
     )
 
 
+@query(
+    "WITH s AS (SELECT o_custkey, count(*) AS orders FROM orders WHERE o_totalprice > 300000 GROUP BY ALL), t AS (SELECT c_custkey, c_name FROM customer WHERE c_acctbal > 5000) "
+    "SELECT coalesce(c_custkey, o_custkey) AS c_custkey, c_name, orders FROM t FULL JOIN s ON c_custkey = o_custkey"
+)
+def join_full_outer_by_balance(spark, sf_dir):
+    """Keys without a counterpart on both sides, by conditions on data: orders of other customers, customers without such orders."""
+    return flow(
+        spark, table(sf_dir, "orders"), m.filter_rows(F.col("o_totalprice") > 300000),
+        table(sf_dir, "customer"), m.filter_rows(F.col("c_acctbal") > 5000, resources="customer"), m.select_fields(["c_custkey", "c_name"], resources="customer"),
+        m.join("orders", ["o_custkey"], "customer", ["c_custkey"], {"orders": {"aggregate": "count"}}, mode="full-outer"),
+    )
+
+
 @query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
 def join_semi(spark, sf_dir):
     return flow(

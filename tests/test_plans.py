@@ -53,3 +53,8 @@ def test_top_rows_need_no_full_sort(spark):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_full_outer_join_has_keys_of_one_side_only(spark):
+    found = QUERIES["join_full_outer_by_balance"](spark, SF).toPandas()
+    assert found.c_name.isna().any() and found.orders.isna().any() and (found.c_name.notna() & found.orders.notna()).any()
