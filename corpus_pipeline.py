@@ -15,7 +15,7 @@ from millrace.llm.queries import TOKENIZER, TOKENIZERS, table
 
 #: Documents whose best language has a smaller posterior are rejected, as are those without a letter.
 LEAST_POSTERIOR = 0.5
-#: So are documents of a smaller likeness: clean ones of five letters have 0.69 or more, random letters of a learned script 0.55 or less.
+#: So are documents of a smaller likeness: at scale 0.01 clean texts cut to five characters have 0.69 or more, 30 random Latin letters 0.59 or less.
 LEAST_LIKENESS = 0.6
 
 
