@@ -2,11 +2,13 @@
 
 Every text gives a fixed vector of statistics (shares of letters, capitals, digits and symbols, word and line lengths,
 repetition of words, pairs and lines ...). Cosines of random projections of the standardised statistics approximate a
-Gaussian kernel. The normal equations are summed in each partition and then by row of the matrix, solved on the driver
-(their size is fixed), and the raw scores are calibrated by pool-adjacent-violators on sums over fixed score bins.
+Gaussian kernel. The normal equations are summed in each partition, then by row of the matrix over some partitions, then over
+all; they are solved on the driver (their size is fixed), and the raw scores are calibrated by pool-adjacent-violators on sums over
+fixed score bins. Texts are read once, to describe them; all else works on their statistics.
 
 Defined results: null and empty texts have all-zero statistics and a score like any other; rows without a label are not
-learned; labels of a document that occurs more than once count each time; without any label all scores are 0.5.
+learned; labels of a document that occurs more than once count each time; without any label all scores are 0.5. Documents of equal
+statistics get equal scores, and raw scores in one bin of the calibration count as ties: they are calibrated together.
 """
 
 from __future__ import annotations
@@ -15,10 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ByteHash, lower_ascii, mix64, text_chunks, word_bounds
+from .common import ByteHash, lower_ascii, mix64, stage, text_chunks, word_bounds
 
 _CLASS = np.zeros((256, 8), dtype=bool)
 for _c in range(256):
@@ -40,6 +43,8 @@ FEATURES = 256
 BANDWIDTH = 3.0
 RIDGE = 1e-3
 BINS = 4096
+#: Partitions whose sums are added in one task, before all are.
+_PARTS = 256
 _LOW, _HIGH = -1.0, 2.0
 
 
@@ -149,7 +154,7 @@ def _matrix(batch: pa.RecordBatch, column: int) -> np.ndarray:
 def fit(labelled: DataFrame, model: QualityModel | None = None) -> QualityModel:
     """Learn from rows (stats, label 0 or 1). All sums cover all rows."""
     model = model or QualityModel()
-    rows = labelled.select("stats", F.col("label").cast("double").alias("label")).where("stats is not null and label is not null")
+    rows = stage(labelled.select("stats", F.col("label").cast("double").alias("label")).where("stats is not null and label is not null"), "labelled")  # read three times
     d = len(STATISTICS)
     sums = rows.select(F.count(F.lit(1)), *[f(F.col("stats")[k]) for k in range(d) for f in (F.avg, F.stddev_pop)]).first()
     if not sums[0]:
@@ -168,13 +173,15 @@ def fit(labelled: DataFrame, model: QualityModel | None = None) -> QualityModel:
                 z = shared.value.expand(_matrix(part, 0))
                 total += z.T @ np.c_[z, part.column(1).to_numpy(zero_copy_only=False)]
         if total[-1, -2]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), pa.array([r.tobytes() for r in total], pa.binary())], ["i", "part"])
+            near = TaskContext.get().partitionId() // _PARTS
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), pa.array(np.full(size, near, dtype=np.int32)), pa.array([r.tobytes() for r in total], pa.binary())], ["i", "near", "part"])
 
     def add(table: pa.Table) -> pa.Table:
         total = np.sum([np.frombuffer(x, dtype=float) for x in table.column("part").to_pylist()], axis=0)
-        return pa.table({"i": table.column("i")[:1], "part": pa.array([total.tobytes()], pa.binary())})
+        return pa.table({"i": table.column("i")[:1], "near": table.column("near")[:1], "part": pa.array([total.tobytes()], pa.binary())})
 
-    parts = rows.mapInArrow(equations, "i int, part binary").groupBy("i").applyInArrow(add, "i int, part binary").collect()
+    kinds = "i int, near int, part binary"
+    parts = rows.mapInArrow(equations, kinds).groupBy("i", "near").applyInArrow(add, kinds).groupBy("i").applyInArrow(add, kinds).collect()  # a row of the matrix each
     total = np.array([np.frombuffer(r["part"], dtype=float) for r in sorted(parts, key=lambda r: r["i"])])
     n = total[-1, -2]
     model.weights = np.linalg.solve(total[:, :-1] + model.ridge * n * np.eye(size) / size, total[:, -1])

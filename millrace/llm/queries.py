@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, decontam, htmltext, langid, lm, minhash, pieces, quality, suffix, warc
+from .common import stage
 
 #: Where the public tokenizers' files lie.
 TOKENIZERS = os.environ.get("MILLRACE_TOKENIZERS", "/opt/tokenizers")
@@ -62,10 +63,9 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = F.coalesce(langid.fold("doc_id", 5) == 0, F.lit(True))
     labels = table(spark, sf_dir, "labels").where(~held & F.col("quality").isNotNull()).select("doc_id", F.col("quality").alias("label"))
-    labelled = docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
-    learn = quality.describe(labelled, "doc_id").join(labels, F.col("key") == F.col("doc_id")).select("stats", "label")
-    model = quality.fit(learn)
-    scored = quality.score(quality.describe(docs, "doc_id"), model).withColumnRenamed("key", "doc_id")
+    described = stage(quality.describe(docs, "doc_id"), "statistics")  # texts are read once and never shuffled
+    model = quality.fit(described.join(labels, F.col("key") == F.col("doc_id")).select("stats", "label"))
+    scored = quality.score(described, model).withColumnRenamed("key", "doc_id")
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
