@@ -5,7 +5,8 @@ a set of shingles of up to ``shingle`` words with their places. Shingles are ord
 documents. As an occurrence contains the whole window, the prefix that must be shared is a window's rarest shingle. Joining
 documents with the prefixes on that shingle's hash gives candidates (texts that are copies of each other once); the shingle's place in the window gives the start,
 which must leave room before and behind it (positional and length bounds); and the words of the document there must
-equal the window's, which is the exact check. Nothing but these checks decides, so hash collisions have no effect.
+equal the window's, which is the exact check, so collisions of shingle hashes have no effect. Copies of a text are known by 128 bits of
+hash and their length.
 
 The benchmark's shingles and windows are broadcast while they are fewer than ``small`` (their size is checked first); a
 larger benchmark is joined by shuffles on the shingle's hash, which for hot shingles AQE can split.
@@ -36,6 +37,15 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(lowered, SEPARATORS), "")
 
 
+#: What names a text: two hashes of 64 bits and its length, so that copies of a text are checked once.
+TEXT_KEY = ["hash", "hash2", "bytes"]
+
+
+def identity(text: Column) -> list[Column]:
+    """TEXT_KEY of a text; equal for nulls. The second hash is seeded by a number hashed before the text."""
+    return [F.xxhash64(text).alias("hash"), F.xxhash64(F.lit(7), text).alias("hash2"), F.coalesce(F.octet_length(text), F.lit(-1)).alias("bytes")]
+
+
 def _hash(parts: list[Column], size: int) -> Column:
     """The hash of a shingle; null where it would run past the end."""
     return F.when(parts[size - 1].isNotNull(), F.xxhash64(*parts[:size], F.lit(size)))
@@ -71,7 +81,7 @@ def occurrences(docs: DataFrame, items: DataFrame, text: str = "text", item_key:
     wide = found.withColumn("size", F.least(F.size("w"), F.lit(shingle)))
     sizes = sorted(r["size"] for r in wide.select("size").distinct().collect())  # up to ``shingle`` numbers
     named = F.struct(*rest) if rest else F.struct(F.lit(0).alias("none"))
-    base = docs.select(named.alias("doc"), F.col(text).alias("text"))
+    base = docs.select(named.alias("doc"), F.col(text).alias("text"), *identity(F.col(text)))
     id_array = f"array<{items.schema[item_key].dataType.simpleString()}>"
     spans_array = "array<struct<at:int,size:int>>"
     if not sizes:
@@ -88,8 +98,8 @@ def occurrences(docs: DataFrame, items: DataFrame, text: str = "text", item_key:
     fit = F.broadcast if is_small else (lambda x: x)
 
     # one pass over all texts: places of the benchmark's shingles, and a leading row for each document
-    split = base.select("doc", F.xxhash64("text").alias("hash"), F.octet_length("text").alias("bytes"), words(F.col("text")).alias("words"))
-    each = split.select("doc", "hash", "bytes", F.size("words").alias("n_words"), F.posexplode_outer(_runs(F.col("words"), max(sizes))).alias("at", "run"))
+    split = base.select("doc", *TEXT_KEY, words(F.col("text")).alias("words"))
+    each = split.select("doc", *TEXT_KEY, F.size("words").alias("n_words"), F.posexplode_outer(_runs(F.col("words"), max(sizes))).alias("at", "run"))
     hashes = [(s, _hash([F.col(f"run.w{k}") for k in range(s)], s)) for s in sizes]
     lead = F.coalesce(F.col("at") == 0, F.lit(True))
     if is_small:
@@ -99,13 +109,13 @@ def occurrences(docs: DataFrame, items: DataFrame, text: str = "text", item_key:
         for h in hit.values():
             any_hit = any_hit | h
         found_at = F.array_compact(F.array(*[F.when(hit[s], h) for s, h in hashes]))
-        places = each.where(any_hit).select("doc", "hash", "bytes", "n_words", "at", lead.alias("lead"), found_at.alias("hs"))
+        places = each.where(any_hit).select(F.when(lead, F.col("doc")).alias("doc"), *TEXT_KEY, "n_words", "at", lead.alias("lead"), found_at.alias("hs"))
     else:
-        exploded = each.select("doc", "hash", "bytes", "n_words", "at", lead.alias("lead"), F.explode_outer(F.array_compact(F.array(*[h for _, h in hashes]))).alias("h"))
+        exploded = each.select(F.when(lead, F.col("doc")).alias("doc"), *TEXT_KEY, "n_words", "at", lead.alias("lead"), F.explode_outer(F.array_compact(F.array(*[h for _, h in hashes]))).alias("h"))
         kept = exploded.join(known.withColumn("known", F.lit(True)), "h", "left").where("lead or known")
-        places = kept.select("doc", "hash", "bytes", "n_words", "at", "lead", F.when(F.col("known"), F.array("h")).otherwise(F.array().cast("array<bigint>")).alias("hs"))
+        places = kept.select("doc", *TEXT_KEY, "n_words", "at", "lead", F.when(F.col("known"), F.array("h")).otherwise(F.array().cast("array<bigint>")).alias("hs"))
     places = stage(places, "places")
-    hits = places.select("hash", "bytes", "at", F.explode("hs").alias("h"))
+    hits = places.select(*TEXT_KEY, "at", F.explode("hs").alias("h"))
 
     # rarity over all documents; each window's rarest shingle is its prefix
     counts = hits.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
@@ -116,20 +126,19 @@ def occurrences(docs: DataFrame, items: DataFrame, text: str = "text", item_key:
     index = prefix.groupBy(F.col("p.h").alias("h"), F.col("p.offset").alias("offset"), "w").agg(F.collect_set("item_id").alias("of"))
 
     # candidates: a text once for all its copies; the start must leave room for the window
-    texts = places.select("hash", "bytes", "n_words").distinct()
+    texts = places.select(*TEXT_KEY, "n_words").distinct()
     start = F.col("at") - F.col("offset")
-    candidates = hits.distinct().join(fit(index), "h").join(texts, ["hash", "bytes"]).where((start >= 0) & (start + F.size("w") <= F.col("n_words")))
-    candidates = candidates.groupBy("hash", "bytes").agg(F.collect_set(F.struct(start.alias("at"), "w", "of")).alias("candidates"))
-    sources = base.select(F.xxhash64("text").alias("hash"), F.octet_length("text").alias("bytes"), "text")
-    wanted = sources.join(candidates.select("hash", "bytes"), ["hash", "bytes"], "left_semi").groupBy("hash", "bytes").agg(F.first("text").alias("text"))
-    checked = wanted.join(candidates, ["hash", "bytes"]).select("hash", "bytes", words(F.col("text")).alias("words"), "candidates")
-    exact = checked.select("hash", "bytes", F.filter("candidates", lambda c: F.slice(F.col("words"), c["at"] + 1, F.size(c["w"])) == c["w"]).alias("occ"))
+    candidates = hits.distinct().join(fit(index), "h").join(texts, TEXT_KEY).where((start >= 0) & (start + F.size("w") <= F.col("n_words")))
+    candidates = candidates.groupBy(*TEXT_KEY).agg(F.collect_set(F.struct(start.alias("at"), "w", "of")).alias("candidates"))
+    wanted = base.select(*TEXT_KEY, "text").join(candidates.select(*TEXT_KEY), TEXT_KEY, "left_semi").groupBy(*TEXT_KEY).agg(F.first("text").alias("text"))
+    checked = wanted.join(candidates, TEXT_KEY).select(*TEXT_KEY, words(F.col("text")).alias("words"), "candidates")
+    exact = checked.select(*TEXT_KEY, F.filter("candidates", lambda c: F.slice(F.col("words"), c["at"] + 1, F.size(c["w"])) == c["w"]).alias("occ"))
     exact = exact.select(
-        "hash", "bytes",
+        *TEXT_KEY,
         F.array_distinct(F.transform("occ", lambda c: F.struct(c["at"].alias("at"), F.size(c["w"]).alias("size")))).alias("spans"),
         F.array_distinct(F.flatten(F.transform("occ", lambda c: c["of"]))).alias("items"),
     )
-    lines = places.where("lead").select("doc", F.col("n_words").cast("long").alias("n_words"), "hash", "bytes").join(exact, ["hash", "bytes"], "left")
+    lines = places.where("lead").select("doc", F.col("n_words").cast("long").alias("n_words"), *TEXT_KEY).join(exact, TEXT_KEY, "left")
     return _named(lines.select("doc", "n_words", F.coalesce("spans", F.array().cast(spans_array)).alias("spans"), F.coalesce("items", F.array().cast(id_array)).alias("items")), rest)
 
 
