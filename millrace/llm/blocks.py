@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import partitions
+from .common import partitions, small_batches, tidied
 
 #: Bytes of text in a block. A text isn't divided, so a longer one is in a larger block.
 BLOCK_BYTES = 8 << 20
@@ -62,6 +62,7 @@ def unpack_keys(b: bytes, n: int) -> np.ndarray:
 
 def deal(docs: DataFrame, key: str, text: str, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
     """``docs`` with the number of their block, and how many blocks there are. Null keys are in the first."""
+    small_batches(docs.sparkSession)
     size, rows = docs.agg(F.sum(F.octet_length(F.col(text))), F.count(F.lit(1))).first()
     least = min(partitions(docs.sparkSession), (size or 0) // (1 << 20) + 1)
     n = max(1, least, -(-(size or 0) // block_bytes))
@@ -160,11 +161,11 @@ def ask(dealt: DataFrame, send: Callable[[int, pa.Table], list[tuple]], answers:
         rows = heard(table.column(BLOCK)[0].as_py(), table, Answers(given)) if table.num_rows else []
         return table_of(rows, MESSAGE)
 
-    out = dealt.groupBy(BLOCK).applyInArrow(sent, MESSAGE) if answers is None else dealt.groupBy(BLOCK).cogroup(answers.groupBy(BLOCK)).applyInArrow(sent_again, MESSAGE)
+    out = dealt.groupBy(BLOCK).applyInArrow(tidied(sent), MESSAGE) if answers is None else dealt.groupBy(BLOCK).cogroup(answers.groupBy(BLOCK)).applyInArrow(tidied(sent_again), MESSAGE)
     def answered(table: pa.Table) -> pa.Table:
         return add_up(table, firsts)
 
-    return out.groupBy("bucket").applyInArrow(answered, ANSWER)
+    return out.groupBy("bucket").applyInArrow(tidied(answered), ANSWER)
 
 
 def conclude(dealt: DataFrame, answers: DataFrame, finish: Callable[[int, pa.Table, Answers], pa.Table], schema: T.StructType) -> DataFrame:
@@ -173,4 +174,4 @@ def conclude(dealt: DataFrame, answers: DataFrame, finish: Callable[[int, pa.Tab
     def run(table: pa.Table, given: pa.Table) -> pa.Table:
         return finish(table.column(BLOCK)[0].as_py() if table.num_rows else -1, table, Answers(given))
 
-    return dealt.groupBy(BLOCK).cogroup(answers.groupBy(BLOCK)).applyInArrow(run, schema)
+    return dealt.groupBy(BLOCK).cogroup(answers.groupBy(BLOCK)).applyInArrow(tidied(run), schema)

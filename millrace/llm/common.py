@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import inspect
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +20,53 @@ U64 = np.uint64
 CHUNK_BYTES = 1 << 21
 
 
+#: Bytes of an Arrow batch that goes to Python.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Holds the session's Arrow batches to some megabytes, as texts can be long; records alone don't bound them."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def tidy() -> None:
+    """Gives memory that is free back to the system, as Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidied(f: Callable) -> Callable:
+    """A function of batches, a table, or two tables, that tidies up when it is done."""
+    if inspect.isgeneratorfunction(f):
+
+        def run(batches):
+            try:
+                yield from f(batches)
+            finally:
+                tidy()
+
+    elif f.__code__.co_argcount == 1:
+
+        def run(table):
+            try:
+                return f(table)
+            finally:
+                tidy()
+
+    else:
+
+        def run(left, right):
+            try:
+                return f(left, right)
+            finally:
+                tidy()
+
+    return run
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (splitmix64), elementwise."""
     with np.errstate(over="ignore"):
@@ -123,6 +172,12 @@ def text_chunks(column, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np
         yield a, b, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
 
 
+def text_slices(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of a string column that hold about ``limit`` bytes."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    return chunks(np.r_[0, np.cumsum(sizes, dtype=np.int64)], limit)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where it is unset, as in tests."""
     given = spark.conf.get("spark.checkpoint.dir", "")
@@ -140,6 +195,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free(name: str, taken: list[str]) -> str:
+    """The name, with marks before it until none of ``taken`` is equal (Spark's names don't heed case)."""
+    have = {t.lower() for t in taken}
+    while name.lower() in have:
+        name = "_" + name
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import small_batches, stage, tidied
 
 
 def union_find(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -42,8 +42,9 @@ def connected(links: DataFrame, a: str, b: str) -> DataFrame:
 
     Minima are combined before the shuffle and joined back to the links, so a hub's links are never gathered in one task.
     """
+    small_batches(links.sparkSession)
     edges = links.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u > v")
-    edges = stage(edges.mapInArrow(_contract, "u long, v long").distinct(), "links")
+    edges = stage(edges.mapInArrow(tidied(_contract), "u long, v long").distinct(), "links")
     before = None
     while True:
         state = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.col("v").cast("decimal(38,0)")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import widened
+from .common import small_batches, tidied, widened
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*)>?", re.S)
 _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -234,6 +234,7 @@ def plain_text(root: Node) -> str:
 
 def extract(df: DataFrame, source: str = "html", target: str = "text", length: str = "n_chars") -> DataFrame:
     """``df`` without the column of pages, with their main texts and lengths in code points; the new names must be free."""
+    small_batches(df.sparkSession)
     names = df.columns
     rest = [n for n in names if n != source]
     if clash := {target, length} & set(rest):
@@ -246,4 +247,4 @@ def extract(df: DataFrame, source: str = "html", target: str = "text", length: s
             yield pa.RecordBatch.from_arrays([*kept, pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], [*rest, target, length])
 
     schema = widened(df.drop(source).schema, (target, "string"), (length, "long"))
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidied(run), schema)

@@ -20,10 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, stage, text_chunks, word_hashes
+from .common import chunks, mix64, small_batches, stage, text_chunks, tidied, word_hashes
 from .components import connected
 
 PLACES, BAND_ROWS = 128, 4
@@ -32,6 +33,8 @@ WORDS = 5
 NUMERATOR, DENOMINATOR = 80, 100
 #: Members of a side of a cell, and columns of a matrix, that a task holds at a time.
 _SIDE, _COLUMNS = 512, 4096
+#: Elements that are permuted at once, and bytes of texts that are worked on at once.
+_ELEMENTS, _CHUNK = 1 << 15, 1 << 19
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -57,8 +60,17 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.
 def signatures(elements: np.ndarray, owner: np.ndarray, texts: int, places: int = PLACES) -> np.ndarray:
     """SuperMinHash values, (texts, places); infinite for empty sets."""
     values = np.full((texts, places), np.inf)
+    for at in range(0, len(elements), _ELEMENTS):  # smallest values over parts are those over all
+        _lower(values, elements[at : at + _ELEMENTS], owner[at : at + _ELEMENTS])
+    return values
+
+
+def _lower(values: np.ndarray, elements: np.ndarray, owner: np.ndarray) -> None:
+    """Takes elements into the signatures of their texts."""
+    places = values.shape[1]
     permutation = np.tile(np.arange(places, dtype=np.uint16), (len(elements), 1))
     flat = values.ravel()
+    texts = np.unique(owner)
     for j in range(places):
         if not len(elements):
             break
@@ -71,11 +83,12 @@ def signatures(elements: np.ndarray, owner: np.ndarray, texts: int, places: int
         permutation[rows, k] = permutation[:, j]
         np.minimum.at(flat, owner * places + place, j + fraction)
         # a later step gives j + 1 at least
-        done = values.max(axis=1) < j + 1
-        left = ~done[owner]
-        if not left.all():
-            elements, owner, permutation = elements[left], owner[left], permutation[left]
-    return values
+        full = values[texts].max(axis=1) < j + 1
+        if full.any():
+            done = np.zeros(len(values), dtype=bool)
+            done[texts[full]] = True
+            left = ~done[owner]
+            elements, owner, permutation, texts = elements[left], owner[left], permutation[left], texts[~full]
 
 
 def _bands(values: np.ndarray, rows: int) -> np.ndarray:
@@ -91,7 +104,7 @@ def sketch(docs: DataFrame, key: str, text: str, words: int, places: int = PLACE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, offsets in text_chunks(batch.column(1)):
+            for a, b, data, offsets in text_chunks(batch.column(1), _CHUNK):
                 elements, owner = shingle_sets(data, offsets, words)
                 n = b - a
                 count = np.bincount(owner, minlength=n)
@@ -113,8 +126,9 @@ def sketch(docs: DataFrame, key: str, text: str, words: int, places: int = PLACE
                     ["key", "n_shingles", "p1", "p2", "bands"],
                 )
 
+    small_batches(docs.sparkSession)
     rows_ = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    return rows_.mapInArrow(run, "key long, n_shingles long, p1 long, p2 long, bands array<long>")
+    return rows_.mapInArrow(tidied(run), "key long, n_shingles long, p1 long, p2 long, bands array<long>")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, key: str, text: str, words: int, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
@@ -124,9 +138,10 @@ def verify(pairs: DataFrame, docs: DataFrame, key: str, text: str, words: int, n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                n = part.num_rows
+            sizes = sum(pc.fill_null(pc.binary_length(batch.column(k)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for k in (2, 3))
+            for at, to in chunks(np.r_[0, np.cumsum(sizes)], 2 * _CHUNK):
+                n = to - at
+                part = batch.slice(at, n)
                 both = pa.concat_arrays([part.column(2), part.column(3)])
                 elements, owner, size = [], [], np.zeros(2 * n, dtype=np.int64)
                 for a, b, data, offsets in text_chunks(both):
@@ -142,7 +157,7 @@ def verify(pairs: DataFrame, docs: DataFrame, key: str, text: str, words: int, n
                 keep = pa.array((denominator * shared >= numerator * union) & (shared > 0))
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep)], ["x", "y"])
 
-    return joined.mapInArrow(run, "x long, y long")
+    return joined.mapInArrow(tidied(run), "x long, y long")
 
 
 def overlaps(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray], n: int, m: int) -> np.ndarray:
@@ -209,7 +224,7 @@ def _apart(rows: DataFrame, docs: DataFrame, key: str, text: str, words: int, nu
             y.extend(np.maximum(k1[s], k2[to[one]]))
         return pa.table({"x": pa.array(x, pa.int64()), "y": pa.array(y, pa.int64())})
 
-    return cells.groupBy("band", "i", "j").applyInArrow(compare, "x long, y long").distinct()
+    return cells.groupBy("band", "i", "j").applyInArrow(tidied(compare), "x long, y long").distinct()
 
 
 def near_duplicates(

@@ -20,16 +20,20 @@ from collections.abc import Callable, Iterator
 from itertools import chain
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import widened
+from .common import chunks, small_batches, text_slices, tidied, widened
 
 MARK = "▁"
-#: Words kept between batches; beyond that the table starts anew.
-KEEP_WORDS = 300_000
-_CHUNK = 1 << 22
+#: Words and pairs kept between a task's batches; beyond that a table starts anew.
+KEEP_WORDS = 200_000
+_KEEP_PAIRS = 400_000
+#: Bytes of texts, and ids, that are worked on at once.
+_CHUNK = 1 << 20
 _loaded: dict[bytes, PieceModel] = {}
 
 
@@ -92,7 +96,7 @@ class PieceModel:
 
     def _fits(self, pair: int) -> bool:
         """Whether two pieces stay apart when their joined text is merged. A negative number is a character without a piece."""
-        if len(self._pairs) > 1_000_000:
+        if len(self._pairs) > _KEEP_PAIRS:
             self._pairs.clear()
         left, right = (self.text[i] if i >= 0 else chr(~i) for i in ((pair >> 32) - (1 << 22), (pair & 0xFFFFFFFF) - (1 << 22)))
         found = self._pairs[pair] = self.merge(left + right) == [left, right]
@@ -196,6 +200,11 @@ class PieceModel:
                 new.discard(w)
         self.words.update((self._walk_merges if self.merges else self._walk_scores)(sorted(new)))
 
+    def forget(self) -> None:
+        """Empties the tables of words and pairs."""
+        self.words.clear()
+        self._pairs.clear()
+
     def marked(self, text: str) -> list[str]:
         if not text:
             return []
@@ -240,19 +249,15 @@ def read_model(path: str) -> bytes:
         return f.read()
 
 
-def _parts(texts: list) -> Iterator[tuple[int, int]]:
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or ())
-        if size >= _CHUNK:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+def _parts(column: pa.Array) -> Iterator[tuple[int, int]]:
+    if not pa.types.is_list(column.type):
+        return text_slices(column, _CHUNK)
+    return chunks(np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)], _CHUNK)
 
 
 def _run(df: DataFrame, proto: bytes, source: str, added: list[tuple[str, T.DataType]], work: Callable[[PieceModel, list], list[list]]) -> DataFrame:
     """``df`` with columns made from one of its columns, some megabytes at a time; nulls give nulls."""
+    small_batches(df.sparkSession)
     names = df.columns
     if clash := {n for n, _ in added} & set(names):
         raise ValueError(f"columns exist already: {sorted(clash)}")
@@ -262,13 +267,14 @@ def _run(df: DataFrame, proto: bytes, source: str, added: list[tuple[str, T.Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(shared.value)
         for batch in batches:
-            values = batch.column(names.index(source)).to_pylist()
-            for a, b in _parts(values):
-                columns = [iter(c) for c in work(m, [v for v in values[a:b] if v is not None])]
-                made = [pa.array([None if v is None else next(c) for v in values[a:b]], k) for c, k in zip(columns, kinds, strict=True)]
+            for a, b in _parts(batch.column(names.index(source))):
+                values = batch.column(names.index(source)).slice(a, b - a).to_pylist()
+                columns = [iter(c) for c in work(m, [v for v in values if v is not None])]
+                made = [pa.array([None if v is None else next(c) for v in values], k) for c, k in zip(columns, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, *made], [*names, *(n for n, _ in added)])
+        m.forget()
 
-    return df.mapInArrow(run, widened(df.schema, *added))
+    return df.mapInArrow(tidied(run), widened(df.schema, *added))
 
 
 def encode(df: DataFrame, proto: bytes, text: str = "text", ids: str = "ids") -> DataFrame:

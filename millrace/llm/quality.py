@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ByteHash, lower_ascii, mix64, stage, text_chunks, word_bounds
+from .common import ByteHash, lower_ascii, mix64, small_batches, stage, text_chunks, tidied, word_bounds
 
 _CLASS = np.zeros((256, 8), dtype=bool)
 for _c in range(256):
@@ -101,6 +101,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def describe(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``key`` and the statistics of its text, as an array of doubles named ``stats``."""
+    small_batches(df.sparkSession)
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +112,7 @@ def describe(df: DataFrame, key: str, text: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), flat], ["key", "stats"])
 
     kind = df.schema[key].dataType.simpleString()
-    return rows.mapInArrow(run, f"key {kind}, stats array<double>")
+    return rows.mapInArrow(tidied(run), f"key {kind}, stats array<double>")
 
 
 class QualityModel:
@@ -181,7 +182,7 @@ def fit(labelled: DataFrame, model: QualityModel | None = None) -> QualityModel:
         return pa.table({"i": table.column("i")[:1], "near": table.column("near")[:1], "part": pa.array([total.tobytes()], pa.binary())})
 
     kinds = "i int, near int, part binary"
-    parts = rows.mapInArrow(equations, kinds).groupBy("i", "near").applyInArrow(add, kinds).groupBy("i").applyInArrow(add, kinds).collect()  # a row of the matrix each
+    parts = rows.mapInArrow(tidied(equations), kinds).groupBy("i", "near").applyInArrow(tidied(add), kinds).groupBy("i").applyInArrow(tidied(add), kinds).collect()  # a row of the matrix each
     total = np.array([np.frombuffer(r["part"], dtype=float) for r in sorted(parts, key=lambda r: r["i"])])
     n = total[-1, -2]
     model.weights = np.linalg.solve(total[:, :-1] + model.ridge * n * np.eye(size) / size, total[:, -1])
@@ -192,7 +193,7 @@ def fit(labelled: DataFrame, model: QualityModel | None = None) -> QualityModel:
             at = np.clip((fitted.value.raw(_matrix(batch, 0)) - _LOW) / (_HIGH - _LOW) * BINS, 0, BINS - 1).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(at), batch.column(1)], ["bin", "label"])
 
-    curve = rows.mapInArrow(bins, "bin int, label double").groupBy("bin").agg(F.sum("label").alias("y"), F.count(F.lit(1)).alias("n")).orderBy("bin").collect()
+    curve = rows.mapInArrow(tidied(bins), "bin int, label double").groupBy("bin").agg(F.sum("label").alias("y"), F.count(F.lit(1)).alias("n")).orderBy("bin").collect()
     x = np.array([_LOW + (r["bin"] + 0.5) * (_HIGH - _LOW) / BINS for r in curve])
     model.x, model.y = pool_adjacent_violators(x, np.array([r["y"] for r in curve]), np.array([float(r["n"]) for r in curve]))
     return model
@@ -207,4 +208,4 @@ def score(described: DataFrame, model: QualityModel, name: str = "score") -> Dat
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.score(_matrix(batch, 1)))], ["key", name])
 
     kind = described.schema["key"].dataType.simpleString()
-    return described.select("key", "stats").mapInArrow(run, f"key {kind}, {name} double")
+    return described.select("key", "stats").mapInArrow(tidied(run), f"key {kind}, {name} double")

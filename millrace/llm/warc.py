@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import htmltext
+from .common import small_batches, tidied
 
 VERSION = "WARC/1.1"
 DATE = "1970-01-01T00:00:00Z"
@@ -169,6 +170,7 @@ def derive(df: DataFrame, key: str = "page_id", url: str = "url", page: str = "h
 
     ``df`` may also be rows of ``read``: then each record of type response gives two rows, and ``key`` is the response's identifier.
     """
+    small_batches(df.sparkSession)
     given = page not in df.columns and {"type", "headers", "block"} <= set(df.columns)
     if given:
         rows = df.where(F.lower("type") == "response").select("headers", "block")
@@ -187,7 +189,7 @@ def derive(df: DataFrame, key: str = "page_id", url: str = "url", page: str = "h
             kinds = [pa.string()] * 7 + [pa.int64()] + [pa.string()] * 3 + [pa.map_(pa.string(), pa.string()), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [x.split()[0] for x in SCHEMA.split(", ")])
 
-    return rows.mapInArrow(run, SCHEMA)
+    return rows.mapInArrow(tidied(run), SCHEMA)
 
 
 def write(derived: DataFrame, path: str) -> None:
@@ -205,7 +207,7 @@ def write(derived: DataFrame, path: str) -> None:
                 out.append(gzip.compress(record(h, r["block"].encode()), mtime=0))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["member"])
 
-    derived.mapInArrow(pack, "member binary").write.parquet(path)
+    derived.mapInArrow(tidied(pack), "member binary").write.parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -219,4 +221,4 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 arrays = [pa.array(kinds, pa.string()), pa.array([list(h.items()) for h, _ in found], pa.map_(pa.string(), pa.string())), pa.array([b for _, b in found], pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, ["type", "headers", "block"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "type string, headers map<string,string>, block binary")
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(tidied(run), "type string, headers map<string,string>, block binary")

@@ -345,11 +345,12 @@ def test_texts_in_no_learned_language_are_rejected(spark):
 
 def test_stages_with_odd_tables(spark, tmp_path):
     spark.createDataFrame([(1, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    schema = "doc_id long, text string, lang string, source string, n_chars long, key string, component long, rep long, at long, h long, bytes long"
-    some = [(None, None, None, None, None, None, None, None, None, None, None), (1, "the words of a text", "en", "s", 19, "k", 7, 7, 7, 7, 7), (1, "the words of a text", "en", "s", 19, "k", 7, 7, 7, 7, 7), (2, "", "en", None, 0, None, None, None, None, None, None)]
+    more = "component rep at h bytes hash n_words spans items kept removed n_bytes n_removed _block _null _text _new _lang _score _hash rest".split()
+    schema = "doc_id long, text string, lang string, source string, n_chars long, key string, " + ", ".join(f"{n} long" for n in more)
+    some = [(None,) * (6 + len(more)), *[(1, "the words of a text", "en", "s", 19, "k", *[7] * len(more))] * 2, (2, "", "en", None, 0, None, *[None] * len(more))]
     for rows in (some, []):
         docs = spark.createDataFrame(rows, schema)
         for name, apply in corpus_pipeline.STAGES:
             out = apply(spark, docs, str(tmp_path))
             assert out.columns[: len(docs.columns)] == docs.columns, name
-            out.collect()
+            assert all(r["_null"] == r["rest"] == r["_text"] for r in out.collect())
