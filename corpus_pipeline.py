@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import decontam, langid, minhash, pieces, suffix
-from millrace.llm.common import stage
+from millrace.llm.common import free, stage
 from millrace.llm.queries import TOKENIZER, TOKENIZERS, table
 
 #: Documents whose best language has a smaller posterior are rejected, as are those without a letter.
@@ -20,10 +20,11 @@ LEAST_LIKENESS = 0.6
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents of a recognised language. The model learns from all documents with a language."""
+    """Keep documents of a recognised language. The model learns from all documents with a language; null and letterless texts go."""
     model = langid.train(docs)
-    named = langid.identify(docs, model, prediction="_lang", score="_score", likeness="_like")
-    return named.where((F.col("_lang") != "und") & (F.col("_score") >= LEAST_POSTERIOR) & (F.col("_like") >= LEAST_LIKENESS)).select(*docs.columns)
+    lang, score, like = (free(x, docs.columns) for x in ("_lang", "_score", "_like"))
+    named = langid.identify(docs, model, prediction=lang, score=score, likeness=like)
+    return named.where((F.col(lang) != "und") & (F.col(score) >= LEAST_POSTERIOR) & (F.col(like) >= LEAST_LIKENESS)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,28 +34,29 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
-def _with_text(df: DataFrame, columns: list[str], text) -> DataFrame:
-    """The columns in order, with a new text and its length."""
-    df = df.withColumn("_new", text)
-    return df.select(*[F.col("_new").alias(c) if c == "text" else F.length("_new").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in columns])
-
-
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut passages of 100 bytes or more that occurred before. Characters that a cut would split go as a whole; nulls stay null."""
-    marked = docs.withColumn("_null", F.col("text").isNull())
-    cut = suffix.remove_repeats(marked, as_text=True)
-    return _with_text(cut, docs.columns, F.when(~F.col("_null"), F.col("kept")))
+    """Cut passages of 100 bytes or more that occurred before. Characters that a cut would split go as a whole; nulls stay null.
+
+    Of columns only the key, the text and all others as one struct take part, so none can clash with a name of the operator's.
+    """
+    null = free("_null", docs.columns)
+    rest = F.struct(*[c for c in docs.columns if c != "text"], F.col("text").isNull().alias(null)).alias("rest")
+    cut = suffix.remove_repeats(docs.select("doc_id", "text", rest), as_text=True)
+    text = F.when(~F.col("rest").getField(null), F.col("kept"))
+    return cut.select(*[text.alias(c) if c == "text" else F.length(text).cast("long").alias(c) if c == "n_chars" else F.col("rest").getField(c).alias(c) for c in docs.columns])
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a window of a benchmark item."""
-    kept = docs.withColumn("_text", F.col("text"))
-    found = decontam.occurrences(kept, table(spark, sf_dir, "benchmark"))
-    return found.where(F.size("items") == 0).select(*[F.col("_text").alias(c) if c == "text" else F.col(c) for c in docs.columns])
+    """Drop documents that hold a window of a benchmark item. What is dropped follows from a text alone; null texts stay."""
+    names = [free(f"_{k}", docs.columns) for k in decontam.TEXT_KEY]
+    keys = [k.alias(n) for k, n in zip(decontam.identity(F.col("text")), names, strict=True)]
+    found = decontam.occurrences(docs.select("text", *keys), table(spark, sf_dir, "benchmark"))
+    gone = found.where(F.size("items") > 0).select(*names).distinct()
+    return docs.select(*docs.columns, *keys).join(gone, names, "left_anti").select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of the texts, and whether decoding gives the text back."""
+    """Piece ids of the texts, and whether decoding gives the text back; a null text has null ids and counts as given back."""
     proto = pieces.read_model(f"{TOKENIZERS}/{TOKENIZER}")
     done = pieces.encode_and_decode(docs, proto)
     return done.select(*docs.columns, "ids", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_ids"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
