@@ -1,7 +1,10 @@
 """Main text of HTML pages by composite text density.
 
 A tolerant parser builds the node tree. Parts that say what they are (scripts, navigation, footers, forms, adverts,
-notices, comments ... by tag, role, class or id) are left out first. Every other node gets its composite text density:
+notices, comments ... by tag or role, or by a class or id) are left out first. A class or id is a hint only: forms like ``no-sidebar``
+or ``comments-open`` don't count, a part that holds the page's article or main element stays, and so does one with a loose
+hint (``widget``, ``sidebar``) that says it is content as well or holds half of the page's text; where hints would leave no text, none
+counts. Every other node gets its composite text density:
 characters per tag, adjusted by link characters and link tags. The node whose children's densities have the largest sum
 is the core; the smallest density on its path to the body is the threshold; siblings along that path that reach the
 threshold, and headings, belong to the text as well. A core inside ``article`` or ``main`` stands for all of that.
@@ -35,11 +38,17 @@ ENDS_P = BLOCK - frozenset("body br button caption head html legend option selec
 SAME = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "option": ("select",)}
 LEFT_OUT = frozenset("head script style nav footer aside form button select textarea template noscript iframe svg canvas object menu dialog title noembed noframes xmp audio video map".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar status".split())
-MARKS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay "
-    "nav navbar navigation menu submenu breadcrumb breadcrumbs pagination pager sidebar footer masthead topbar toolbar comment comments disqus respond reply replies "
-    "share sharing social related recommended newsletter subscribe signup login search widget skip".split()
+#: Words of classes and ids that name other parts: firm ones, and loose ones that wrappers of the main text bear, too.
+COMMENTS = frozenset("comment comments disqus respond reply replies".split())
+FIRM = COMMENTS | frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored cookie cookies consent gdpr popup modal "
+    "nav navbar navigation menu submenu breadcrumb breadcrumbs pagination pager footer newsletter subscribe signup login".split()
 )
+LOOSE = frozenset("promo promotion banner notice notices alert overlay sidebar masthead topbar toolbar share sharing social related recommended search widget skip header".split())
+CONTENT = frozenset("article content main entry post story text body".split())
+#: Words that, before or behind such a word in a class, make it a setting.
+BEFORE, BEHIND = frozenset("no has with without hide hides".split()), frozenset("open opened closed on off enabled disabled".split())
+_RAW_END = {tag: re.compile(f"</{tag}(?![a-z0-9])", re.I) for tag in RAW}
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 
@@ -55,7 +64,6 @@ def parse(page: str) -> Node:
     """The tree of a page; character references in texts are decoded, comments and declarations dropped."""
     root = node = Node("#root", None)
     at, size = 0, len(page)
-    lowered = None
     while at < size:
         m = _TOKEN.search(page, at)
         if m is None:
@@ -77,10 +85,8 @@ def parse(page: str) -> Node:
             child = Node(tag, node, attributes)
             node.children.append(child)
             if tag in RAW:
-                if lowered is None:
-                    lowered = page.lower() if len(page.lower()) == size else page
-                cut = lowered.find("</" + tag, at)
-                cut = size if cut < 0 else cut
+                ended = _RAW_END[tag].search(page, at)
+                cut = size if ended is None else ended.start()
                 if tag in ("textarea", "title"):
                     child.children.append(html.unescape(page[at:cut]))
                 else:
@@ -112,41 +118,99 @@ def attributes(node: Node) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(node.attributes)} if node.attributes else {}
 
 
-def _says_other(node: Node, inside: bool) -> bool:
-    """Whether a part says that it isn't main text; ``inside``: within an article or main element."""
+def _says_other(node: Node, inside: bool, have: dict[str, str]) -> bool:
+    """Whether a part's tag, role or style says that it isn't main text; ``inside``: within an article or main element."""
     if node.tag in LEFT_OUT or node.tag == "header" and not inside:
         return True
-    if not node.attributes:
+    if not have:
         return False
-    have = attributes(node)
-    if "hidden" in have or have.get("aria-hidden") == "true" or have.get("role", "").lower() in ROLES or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", have.get("style", "")):
-        return True
-    if node.tag in ("body", "html", "article", "main") or node.tag in HEADINGS:
-        return node.tag == "article" and "comment" in re.split(r"[^a-z]+", have.get("class", "").lower())
-    words = re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", f"{have.get('class', '')} {have.get('id', '')}").lower())
-    return any(w in MARKS for w in words) or "header" in words and not inside
+    return "hidden" in have or have.get("aria-hidden") == "true" or have.get("role", "").lower() in ROLES or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", have.get("style", "")))
+
+
+def _hints(node: Node, inside: bool, have: dict[str, str]) -> tuple[set[str], bool]:
+    """Words of a part's class and id that name other parts, and whether a class of its own says that it is content."""
+    found: set[str] = set()
+    content = False
+    if node.tag in ("body", "html", "main") or node.tag in HEADINGS:
+        return found, content
+    for name in f"{have.get('class', '')} {have.get('id', '')}".split():
+        words = [w for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()) if w]
+        marks = {w for k, w in enumerate(words) if (w in FIRM or w in LOOSE) and not BEFORE.intersection(words[:k]) and not BEHIND.intersection(words[k + 1 :])}
+        if inside:
+            marks.discard("header")
+        found |= marks
+        content |= not marks and not CONTENT.isdisjoint(words)
+    return (found & {"comment"} if node.tag == "article" else found), content
+
+
+def _is_main(node: Node, have: dict[str, str]) -> bool:
+    return node.tag in ("article", "main") and not _hints(node, True, have)[0] or have.get("role") == "main"
 
 
 _SPACE = re.compile(r"\s+")
 
 
-def _measure(root: Node) -> list[Node]:
-    """Fill in sums and densities of what isn't left out; nodes come back children first."""
-    order, stack = [], [(root, False)]
+def _chars(node: Node) -> int:
+    return sum(len(_SPACE.sub("", c)) if isinstance(c, str) else c.chars for c in node.children)
+
+
+def _leave_out(root: Node) -> None:
+    """Take out the parts that aren't main text by their own word."""
+    order: list[tuple[Node, dict[str, str], bool]] = []
+    stack: list[tuple[Node, bool]] = [(root, False)]
     while stack:
         node, inside = stack.pop()
-        order.append(node)
+        have = attributes(node)
+        order.append((node, have, inside))
         inside = inside or node.tag in ("article", "main")
-        node.children = [c for c in node.children if isinstance(c, str) or not _says_other(c, inside)]
+        node.children = [c for c in node.children if isinstance(c, str) or not _says_other(c, inside, attributes(c))]
         stack += [(c, inside) for c in node.children if not isinstance(c, str)]
+    largest: dict[int, int] = {}  # characters of the largest article or main element in a node
+    hinted = []
+    for node, have, inside in reversed(order):
+        node.chars = _chars(node)
+        most = max((largest[id(c)] for c in node.children if not isinstance(c, str)), default=0)
+        if have and (found := _hints(node, inside, have))[0]:
+            hinted.append((node, *found, most))
+        largest[id(node)] = max(most, node.chars) if _is_main(node, have) else most
+    total = root.chars
+    out = set()
+    for node, words, content, most in hinted:
+        if most and 2 * most >= node.chars and COMMENTS.isdisjoint(words):
+            continue
+        if FIRM.isdisjoint(words) and (content or 2 * node.chars > total):
+            continue
+        out.add(id(node))
+    if not out:
+        return
+    kept = {id(node): [c for c in node.children if isinstance(c, str) or id(c) not in out] for node, _, _ in order}
+    left = [root]
+    some = False
+    while left and not some:
+        for c in kept[id(left.pop())]:
+            if isinstance(c, str):
+                some = some or bool(c.strip())
+            else:
+                left.append(c)
+    if some:
+        for node, _, _ in order:
+            node.children = kept[id(node)]
+
+
+def _measure(root: Node) -> list[Node]:
+    """Fill in sums and densities of what isn't left out; nodes come back children first."""
+    _leave_out(root)
+    order, nodes = [], [root]
+    while nodes:
+        node = nodes.pop()
+        order.append(node)
+        nodes += [c for c in node.children if not isinstance(c, str)]
     order.reverse()
     for node in order:
-        node.chars = node.tags = node.link_chars = node.link_tags = 0
+        node.chars = _chars(node)
+        node.tags = node.link_chars = node.link_tags = 0
         for c in node.children:
-            if isinstance(c, str):
-                node.chars += len(_SPACE.sub("", c))
-            else:
-                node.chars += c.chars
+            if not isinstance(c, str):
                 node.tags += c.tags + 1
                 node.link_chars += c.link_chars
                 node.link_tags += c.link_tags + (c.tag == "a")

@@ -3,7 +3,9 @@
 import gzip
 import hashlib
 import json
+import math
 import random
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -139,6 +141,98 @@ def test_main_text_of_odd_pages():
     assert htmltext.main_text(deep) == LONG.strip()
 
 
+@pytest.mark.parametrize("name", ["content no-sidebar", "has-sidebar entry", "main-content with-comments", "article-widget", "post comments-open", "layout sidebarNone share"])
+def test_wrappers_with_words_of_other_parts(name):
+    rest = "<div class='sidebar'><p>Most read</p></div><section class=comments><p>Nice one, says a reader.</p></section><div class='share'>Share this</div>"
+    assert htmltext.main_text(page(f"<nav><a href=x>Home</a></nav><div class='{name}'><h1>Head</h1><p>{LONG}</p><p>{OTHER}</p>{rest}</div>")) == " ".join(f"Head {LONG} {OTHER}".split())
+    assert htmltext.main_text(page(f"<div class='ad {name}'><article><p>{LONG}</p></article></div><div class=ad>{OTHER}</div>")) == LONG.strip()
+
+
+def test_hints_do_not_empty_a_page():
+    assert htmltext.main_text(page(f"<div class='comments'><p>{LONG}</p></div>")) == LONG.strip()
+    assert htmltext.main_text(page(f"<div id=comments><article class=comment>{OTHER}{OTHER}</article></div><article>{LONG}</article>")) == LONG.strip()
+
+
+def test_raw_elements_end_in_any_case():
+    assert htmltext.main_text(f"<body>İ<script>x</scriptless>y</SCRIPT ><p>{LONG}</p><STYLE>p</Style>") == "İ " + LONG.strip()
+
+
+def test_density_against_brute_force():
+    root = htmltext.parse(page(f"<div><a href=1>one</a> two <p>{LONG}<a href=2>three</a></p><ul><li>x<li><a href=3>y</a></ul></div><p>{OTHER}<b>z</b></p>"))
+    for node in htmltext._measure(root):
+        pass
+
+    def strings(n, linked=False):
+        for c in n.children:
+            if isinstance(c, str):
+                yield "".join(c.split()), linked or n.tag == "a"
+            else:
+                yield from strings(c, linked or n.tag == "a")
+
+    def tags(n):
+        return [x for c in n.children if not isinstance(c, str) for x in [c.tag, *tags(c)]]
+
+    body = next(n for n in _nodes(root) if n.tag == "body")
+    of = lambda n: (sum(len(s) for s, _ in strings(n)), max(len(tags(n)), 1), sum(len(s) for s, link in strings(n) if link), max(tags(n).count("a"), 1))
+    whole = of(body)
+    for n in _nodes(root):
+        c, t, lc, lt = of(n)
+        if c and c * t > max(lc, 1) * lt:
+            want = c / t * math.log(c / max(lc, 1) * t / lt) / math.log(math.log(c / max(c - lc, 1) * lc + whole[2] / whole[0] * c + math.e))
+        else:
+            want = 0
+        assert abs(n.density - want) < 1e-9
+    assert all(abs(n.sum - sum(c.density for c in n.children if not isinstance(c, str))) < 1e-9 for n in _nodes(root))
+
+
+def _nodes(root):
+    yield root
+    for c in root.children:
+        if not isinstance(c, str):
+            yield from _nodes(c)
+
+
+class _Articles(HTMLParser):
+    """Blocks of a page's article, by the library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside = self.skip = 0
+        self.parts = []
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        self.skip += tag in ("script", "style") or (self.skip and tag == "div") or dict(attrs).get("class") == "ad"
+        self.parts.append(" " if tag not in ("b", "i", "a", "em", "strong", "span") else "")
+
+    def handle_endtag(self, tag):
+        self.inside -= tag == "article"
+        self.skip -= tag in ("script", "style") or (self.skip and tag == "div")
+        self.parts.append(" " if tag not in ("b", "i", "a", "em", "strong", "span") else "")
+
+    def handle_data(self, data):
+        if self.inside and not self.skip:
+            self.parts.append(data)
+
+
+def test_pages_against_their_articles(spark):
+    sf = "/root/testdata/sf0.01"
+    got = {r["page_id"]: r["text"] for r in queries.op8_main_text(spark, sf).collect()}
+    for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        p = _Articles()
+        p.feed(r["html"])
+        p.close()
+        assert got[r["page_id"]] == " ".join("".join(p.parts).split()), r["page_id"]
+
+
+def test_extract_of_repeated_rows_and_clashing_names(spark):
+    rows = spark.createDataFrame([(1, "u", page(f"<p>{LONG}</p>"), "x")] * 3 + [(2, None, None, None)], "page_id long, url string, html string, core string")
+    out = htmltext.extract(rows).collect()
+    assert [r["text"] for r in out] == [LONG.strip()] * 3 + [""] and [r["core"] for r in out] == ["x"] * 3 + [None]
+    with pytest.raises(ValueError):
+        htmltext.extract(rows.withColumn("text", F.lit(1)))
+
+
 def test_pages_query(spark):
     found = queries.op8_main_text(spark, SF).toPandas()
     assert len(found) == 50 and (found.text.str.len() == found.n_chars).all() and (found.n_chars > 0).all()
