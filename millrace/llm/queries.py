@@ -43,8 +43,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = F.coalesce(langid.fold("doc_id", 5) == 1, F.lit(True))
-    scored = lm.score(docs.withColumn("held_out", held), ~F.col("held_out"))
-    return scored.withColumns({n: F.round(n, 6) for n in ("base_score", "score")})  # sums depend on their order beyond that
+    return lm.score(docs.withColumn("held_out", held), ~F.col("held_out"))
 
 
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,8 +133,8 @@ ORACLE_SQL: dict[str, str] = {
               FROM t CROSS JOIN z LEFT JOIN c1 ON c1.w = t.w LEFT JOIN c2 ON c2.v = t.v AND c2.w = t.w LEFT JOIN h1 ON h1.w = t.v
               LEFT JOIN c3 ON c3.u = t.u AND c3.v = t.v AND c3.w = t.w LEFT JOIN c2 h2 ON h2.v = t.u AND h2.w = t.v),
         b AS (SELECT *, CASE WHEN m2 > 0 THEN (n2 + {lm.STRENGTH}e0 * p1) / (m2 + {lm.STRENGTH}e0) ELSE p1 END AS p2 FROM q)
-        SELECT doc_id, held_out, count(*) AS n_tokens, count(*) FILTER (own > 0) AS n_known, CAST(any_value(total) AS BIGINT) AS train_tokens, round(sum(log10(CAST(p1 AS DOUBLE))), 6) AS base_score,
-               round(sum(log10(CAST(CASE WHEN m3 > 0 THEN (n3 + {lm.STRENGTH}e0 * p2) / (m3 + {lm.STRENGTH}e0) ELSE p2 END AS DOUBLE))), 6) AS score
+        SELECT doc_id, held_out, count(*) AS n_tokens, count(*) FILTER (own > 0) AS n_known, CAST(any_value(total) AS BIGINT) AS train_tokens, sum(log10(CAST(p1 AS DOUBLE))) AS base_score,
+               sum(log10(CAST(CASE WHEN m3 > 0 THEN (n3 + {lm.STRENGTH}e0 * p2) / (m3 + {lm.STRENGTH}e0) ELSE p2 END AS DOUBLE))) AS score
         FROM b GROUP BY doc_id, held_out
     """,
     "op3_decontamination": r"""
