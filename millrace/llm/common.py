@@ -29,15 +29,26 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def tidy() -> None:
-    """Gives memory that is free back to the system, as Python workers outlive their tasks."""
-    pa.default_memory_pool().release_unused()
+def _allocator(name: str, *values: int) -> None:
+    """Calls a function of the C library's allocator, where it has it."""
     try:
-        ctypes.CDLL(None).malloc_trim(0)
+        getattr(ctypes.CDLL(None), name)(*values)
     except (AttributeError, OSError):  # another C library
         pass
 
 
+#: Arrays up to 32 MB come from the heap, which isn't cut before a task's end; larger ones get maps of their own. Else the system would clear
+#: pages for every array anew. -3 and -1 are the C library's fixed names of the two thresholds.
+_allocator("mallopt", -3, 32 << 20)
+_allocator("mallopt", -1, 512 << 20)
+
+
+def tidy() -> None:
+    """Gives memory that is free back to the system, as Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    _allocator("malloc_trim", 0)
+
+
 def tidied(f: Callable) -> Callable:
     """A function of batches, a table, or two tables, that tidies up when it is done."""
     if inspect.isgeneratorfunction(f):
@@ -80,17 +91,20 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 _STEP = U64(0x9E3779B97F4A7C15)
-_INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: The steps of two independent hashes, their inverses, and random values of bytes.
+_STEPS = (_STEP, U64(0xD6E8FEB86659FD93))
+_INVERSES = tuple(U64(pow(int(x), -1, 1 << 64)) for x in _STEPS)
 with np.errstate(over="ignore"):
-    _BYTE = mix64(np.arange(1, 257, dtype=U64) * _STEP)
-_powers: dict[str, np.ndarray] = {}
+    _BYTES = tuple(mix64(np.arange(1 + 256 * k, 257 + 256 * k, dtype=U64) * x) for k, x in enumerate(_STEPS))
+_powers: dict[int, np.ndarray] = {}
 
 
-def _power(which: str, n: int) -> np.ndarray:
+def _power(step: np.uint64, n: int) -> np.ndarray:
+    which = int(step)
     have = _powers.get(which)
     if have is None or len(have) < n:
         size = max(n, CHUNK_BYTES + 1)
-        a = np.full(size, _STEP if which == "up" else _INVERSE, dtype=U64)
+        a = np.full(size, step, dtype=U64)
         a[0] = 1
         with np.errstate(over="ignore"):
             have = np.cumprod(a, dtype=U64)
@@ -100,13 +114,22 @@ def _power(which: str, n: int) -> np.ndarray:
 
 
 class ByteHash:
-    """Hashes of any slices of a byte array in constant time each (a polynomial over 2**64 with random byte values)."""
+    """Hashes of any slices of a byte array in constant time each (a polynomial over 2**64 with random byte values).
 
-    def __init__(self, data: np.ndarray):
+    ``which``: one of two independent hashes; both together make 128 bits.
+    """
+
+    def __init__(self, data: np.ndarray, which: int = 0):
         self.prefix = np.zeros(len(data) + 1, dtype=U64)
         with np.errstate(over="ignore"):
-            np.cumsum(_BYTE[data] * _power("up", len(data)), out=self.prefix[1:])
-        self.down = _power("down", len(data) + 1)
+            np.cumsum(_BYTES[which][data] * _power(_STEPS[which], len(data)), out=self.prefix[1:])
+        self.down = _power(_INVERSES[which], len(data) + 1)
+
+    def runs(self, width: int) -> np.ndarray:
+        """Hashes of all slices of ``width`` bytes."""
+        with np.errstate(over="ignore"):
+            n = len(self.prefix) - width
+            return mix64((self.prefix[width:] - self.prefix[:n]) * self.down[:n] + np.uint64(width) * _STEP)
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):

@@ -6,12 +6,12 @@ that sort behind it, are the best earlier matches (previous and next smaller pos
 
 One array can't hold a corpus, so texts are dealt to blocks by ranges of their key (see ``blocks``). Strings of ``length``
 bytes that are equal have the same minimiser, the place of the smallest hash among the short grams in them. Blocks first
-exchange hashes of their minimisers and of the text around each. A minimiser that occurs once has no repeats near it. If its
+exchange hashes of their minimisers and of the text around each (96 bits, by two independent hashes, as of all strings compared). A minimiser that occurs once has no repeats near it. If its
 surroundings occurred before, all strings within are later copies. What remains, the edges of copies and edited copies, gets
-factor arrays in its block, and strings that are new to their block are exchanged by hash: of each, the first block keeps the first one.
+factor arrays in its block, and strings that are new to their block are exchanged by 96 bits of hash: of each, the first block keeps the first one.
 
 Defined results: a null text is empty; of repeated rows (same key and text) the first is kept and later ones are removed; null keys come
-first. Strings are judged on the input. Matches don't cross texts. Texts shorter than ``length`` bytes keep everything.
+first; rows of one key stand in the order of a hash of their texts, then of the texts. Strings are judged on the input. Matches don't cross texts. Texts shorter than ``length`` bytes keep everything.
 """
 
 from __future__ import annotations
@@ -101,23 +101,25 @@ def previous_factors(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.nd
 
 
 def minimisers(h: np.ndarray, width: int) -> np.ndarray:
-    """The place of the leftmost smallest value in each run of ``width``."""
-    value, place, size = h, np.arange(len(h)), 1
-    while size < width:
-        step = min(size, width - size)
-        a, b = value[:-step], value[step:]
-        left = a <= b
-        value, place, size = np.where(left, a, b), np.where(left, place[:-step], place[step:]), size + step
-    return place
+    """The place of the leftmost smallest value in each run of ``width``; values count by their first 40 bits."""
+    out, low = np.empty(max(len(h) - width + 1, 0), dtype=np.int64), np.uint64((1 << 24) - 1)
+    for a in range(0, len(out), 1 << 22):
+        part = h[a : a + (1 << 22) + width - 1]
+        least, size = (part & ~low) | np.arange(len(part), dtype=np.uint64), 1  # value and place in one number
+        while size < width:
+            step = min(size, width - size)
+            least, size = np.minimum(least[:-step], least[step:]), size + step
+        out[a : a + len(least)] = (least & low).astype(np.int64) + a
+    return out
 
 
 class Scan:
-    """Minimisers of a block's texts: places, hashes, hashes of their surroundings; and in ``runs``, if asked for, the strings of each
+    """Minimisers of a block's texts: places, hashes, two hashes of their surroundings; and in ``runs``, if asked for, the strings of each
     chunk of texts with their minimisers' numbers."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int, strings: bool):
         gram = min(GRAM, length)
-        hashes, around = [], []
+        hashes, around, check = [], [], []
         self.runs: list[tuple[np.ndarray, np.ndarray]] = []
         seen = 0
         for a, b in chunks(offsets, _CHUNK):
@@ -126,7 +128,7 @@ class Scan:
             if len(part) < length:
                 continue
             of = ByteHash(part)
-            h = of(np.arange(len(part) - gram + 1), np.arange(gram, len(part) + 1))
+            h = of.runs(gram)
             first = minimisers(h, length - gram + 1)
             end = np.repeat(off[1:], np.diff(off))[: len(first)]
             string = np.flatnonzero(np.arange(len(first)) + length <= end)
@@ -140,32 +142,52 @@ class Scan:
             x, y = np.maximum(place - (length - gram), off[text]), np.minimum(place + length, off[text + 1])
             hashes.append(h[place])
             around.append(mix64(of(x, y) + (place - x).astype(np.uint64)))
+            del of, h
+            check.append((mix64(ByteHash(part, 1)(x, y) + (place - x).astype(np.uint64)) >> np.uint64(32)).astype(np.uint32))
             if strings:
                 self.runs.append(((string + lo).astype(np.int32 if hi < 1 << 31 else np.int64), (np.cumsum(new) - 1 + seen).astype(np.int32)))
             seen += len(place)
         none = np.zeros(0, dtype=np.uint64)
         self.hash, self.around = np.concatenate([none, *hashes]), np.concatenate([none, *around])
+        self.check = np.concatenate([none.astype(np.uint32), *check])
+
+
+class _Facts:
+    """The distinct keys of a block in order, with their checks, first places and counts; ``of``: which of them each place has."""
+
+    def __init__(self, keys: np.ndarray, checks: np.ndarray | None = None):
+        order, new = blocks.distinct(keys, checks)
+        starts = np.flatnonzero(new)
+        self.first = order[starts]
+        self.keys, self.checks = keys[self.first], None if checks is None else checks[self.first]
+        self.counts = np.diff(np.r_[starts, len(order)])
+        self.of = np.empty(len(order), dtype=np.int64)
+        self.of[order] = np.cumsum(new) - 1
 
 
 def _arranged(table: pa.Table, key: str, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The order of a block's rows, and the bytes and offsets of their texts in it."""
-    # repeated keys: by text, so that the order is the same whenever the block is read
-    order = pc.sort_indices(table.select([key, text]), sort_keys=[(key, "ascending"), (text, "ascending")], null_placement="at_start").to_numpy()
+    # repeated keys: by tie-breaker and text, so that the order is the same whenever the block is read
+    order = pc.sort_indices(table.select([key, blocks.TIE, text]), sort_keys=[(key, "ascending"), (blocks.TIE, "ascending"), (text, "ascending")], null_placement="at_start").to_numpy()
     data, offsets = utf8(table.column(text).take(pa.array(order)))
     return order, data, offsets
 
 
-def _string_hashes(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-    """Hashes of the strings at ascending places."""
-    out = np.empty(len(at), dtype=np.uint64)
+def _string_hashes(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the strings at ascending places, of 64 and 32 bits."""
+    out, check = np.empty(len(at), dtype=np.uint64), np.empty(len(at), dtype=np.uint32)
     start = 0
     while start < len(at):
         end = int(np.searchsorted(at, at[start] + (1 << 21)))
         lo = at[start]
-        of = ByteHash(data[lo : at[end - 1] + length])
-        out[start:end] = of(at[start:end] - lo, at[start:end] - lo + length)
+        for which in (0, 1):
+            h = ByteHash(data[lo : at[end - 1] + length], which)(at[start:end] - lo, at[start:end] - lo + length)
+            if which:
+                check[start:end] = h >> np.uint64(32)
+            else:
+                out[start:end] = h
         start = end
-    return out
+    return out, check
 
 
 def _new_in_block(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
@@ -219,28 +241,25 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
 
     ``as_text``: what stays is a string, without what a cut has left of a character.
 
-    The key must be an integer. ``docs`` must have no column named as one of COLUMNS or ``_block``.
+    The key must be an integer. ``docs`` must have no column named as one of COLUMNS, ``_block`` or ``_tie``.
     """
     rest = [c for c in docs.columns if c != text]
-    if clash := ({n for n, _ in COLUMNS} | {blocks.BLOCK}) & set(rest):
+    if clash := ({n for n, _ in COLUMNS} | {blocks.BLOCK, blocks.TIE}) & set(rest):
         raise ValueError(f"columns exist already: {sorted(clash)}")
     dealt, buckets = blocks.deal(docs, key, text, block_bytes)
 
-    def facts(scan: Scan) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """Distinct hashes of minimisers and of their surroundings, first places, which of them each place has, and counts."""
-        return [np.unique(x, return_index=True, return_inverse=True, return_counts=True) for x in (scan.hash, scan.around)]
-
     def send(block: int, table: pa.Table) -> list[tuple]:
         _, data, offsets = _arranged(table, key, text)
-        found = facts(Scan(data, offsets, length, False))
-        return [m for kind, (keys, _, _, counts) in enumerate(found) for m in blocks.messages(block, kind, keys, counts, buckets)]
+        scan = Scan(data, offsets, length, False)
+        hash_, around = _Facts(scan.hash), _Facts(scan.around, scan.check)
+        return blocks.posted(block, blocks.messages(0, hash_.keys, hash_.counts, buckets), blocks.messages(1, around.keys, around.counts, buckets, around.checks))
 
     def heard(block: int, table: pa.Table, answers: blocks.Answers) -> list[tuple]:
         _, data, offsets = _arranged(table, key, text)
         scan = Scan(data, offsets, length, True)
-        (_, _, of_hash, _), (_, first, of_around, _) = facts(scan)
-        total, alike, new = answers.totals(0)[of_hash], answers.totals(1)[of_around], answers.first(1)[of_around]
-        new &= first[of_around] == np.arange(len(of_around))
+        around = _Facts(scan.around, scan.check)
+        total, alike, new = answers.totals(0)[_Facts(scan.hash).of], answers.totals(1)[around.of], answers.first(1)[around.of]
+        new &= around.first[around.of] == np.arange(len(around.of))
         open_ = new & (alike < total)  # first of its surroundings, but the minimiser occurs in others
         covered = np.zeros(len(data) + 1, dtype=np.int32)
         for string, owner in scan.runs:
@@ -248,22 +267,24 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         left = np.concatenate([np.zeros(0, dtype=np.int64), *(string[open_[owner]] for string, owner in scan.runs)])
         del scan
         fresh = _new_in_block(data, left, length)
-        keys, first = np.unique(_string_hashes(data, left[fresh], length), return_index=True)
+        strings = _Facts(*_string_hashes(data, left[fresh], length))
         asked = np.zeros(len(left), dtype=bool)
-        asked[np.flatnonzero(fresh)[first]] = True
+        asked[np.flatnonzero(fresh)[strings.first]] = True
         _cover(covered, left[~asked], length)
         asks = np.zeros(len(data), dtype=bool)
         asks[left[asked]] = True
-        state = [(block % buckets, block, kind, len(data), b"", _bits(flags)) for kind, flags in ((-1, np.cumsum(covered[:-1], dtype=np.int32) > 0), (-2, asks))]
-        return [*state, *blocks.messages(block, 2, keys, None, buckets)]
+        rows = blocks.posted(block, blocks.messages(2, strings.keys, None, buckets, strings.checks))
+        for kind, flags in ((-1, np.cumsum(covered[:-1], dtype=np.int32) > 0), (-2, asks)):  # what the block has found so far goes with one of the messages
+            for column, value in zip(rows[block % buckets][2:], (kind, len(data), b"", b"", _bits(flags)), strict=True):
+                column.append(value)
+        return rows
 
     def finish(block: int, table: pa.Table, answers: blocks.Answers) -> pa.Table:
         if not table.num_rows:
             return to_arrow_schema(schema).empty_table()
         order, data, offsets = _arranged(table, key, text)
         covered, asks = _unbits(answers.passed(-1), len(data)), np.flatnonzero(_unbits(answers.passed(-2), len(data)))
-        h = _string_hashes(data, asks, length)
-        _, which = np.unique(h, return_inverse=True)
+        which = _Facts(*_string_hashes(data, asks, length)).of
         gone = asks[~answers.first(2)[which]] if len(asks) else asks
         delta = np.zeros(len(data) + 1, dtype=np.int32)
         _cover(delta, gone, length)

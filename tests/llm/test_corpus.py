@@ -209,7 +209,7 @@ def test_scores_edges(spark):
 def test_scores_of_bigrams_with_near_keys(spark):
     """The first 56 bits of the hashes of the two bigrams are the same."""
     a, b = "w16302 w3761", "w17646 w19944"
-    keys = [lm.Tokens(pa.chunked_array([[t]])).grams(2)[1][1] for t in (a, b)]
+    keys = [list(lm.Tokens(pa.chunked_array([[t]])).grams(2))[1][1] for t in (a, b)]
     assert keys[0] != keys[1] and keys[0] >> np.uint64(8) == keys[1] >> np.uint64(8)
     texts = [a, a, "w17646 x", b]
     want = brute_scores(list(enumerate(texts)), lambda i: i < 3)
@@ -294,15 +294,40 @@ def test_repeats_edges(spark):
     assert {r["doc_id"]: r["kept"] for r in text} == {0: w + "é", 1: "x", 2: ""}  # half a character is left of the last
 
 
+def test_repeats_with_hot_and_null_keys_in_many_blocks(spark):
+    r = random.Random(8)
+    passage = prose(r, 60)
+    rows = [(k, prose(r, 30) + passage[: r.randrange(len(passage))] + prose(r, 8)) for k in [None] * 40 + [7] * 40 + list(range(40))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    dealt, n = blocks.deal(docs, "doc_id", "text", 2000)
+    sizes = {x["_block"]: x["b"] for x in dealt.groupBy("_block").agg(F.sum(F.length("text")).alias("b")).collect()}
+    assert len(sizes) > 10 and max(sizes) < n and max(sizes.values()) < 8000
+    order = {(x["doc_id"], x["text"]): (x["doc_id"] is not None, x["doc_id"] or 0, x["_tie"], x["text"]) for x in dealt.collect()}
+    rows.sort(key=lambda x: order[x])
+    got = suffix.remove_repeats(docs, block_bytes=2000).collect()
+    key = lambda x: (x[0] is None, x[0] or 0, x[1])
+    assert sorted(((g["doc_id"], bytes(g["kept"])) for g in got), key=key) == sorted(((k, x[3]) for (k, _), x in zip(rows, brute_repeats(rows, 100))), key=key)
+
+
 def test_key_messages_round_trip():
     keys = np.unique(np.random.default_rng(0).integers(0, 2**63, 1000).astype(np.uint64) * np.uint64(2))
-    back = np.concatenate([blocks.unpack_keys(m[4], m[3]) for m in blocks.messages(0, 0, keys, None, 7)])
-    assert np.array_equal(back, keys) and len(list(blocks.messages(0, 0, keys[:0], None, 7))) == 7
+    back = np.concatenate([blocks.unpack_keys(m[2], m[1]) for m in blocks.messages(0, keys, None, 7)])
+    assert np.array_equal(back, keys) and len(blocks.messages(0, keys[:0], None, 7)) == 7
+    assert len(blocks.posted(3, blocks.messages(0, keys, None, 7), blocks.messages(1, keys, keys, 7))) == 7
+
+
+def test_keys_with_other_checks_are_others():
+    keys = np.array([5, 5, 9], dtype=np.uint64)
+    sent = [m for block, checks in enumerate(([1, 2, 3], [2, 4, 3])) for m in blocks.posted(block, blocks.messages(0, keys, np.ones(3, dtype=np.int64), 1, np.array(checks, dtype=np.uint32)))]
+    table = blocks.add_up(blocks.table_of(sent, blocks.MESSAGE))
+    one, two = (blocks.Answers(table.filter(pc.field(blocks.BLOCK) == block)) for block in (0, 1))
+    assert one.totals(0).tolist() == [1, 2, 2] and two.totals(0).tolist() == [2, 1, 2]
+    assert one.first(0).tolist() == [True, True, True] and two.first(0).tolist() == [False, True, False]
 
 
 def test_totals_beyond_32_bits():
     keys = np.array([3, 2**63, 2**64 - 1], dtype=np.uint64)
-    sent = [m for block, counts in enumerate(([2**32 - 1, 1, 0], [2**32 - 1, 2, 2**40])) for m in blocks.messages(block, 0, keys, np.array(counts), 1)]
+    sent = [m for block, counts in enumerate(([2**32 - 1, 1, 0], [2**32 - 1, 2, 2**40])) for m in blocks.posted(block, blocks.messages(0, keys, np.array(counts), 1))]
     table = blocks.add_up(blocks.table_of(sent, blocks.MESSAGE))
     for block in (0, 1):
         answers = blocks.Answers(table.filter(pc.field(blocks.BLOCK) == block))
