@@ -53,6 +53,12 @@ def policy(on_error: object) -> str | Callable:
     return _POLICIES.get(on_error, on_error)
 
 
+def _by_pattern(c: Column, pattern: str) -> Column:
+    """A text as a timestamp; null where it doesn't fit. Years of two digits from 69 on are of the last century, as in Python."""
+    found = F.try_to_timestamp(c, F.lit(python_time_pattern(pattern)))
+    return F.when(F.year(found) > 2068, found - F.make_ym_interval(F.lit(100))).otherwise(found) if "%y" in pattern else found
+
+
 def _from_text(c: Column, field: dict) -> Column:
     """A text as a value of the field's type; null where it doesn't fit."""
     kind, form = field["type"], field.get("format", "default")
@@ -72,11 +78,11 @@ def _from_text(c: Column, field: dict) -> Column:
         return F.when(c.isin(*field.get("trueValues", TRUE)), True).when(c.isin(*field.get("falseValues", FALSE)), False)
     if kind == "date":
         if form not in ("default", "any"):
-            return F.to_date(F.try_to_timestamp(c, F.lit(python_time_pattern(form))))
+            return F.to_date(_by_pattern(c, form))
         return F.when(c.rlike(r"^\d{4}-\d\d?-\d\d?$"), c.try_cast("date"))
     if kind == "datetime":
         if form not in ("default", "any"):
-            return F.try_to_timestamp(c, F.lit(python_time_pattern(form))).cast("timestamp_ntz")
+            return _by_pattern(c, form).cast("timestamp_ntz")
         return F.when(c.rlike(r"^\d{4}-\d\d?-\d\d?([T ]\d\d?:\d\d(:\d\d(\.\d+)?)?Z?)?$"), F.regexp_replace(c, "Z$", "").try_cast("timestamp_ntz"))
     if kind == "time":
         if form not in ("default", "any"):
@@ -209,8 +215,8 @@ def _by_function(df: DataFrame, names: list[str], handler: Callable, resource: s
 
 
 def strip_text(c: Column) -> Column:
-    """Without the white space around."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Without the white space around, as Python knows it."""
+    return F.regexp_replace(c, r"^[\s\p{Z}\x1C-\x1F\x85]+|[\s\p{Z}\x1C-\x1F\x85]+$", "")
 
 
 def anchored(pattern: str, regex: bool) -> re.Pattern:

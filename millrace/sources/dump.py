@@ -18,13 +18,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..flow import Context, Step, with_order
+from ..functions.cast import cast_fields
 from ..functions.text import col, python_text, python_time_pattern
 from ..package import ORDER, Package, Resource, select
-from ..schema import TableSchema
+from ..schema import TableSchema, from_spark
 from . import xlsx
 
 #: How dates and times are written unless a field says otherwise.
 PATTERNS = {"date": "%Y-%m-%d", "datetime": "%Y-%m-%dT%H:%M:%S", "time": "%H:%M:%S"}
+MEDIA = {"csv": "text/csv", "json": "text/json", "geojson": "application/geo+json", "xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet"}
+#: Where counts are kept in descriptors; the option ``counters`` gives other places (dots go down, None keeps none).
 COUNTERS = {"datapackage-rowcount": "count_of_rows", "datapackage-bytes": "bytes", "datapackage-hash": "hash", "resource-rowcount": "count_of_rows", "resource-bytes": "bytes", "resource-hash": "hash"}
 
 
@@ -84,8 +87,8 @@ def _geojson(r: Resource) -> DataFrame:
         geometry = F.lit("null")
     elif shape["type"] == "geojson":
         geometry = F.coalesce(col(shape["name"]), F.lit("null"))
-    else:  # text is latitude, longitude; coordinates go the other way
-        geometry = F.coalesce(F.concat(F.lit('{"type": "Point", "coordinates": '), F.to_json(F.reverse(col(shape["name"]))), F.lit("}")), F.lit("null"))
+    else:  # coordinates as they stand
+        geometry = F.coalesce(F.concat(F.lit('{"type": "Point", "coordinates": '), F.to_json(col(shape["name"])), F.lit("}")), F.lit("null"))
     return r.df.select(F.concat(F.lit('{"geometry": '), geometry, F.lit(', "properties": '), _object(r, rest), F.lit(', "type": "Feature"}')).alias("value"), ORDER)
 
 
@@ -145,7 +148,32 @@ def _write_book(r: Resource, out: Any, titles: bool, temporal: str | None, optio
     return count, len(data), hashlib.md5(data).hexdigest()
 
 
-def _path(r: Resource, form: str, forced: bool) -> tuple[str, str | None]:
+def _put(d: dict, place: str | None, value: Any) -> None:
+    """Sets what a dotted place names."""
+    if place:
+        *above, last = place.split(".")
+        for k in above:
+            d = d.setdefault(k, {})
+        d[last] = value
+
+
+def _write_own(formatter: Callable, r: Resource, out: Any) -> tuple[int, int, str]:
+    """A file by the user's formatter, a function of (rows, schema descriptor) that gives the file's texts; rows, bytes, md5."""
+    put, count = _Writer(out), 0
+    kinds = {f["name"]: f["type"] for f in r.schema.fields}
+
+    def rows() -> Iterator[dict]:
+        nonlocal count
+        for row in r.df.orderBy(ORDER).select(*[col(n) for n in kinds]).toLocalIterator(prefetchPartitions=True):
+            count += 1
+            yield {n: from_spark(v, kinds[n]) for n, v in zip(kinds, row, strict=True)}
+
+    for text in formatter(rows(), r.schema.descriptor):
+        put(text)
+    return count, put.size, put.hash.hexdigest()
+
+
+def _path(r: Resource, form: str, forced: bool, own: dict) -> tuple[str, str | None]:
     """Where a resource goes, and in which format; None where its name's ending has none."""
     path = r.properties.get("path") or f"{r.name}.{form}"
     path = path[0] if isinstance(path, list) else path
@@ -153,12 +181,15 @@ def _path(r: Resource, form: str, forced: bool) -> tuple[str, str | None]:
     if forced:
         return os.path.splitext(path)[0] + "." + form, form
     end = os.path.splitext(path)[1].lstrip(".")
-    return path, end if end in ("csv", "json", "geojson", "xlsx") else None
+    return path, end if end in MEDIA or end in own else None
 
 
 def _dump(name: str, form: str, forced: bool, titles: bool, temporal: str | None, options: dict, target: Callable) -> Step:
     """Files of all resources, then the descriptor. ``target`` opens a place to put them."""
-    if form not in ("csv", "json", "geojson", "xlsx", "parquet"):
+    form = "xlsx" if form == "excel" else form
+    own = options.get("file_formatters") or {}
+    counters = {**COUNTERS, **(options.get("counters") or {})}
+    if form not in (*MEDIA, "parquet", *own):
         raise ValueError(f"no format {form!r}")
 
     def plan(package: Package, c: Context) -> Package:
@@ -167,24 +198,33 @@ def _dump(name: str, form: str, forced: bool, titles: bool, temporal: str | None
         place = target()
         for r in package.resources:
             r = with_order(r)
+            if checks := options.get("validator_options"):  # rows are held against the schema as they are written
+                r = r.with_(df=cast_fields(r.df, r.schema.fields, r.schema.missing_values, checks.get("on_error", "raise"), r.name))
             if form == "parquet":
                 done.append(r.with_(df=place.table(r), properties={**r.properties, "path": r.name, "format": "parquet"}))
                 count = done[-1].df.count()
                 rows += count
-                done[-1].properties[COUNTERS["resource-rowcount"]] = count
+                _put(done[-1].properties, counters["resource-rowcount"], count)
                 continue
-            path, kind = _path(r, form, forced)
+            path, kind = _path(r, form, forced, own)
             if kind is None:
                 done.append(r)
                 continue
             with place.file() as (out, publish):
-                count, n, digest = _write_book(r, out, titles, temporal, options, place, path) if kind == "xlsx" else _write_one(r, kind, out, titles, temporal)
+                if kind in own:
+                    count, n, digest = _write_own(own[kind], r, out)
+                elif kind == "xlsx":
+                    count, n, digest = _write_book(r, out, titles, temporal, options, place, path)
+                else:
+                    count, n, digest = _write_one(r, kind, out, titles, temporal)
                 if options.get("add_filehash_to_path"):
                     path = f"{os.path.dirname(path)}/{digest}/{os.path.basename(path)}".lstrip("/")
                 publish(path)
             rows, size = rows + count, size + n
             digests.append(digest)
-            facts = {"path": path, "format": kind, "mediatype": f"text/{kind}", COUNTERS["resource-rowcount"]: count, COUNTERS["resource-bytes"]: n, COUNTERS["resource-hash"]: digest}
+            facts = {"path": path, "format": kind, "mediatype": MEDIA.get(kind, f"text/{kind}")}
+            for name, value in (("resource-rowcount", count), ("resource-bytes", n), ("resource-hash", digest)):
+                _put(facts, counters[name], value)
             if kind == "csv":
                 facts |= {"encoding": "utf-8", "dialect": {"lineTerminator": "\r\n", "delimiter": ",", "doubleQuote": True, "quoteChar": '"', "skipInitialSpace": False}}
             schema = r.schema.copy()
@@ -194,7 +234,9 @@ def _dump(name: str, form: str, forced: bool, titles: bool, temporal: str | None
             described = r.with_(properties={**r.properties, **facts}, schema=schema)
             done.append(r.with_(properties={**described.properties, "_described": described.descriptor}))
         digest = hashlib.md5("".join(sorted(digests)).encode()).hexdigest()
-        facts = {"count_of_rows": rows, "bytes": size, "hash": digest}
+        facts: dict = {}
+        for name, value in (("datapackage-rowcount", rows), ("datapackage-bytes", size), ("datapackage-hash", digest)):
+            _put(facts, counters[name], value)
         listed = [r.properties.get("_described") or r.descriptor for r in done]
         for d in listed:
             d.pop("_described", None)
@@ -203,7 +245,7 @@ def _dump(name: str, form: str, forced: bool, titles: bool, temporal: str | None
         place.text("datapackage.json", json.dumps(descriptor, indent=2 if options.get("pretty_descriptor", True) else None, ensure_ascii=False, default=str))
         place.close()
         clean = [r.with_(properties={**{k: v for k, v in r.properties.items() if k != "_described"}, "_written": True}) for r in done]
-        stats = {**facts, "dataset_name": package.metadata.get("name")}
+        stats = {"count_of_rows": rows, "bytes": size, "hash": digest, "dataset_name": package.metadata.get("name")}
         return package.with_(resources=tuple(clean), stats=(*package.stats, stats))
 
     return Step(name, plan, needs_order=True)

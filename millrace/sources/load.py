@@ -24,8 +24,9 @@ from ..operators.rows import first_rows
 from ..package import ORDER, Package, Resource, select
 from ..schema import TableSchema, infer_type, spark_type
 
-INFER_FULL, INFER_PYTHON_TYPES, INFER_STRINGS = "infer_full", "infer_pytypes", "infer_strings"
-CAST_WITH_SCHEMA, CAST_TO_STRINGS, CAST_DO_NOTHING = "cast_schema", "cast_strings", "cast_nothing"
+#: Names of strategies that users may pass as texts: fixed values.
+INFER_FULL, INFER_PYTHON_TYPES, INFER_STRINGS = "full", "pytypes", "strings"
+CAST_WITH_SCHEMA, CAST_TO_STRINGS, CAST_DO_NOTHING = "schema", "strings", "nothing"
 SAMPLE = 1000
 
 
@@ -42,6 +43,9 @@ def load(
     """
     infer = infer_strategy or (INFER_STRINGS if force_strings else INFER_FULL)
     cast = cast_strategy or (CAST_TO_STRINGS if force_strings else CAST_WITH_SCHEMA if validate else CAST_DO_NOTHING)
+    for given, known in ((infer, (INFER_FULL, INFER_PYTHON_TYPES, INFER_STRINGS)), (cast, (CAST_WITH_SCHEMA, CAST_TO_STRINGS, CAST_DO_NOTHING))):
+        if given not in known:
+            raise ValueError(f"no strategy {given!r}; there are {known}")
 
     def plan(package: Package, c: Context) -> Package:
         source = load_source
@@ -156,9 +160,11 @@ def distinct_headers(names: list[str], wanted: bool, case_sensitive: bool, form:
 
 
 def _head(c: Context, source: str, encoding: str) -> list[str]:
-    """The first lines of a file, read by Spark."""
+    """The first lines of a file, or of a folder's first file, read by Spark."""
     reader = c.spark.read.option("encoding", encoding)
-    return [r[0] for r in reader.text(source).limit(SAMPLE).collect()]
+    df = reader.text(source)
+    files = df.inputFiles()  # of a folder, the first in the order of names
+    return [r[0] for r in (reader.text(min(files)) if len(files) > 1 else df).limit(SAMPLE).collect()]
 
 
 def _delimited(c: Context, source: str, form: str, name: str, infer: str, options: dict, headers: tuple) -> tuple[Resource, bool]:
@@ -176,11 +182,21 @@ def _delimited(c: Context, source: str, form: str, name: str, infer: str, option
     keep = [i for i, n in enumerate(names) if n]
     clean = distinct_headers([names[i] for i in keep], *headers)
     raw = [f"_c{i}" for i in range(max(len(names), 1))]
-    reader = c.spark.read.options(sep=separator, encoding=encoding, quote=options.get("quotechar", '"'), escape='"', multiLine=True, mode="PERMISSIVE", nullValue="\u0000", emptyValue="", ignoreLeadingWhiteSpace=False)
+    # files are split unless a quoted text of the sample holds a line break, or the caller says that some do
+    across = options.get("multiline", any(line.count(options.get("quotechar", '"')) % 2 for line in lines))
+    before = _records(lines, skip)
+    reader = c.spark.read.options(
+        sep=separator, encoding=encoding, quote=options.get("quotechar", '"'), escape='"', multiLine=across or before > 1, mode="PERMISSIVE", nullValue="\u0000", emptyValue="",
+        ignoreLeadingWhiteSpace=False, header=before == 1,
+    )
     df = reader.schema(T.StructType([T.StructField(x, T.StringType()) for x in raw])).csv(source)
-    df = df.withColumn(ORDER, F.monotonically_increasing_id()) if c.ordered or skip else df
-    if skip:  # the lines up to the header: the first rows of the file
-        df = df.where(F.col(ORDER) >= F.lit(_records(lines, skip)))
+    if before > 1:  # lines before the header: the first rows of each file, which is read as a whole
+        df = df.withColumn("__file", F.col("_metadata.file_path"))
+        df = df.withColumn(ORDER, F.monotonically_increasing_id())
+        first = df.groupBy("__file").agg(F.min(ORDER).alias("__first"))  # a row for each file
+        df = df.join(F.broadcast(first), "__file").where(F.col(ORDER) >= F.col("__first") + before).drop("__file", "__first")
+    elif c.ordered:
+        df = df.withColumn(ORDER, F.monotonically_increasing_id())
     blank = None
     for x in raw:
         b = F.coalesce(F.col(x), F.lit("")) == ""

@@ -103,7 +103,7 @@ def test_json_geojson_and_titles(spark, tmp_path):
     assert json.loads((tmp_path / "res_1.json").read_text()) == [{"a": "x", "b": 1}]
     m.Flow([{"p": "10, 20", "a": 1}], m.set_type("p", type="geopoint"), m.dump_to_path(str(tmp_path), format="geojson")).process()
     made = json.loads((tmp_path / "res_1.geojson").read_text())
-    assert made["features"][0]["geometry"]["coordinates"] == [20.0, 10.0] and made["features"][0]["properties"] == {"a": 1}
+    assert made["features"][0]["geometry"]["coordinates"] == [10.0, 20.0] and made["features"][0]["properties"] == {"a": 1}
     m.Flow([{"a": 1}], m.set_type("a", title="Alpha"), m.dump_to_path(str(tmp_path), use_titles=True)).process()
     assert (tmp_path / "res_1.csv").read_text().startswith("Alpha")
 
@@ -195,3 +195,35 @@ def test_events_stream_like_batches(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("windows").collect())) == sorted(map(tuple, make(source).collect()))
+
+
+def test_folder_of_csv_files_with_comments(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"part{k}.csv").write_text(f"a title\n\nk,v\n{k},x{k}\n{k + 10},y\n")
+    out = rows(m.load(str(tmp_path), format="csv"))
+    assert sorted((r["k"], r["v"]) for r in out) == sorted((k + 10 * j, "y" if j else f"x{k}") for k in range(3) for j in (0, 1))
+
+
+def test_csv_files_are_split_unless_texts_hold_line_breaks(spark, put):
+    plain = m.Flow(m.load(put("p.csv", "a,b\n1,x\n"))).plan().resources[0].rows
+    assert "multiLine" not in plain._jdf.queryExecution().optimizedPlan().toString() or "true" not in plain._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(m.load(put("q.csv", 'a,b\n1,"x\ny"\n2,z\n'))) == [{"a": 1, "b": "x\ny"}, {"a": 2, "b": "z"}]
+
+
+def test_codec_reads_zones_and_durations():
+    there = dt.timezone(dt.timedelta(hours=-3), "X")
+    for v in (dt.datetime(2020, 1, 2, 3, 4, 5), dt.datetime(2020, 1, 2, 3, 4, 5, 60, there), dt.timedelta(days=2, hours=5, seconds=1.5), -dt.timedelta(minutes=3), dt.timedelta(0), dt.time(1, 2, 3)):
+        assert ejson.loads(ejson.dumps({"v": v})) == {"v": v}
+    assert ejson.loads('{"v": {"type{datetime}": ["2020-01-02T03:04:05", null, null]}}') == {"v": dt.datetime(2020, 1, 2, 3, 4, 5)}
+    assert ejson.loads('{"v": {"type{duration}": "P1DT2H"}}') == {"v": dt.timedelta(days=1, hours=2)}
+    assert ejson.loads('{"v": {"type{duration}": "P1Y"}}') == {"v": {"type{duration}": "P1Y"}}
+
+
+def test_unknown_strategies_are_errors(spark, put):
+    with pytest.raises(ValueError):
+        m.load(put("a.csv", "a\n1\n"), infer_strategy="all")
+
+
+def test_validator_options_of_sinks(spark, tmp_path):
+    m.Flow([{"v": "1"}, {"v": "x"}], m.update_schema(None, fields=[{"name": "v", "type": "integer"}]), m.dump_to_path(str(tmp_path), validator_options={"on_error": m.drop})).process()
+    assert (tmp_path / "res_1.csv").read_bytes() == b"v\r\n1\r\n"
