@@ -37,6 +37,30 @@ class Step:
         self.name, self.plan, self.needs_order = name, plan, needs_order
 
 
+class Processor:
+    """A step as a class, to be subclassed: its methods change the package, whole resources, or rows (dicts) of the chosen resources.
+
+    ``resources`` chooses the resources; ``process_row`` returns the row, or None to keep it as it is changed in place.
+    """
+
+    resources: Any = None
+    needs_order = False
+
+    def process_datapackage(self, package: Package) -> Package:
+        return package
+
+    def process_resource(self, resource: Resource) -> Resource:
+        if type(self).process_row is Processor.process_row:
+            return resource
+        return resource.with_(df=map_rows(resource, lambda rows: (_or_same(self.process_row(row), row) for row in rows)))
+
+    def process_row(self, row: dict) -> dict | None:
+        return row
+
+    def step(self) -> Step:
+        return Step(type(self).__name__, lambda p, _: self.process_datapackage(p).change(self.resources, self.process_resource), needs_order=self.needs_order)
+
+
 def with_order(r: Resource) -> Resource:
     """The resource with arrival order; one that has lost it counts as being in the order of its partitions."""
     return r if r.ordered else r.with_(df=r.df.withColumn(ORDER, F.monotonically_increasing_id()), ordered=True)
@@ -73,6 +97,8 @@ class Flow:
     def _link(s: Any, position: int) -> Step:
         if isinstance(s, Step):
             return s
+        if isinstance(s, Processor):
+            return s.step()
         if isinstance(s, DataFrame):
             return Step("dataframe", lambda p, c: p.add(from_dataframe(s, f"res_{len(p.resources) + 1}", c.ordered)))
         if callable(s):

@@ -153,16 +153,15 @@ def _computed(r: Resource, spec: dict) -> tuple[Column, str]:
     if operation == "join":
         return F.concat_ws(spec.get("with", ","), *[python_text(col(n), kinds[n], None) for n in names]), declared or "string"
     numbers = [col(n) for n in names]
-    given = F.filter(F.array(*numbers), lambda x: x.isNotNull())
-    zero = F.lit(0).cast(r.df.select(F.array(*numbers).alias("a")).schema["a"].dataType.elementType) if numbers else F.lit(0)
-    if operation == "sum":
-        return F.aggregate(given, zero, lambda a, x: (a + x).cast(_kind_of(r, numbers))), logical
-    if operation == "multiply":
-        return F.when(F.size(given) > 0, F.aggregate(given, F.lit(1).cast(_kind_of(r, numbers)), lambda a, x: (a * x).cast(_kind_of(r, numbers)))).otherwise(F.lit(1)), logical
+    if operation in ("sum", "multiply"):  # nulls leave the result as it is
+        kind, plus = _kind_of(r, numbers) if numbers else T.LongType(), operation == "sum"
+        start = F.lit(0 if plus else 1).cast(kind)
+        return reduce(lambda a, x: (a + x if plus else a * x).cast(kind), (F.coalesce(x.cast(kind), start) for x in numbers), start), logical
     if operation == "avg":
-        return F.aggregate(given, F.lit(0.0), lambda a, x: a + x.cast("double")) / F.nullif(F.size(given), F.lit(0)), declared or "number"
+        total = reduce(lambda a, x: a + F.coalesce(x.cast("double"), F.lit(0.0)), numbers, F.lit(0.0))
+        return total / F.nullif(reduce(lambda a, x: a + x.isNotNull().cast("int"), numbers, F.lit(0)), F.lit(0)), declared or "number"
     if operation in ("max", "min"):
-        return (F.array_max if operation == "max" else F.array_min)(given), logical
+        return ((F.greatest if operation == "max" else F.least)(*numbers) if len(numbers) > 1 else numbers[0] if numbers else F.lit(None)), logical
     raise ValueError(f"unknown operation {operation!r}")
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 import warnings
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +18,7 @@ from ..functions.aggregates import AGGREGATES, ORDERED, aggregate
 from ..functions.text import Template, col, key_columns
 from ..package import ORDER, Package, Resource
 from ..schema import TableSchema, spark_type
+from ..staging import staged
 
 _KEY = "__key"
 
@@ -69,41 +70,75 @@ def _uses_number(key: Any) -> bool:
 
 
 def numbered(r: Resource) -> Resource:
-    """The resource with dense row numbers from 1 in ``__number``: partitions are counted, then numbered within."""
+    """The resource with dense row numbers from 1 in ``__number``.
+
+    Order ids grow by partition, so the rows of each partition that gave them are counted; the counts' running sum, a row for each
+    partition, is broadcast, and rows are numbered within theirs. The rows are staged first, as both passes must see the same ids.
+    """
     r = with_order(r)
-    df = r.df.sort(ORDER).withColumn("__at", F.spark_partition_id()).withColumn("__in", F.monotonically_increasing_id() % F.lit(1 << 33))
-    df = df.cache()  # partitions must be the same in both passes
-    counts = {row[0]: row[1] for row in df.groupBy("__at").agg(F.count(F.lit(1))).collect()}
-    start, offsets = 0, []
-    for p in sorted(counts):
-        offsets += [F.lit(p), F.lit(start)]
-        start += counts[p]
-    offset = F.element_at(F.create_map(*offsets), F.col("__at")) if offsets else F.lit(0)
-    return r.with_(df=df.withColumn("__number", (F.col("__in") + offset + 1).cast("long")).drop("__at", "__in"))
-
-
-def _grouped(source: Resource, keys: list[Column], specs: dict[str, dict], key_fields: list[str]) -> DataFrame:
-    """One row for each key, with the aggregates under their target names."""
+    df = staged(r.df, "numbered").withColumn("__at", F.shiftright(ORDER, 33))
+    counts = df.groupBy("__at").agg(F.count(F.lit(1)).alias("__n"))
+    before = counts.select("__at", (F.sum("__n").over(Window.orderBy("__at")) - F.col("__n")).alias("__before"))
+    within = F.row_number().over(Window.partitionBy("__at").orderBy(ORDER))
+    return r.with_(df=df.withColumn("__in", within).join(F.broadcast(before), "__at").withColumn("__number", F.col("__in") + F.col("__before")).drop("__at", "__in", "__before"))
+
+
+def _key_fields(key: Any) -> list[str]:
+    """The fields that a key is made of, in order."""
+    return list(key) if isinstance(key, (list, tuple)) else Template(key).fields
+
+
+def _grouped(source: Resource, keys: list[Column], specs: dict[str, dict], key_fields: list[str], carried: list[str] | None = None) -> DataFrame:
+    """One row for each key, with the aggregates under their target names and the carried fields of its rows as ``__carry0`` ..."""
     kinds = {f.name: f.dataType for f in source.df.schema.fields}
     key_names = [f"{_KEY}{i}" for i in range(len(keys))]
     counters = {t: s for t, s in specs.items() if s["aggregate"] == "counters"}
+    medians = {t: s for t, s in specs.items() if s["aggregate"] == "median" and isinstance(kinds[s["name"]], T.NumericType)}
     df = source.df.withColumns({n: k for n, k in zip(key_names, keys, strict=True)})
     aggregates = []
     for t, s in specs.items():
-        if t in counters:
+        if t in counters or t in medians:
             continue
         if s["aggregate"] in ("any", "first", "last", "min", "max") and s["name"] in key_fields:
             continue  # constant in each group
         kind = kinds.get(s["name"], T.LongType())
         value = aggregate(s["aggregate"], col(s["name"]) if s["aggregate"] != "count" else F.lit(1), kind)
         aggregates.append(_stored(value, _field(t, s, source), s["aggregate"]).alias(t))
+    carried = carried or []
+    aggregates += [F.max(col(n)).alias(f"__carry{i}") for i, n in enumerate(carried)]
     out = df.groupBy(*key_names).agg(*aggregates) if aggregates else df.select(*key_names).distinct()
     for t, s in specs.items():
-        if t not in out.columns and t not in counters:
+        if t not in out.columns and t not in counters and t not in medians:
             out = out.withColumn(t, F.col(key_names[key_fields.index(s["name"])]))
     for t, s in counters.items():
         out = _same_keys(out, _counted(df, key_names, s["name"], kinds[s["name"]], t), key_names, "left")
-    return out.select(*key_names, *[col(t) for t in specs])
+    for t, s in medians.items():
+        out = _same_keys(out, _median(df, key_names, s["name"], t), key_names, "left")
+    return out.select(*key_names, *[col(t) for t in specs], *[F.col(f"__carry{i}") for i in range(len(carried))])
+
+
+#: The median's place is first bounded by approximate percentiles of this accuracy.
+_ACCURACY = 10_000
+
+
+def _median(df: DataFrame, keys: list[str], name: str, target: str) -> DataFrame:
+    """The exact median for each key. No task gathers a key's values.
+
+    Approximate percentiles bound it: their rank error is a row in ``_ACCURACY`` at most. Smaller values are counted, and only the distinct
+    values within the bounds are put in order, with their counts.
+    """
+    rows = df.select(*keys, col(name).alias("__v")).where("__v is not null")
+    near = 2 / _ACCURACY
+    bounds = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.percentile_approx("__v", [0.5 - near, 0.5 + near], _ACCURACY).alias("__p"))
+    bounds = bounds.select(*keys, "__n", F.col("__p")[0].alias("__low"), F.col("__p")[1].alias("__high"))
+    both = _same_keys(rows, bounds, keys, "inner").where("__v <= __high")
+    inside = F.col("__v") >= F.col("__low")
+    each = both.groupBy(*keys, F.when(inside, F.col("__v")).alias("__v"), "__n").agg(F.count(F.lit(1)).alias("__c"))  # null: all smaller ones
+    upto = F.sum("__c").over(Window.partitionBy(*keys).orderBy(F.col("__v").asc_nulls_first()))
+    placed = each.select(*keys, "__v", "__n", upto.alias("__upto"), (upto - F.col("__c")).alias("__before"))
+    at = lambda rank: F.max(F.when((F.col("__before") < rank) & (rank <= F.col("__upto")), F.col("__v")))
+    low, high = F.floor((F.col("__n") + 1) / 2), F.floor((F.col("__n") + 2) / 2)
+    return placed.groupBy(*keys).agg(((at(low).cast("double") + at(high).cast("double")) / 2).alias(target))
 
 
 def _stored(value: Column, field: dict, how: str) -> Column:
@@ -175,7 +210,10 @@ def join(
                 target = numbered(target)
             s_keys, t_keys = [key_columns(source_key, s_kinds, F.col("__number"))], [key_columns(target_key, t_kinds, F.col("__number"))]
             s_names = t_names = None
-        grouped = _grouped(source, s_keys, specs, s_names or [])
+        # keys that are compared as text: what an added row gets in the target's key fields
+        pairs = [(a, b) for a, b in zip(_key_fields(source_key), _key_fields(target_key), strict=False) if "#" not in (a, b)] if mode == "full-outer" and not s_names else []
+        grouped = _grouped(source, s_keys, specs, s_names or [], [a for a, _ in pairs])
+        carried = {b: F.col(f"__carry{i}") for i, (_, b) in enumerate(pairs)}
         key_names = [f"{_KEY}{i}" for i in range(len(s_keys))]
         schema = target.schema.copy()
         for t, s in specs.items():
@@ -190,7 +228,7 @@ def join(
             joined = df.select(*[col(n) for n in target.schema.names], *([ORDER] if target.ordered else []))
             schema = target.schema
         else:
-            right = grouped.select(*[F.col(k).alias(f"{k}_r") for k in key_names], *[col(t).alias(f"__new_{i}") for i, t in enumerate(specs)], F.lit(True).alias("__hit"))
+            right = grouped.select(*[F.col(k).alias(f"{k}_r") for k in key_names], *[col(t).alias(f"__new_{i}") for i, t in enumerate(specs)], *[F.col(f"__carry{i}") for i in range(len(pairs))], F.lit(True).alias("__hit"))
             on = _on(key_names)
             how = {"half-outer": "left", "inner": "inner", "full-outer": "full"}[mode]
             both = df.withColumn("__there", F.lit(True)).join(right, on, how)
@@ -202,6 +240,8 @@ def join(
                     columns.append((F.when(F.col("__hit"), new[n]).otherwise(old) if old is not None else new[n]).cast(spark_type(schema.field(n)["type"], schema.field(n))).alias(n))
                 elif mode == "full-outer" and t_names and n in t_names:
                     columns.append(F.coalesce(col(n), F.col(f"{_KEY}{t_names.index(n)}_r")).alias(n))
+                elif n in carried:
+                    columns.append(F.when(F.col("__there"), col(n)).otherwise(carried[n].try_cast(t_kinds[n])).alias(n))
                 else:
                     columns.append(col(n))
             # source keys without a target come last, in the order of their keys

@@ -120,14 +120,12 @@ def deduplicate(resources: Any = None) -> Step:
         if not c.ordered:
             return r.with_(df=r.df.dropDuplicates(key))
         r = with_order(r)
-        # the smallest order of each key is found with partial sums, so many copies of a key don't meet in one task
         if len(key) == len(r.schema.names):
             first = r.df.groupBy(*[col(k) for k in key]).agg(F.min(ORDER).alias(ORDER))
             return r.with_(df=first.select(*[col(n) for n in r.schema.names], ORDER))
-        rest = [n for n in r.schema.names if n not in key]
-        first = r.df.groupBy(*[col(k) for k in key]).agg(F.min_by(F.struct(ORDER, *[col(n) for n in rest]), F.col(ORDER)).alias("__first"))
-        picked = [col(n) if n in key else F.col("__first").getField(n).alias(n) for n in r.schema.names]
-        return r.with_(df=first.select(*picked, F.col("__first").getField(ORDER).alias(ORDER)))
+        # each partition keeps one row a key before the shuffle (the window's group limit), so copies of a key don't meet in one task
+        place = F.row_number().over(Window.partitionBy(*[col(k) for k in key]).orderBy(ORDER))
+        return r.with_(df=r.df.withColumn("__place", place).where("__place = 1").drop("__place"))
 
     return step("deduplicate", resources, change, needs_order=True)
 

@@ -263,3 +263,43 @@ def test_nested_flows_and_sources(spark):
     assert rows(inner, m.select_fields(["y"])) == [{"y": 2}]
     out, package, _ = m.Flow(m.sources(inner, [{"z": 3}], m.Flow([{"x": 1}], m.update_package(name="n")))).results()
     assert len(out) == 3 and package.metadata["name"] == "n" and len(set(package.names)) == 3
+
+
+def test_full_outer_with_template_and_mixed_keys(spark):
+    source = [{"id": 1, "v": "a"}, {"id": 4, "v": "d"}]
+    for key in ("key-{k}", ["k"]):
+        target = [{"k": "1", "w": 1}, {"k": "2", "w": 2}, {"k": None, "w": 3}]
+        name = "key-{id}" if isinstance(key, str) else ["id"]
+        got = m.Flow(source, target, m.join("res_1", name, "res_2", key, {"v": {}}, mode="full-outer")).results()[0][0]
+        assert sorted(map(str, got)) == sorted(map(str, [{"k": "1", "w": 1, "v": "a"}, {"k": "2", "w": 2, "v": None}, {"k": None, "w": 3, "v": None}, {"k": "4", "w": None, "v": "d"}]))
+
+
+def test_medians_against_python(spark):
+    import random
+    import statistics
+
+    r = random.Random(3)
+    rows = [{"g": r.choice(["a", "b", None, "c"]), "v": r.choice([None, r.randint(-9, 9), 5, 5])} for _ in range(400)] + [{"g": "one", "v": 7}, {"g": "none", "v": None}, {"g": "two", "v": 1}, {"g": "two", "v": 2}]
+    got = m.Flow(rows, m.join_with_self("res_1", ["g"], {"g": {}, "m": {"name": "v", "aggregate": "median"}})).results()[0][0]
+    want = {g: [x["v"] for x in rows if x["g"] == g and x["v"] is not None] for g in {x["g"] for x in rows}}
+    assert {x["g"]: None if x["m"] is None else float(x["m"]) for x in got} == {g: statistics.median(v) if v else None for g, v in want.items()}
+
+
+def test_row_numbers_are_dense_after_filters_and_sorts(spark):
+    from millrace.operators.join import numbered
+
+    flow = m.Flow(spark.range(1000, numPartitions=7), m.filter_rows(F.col("id") % 3 == 0), m.sort_rows("{id:06}", reverse=True))
+    got = numbered(flow.plan(ordered=True).resources[0]).df.select("id", "__number").collect()
+    assert sorted((x["__number"], x["id"]) for x in got) == [(k + 1, 999 - 3 * k) for k in range(334)]
+
+
+def test_class_processors(spark):
+    class Twice(m.Processor):
+        def process_datapackage(self, package):
+            return package.with_(metadata={**package.metadata, "seen": True})
+
+        def process_row(self, row):
+            row["a"] *= 2
+
+    rows, package, _ = m.Flow([{"a": 1}, {"a": 2}], Twice()).results()
+    assert rows == [[{"a": 2}, {"a": 4}]] and package.metadata["seen"]
