@@ -214,12 +214,12 @@ def join_inner(spark, sf_dir):
 
 
 @query(
-    "WITH s AS (SELECT s_nationkey, count(*) AS suppliers FROM supplier GROUP BY ALL), t AS (SELECT n_nationkey, n_name FROM nation WHERE n_nationkey < 20) "
-    "SELECT coalesce(n_nationkey, s_nationkey) AS n_nationkey, n_name, suppliers FROM t FULL JOIN s ON n_nationkey = s_nationkey"
+    "WITH s AS (SELECT s_nationkey, count(*) AS suppliers FROM supplier GROUP BY ALL) "
+    "SELECT coalesce(n_nationkey, s_nationkey) AS n_nationkey, n_name, suppliers FROM nation FULL JOIN s ON n_nationkey = s_nationkey"
 )
 def join_full_outer(spark, sf_dir):
     return flow(
-        spark, table(sf_dir, "supplier"), table(sf_dir, "nation"), m.filter_rows(F.col("n_nationkey") < 20, resources="nation"), m.select_fields(["n_nationkey", "n_name"], resources="nation"),
+        spark, table(sf_dir, "supplier"), table(sf_dir, "nation"), m.select_fields(["n_nationkey", "n_name"], resources="nation"),
         m.join("supplier", ["s_nationkey"], "nation", ["n_nationkey"], {"suppliers": {"aggregate": "count"}}, mode="full-outer"),
     )
 
@@ -338,9 +338,9 @@ def sources(spark, sf_dir):
     return flow(spark, m.sources(m.Flow(table(sf_dir, "nation")), m.Flow(table(sf_dir, "region"))), m.concatenate({"name": ["n_name", "r_name"]}))
 
 
-@query("SELECT event_id, json_extract_string(props, '$.page') AS page FROM events")
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
 def json_field(spark, sf_dir):
-    return flow(spark, table(sf_dir, "events"), m.add_field("page", "string", F.get_json_object("props", "$.page")), m.select_fields(["event_id", "page"]))
+    return flow(spark, table(sf_dir, "events"), m.add_field("k", "string", F.get_json_object("props", "$.k")), m.select_fields(["event_id", "k"]))
 
 
 @query(
