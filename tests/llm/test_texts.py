@@ -415,3 +415,24 @@ def test_neighbours_recall_where_near_copies_hold_a_third(spark, tmp_path):
         hits.append(len(set(key[np.argsort(-s)[:5]]) & found[key[q]]) / 5)
     inside = asked < n // 3
     assert np.mean(np.array(hits)[inside]) == 1 and np.mean(np.array(hits)[~inside]) >= 0.95
+
+
+def test_neighbours_recall_of_many_vectors(spark, tmp_path):
+    """Ids divisible by 100 against all of 50,000 vectors in ten loose clusters; exact copies tie to the smaller id."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    r = np.random.default_rng(5)
+    n = 50_000
+    v = (0.5 * r.standard_normal((10, 64))[r.integers(0, 10, n)] + r.standard_normal((n, 64))).astype(np.float32)
+    v[1::500] = v[0::500]
+    v[2::500] = v[0::500]
+    pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": pa.array(list(v), pa.list_(pa.float32()))}), tmp_path / "e.parquet")
+    found = ann.search(spark.read.parquet(str(tmp_path / "e.parquet")), F.col("vec_id") % 100 == 0).toPandas().sort_values(["query_id", "rank"]).groupby("query_id")["vec_id"].agg(list)
+    x = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    asked = np.arange(0, n, 100)
+    s = x[asked] @ x.T
+    s[np.arange(len(asked)), asked] = -9
+    true = np.argsort(-s, axis=1)[:, :5]
+    assert np.mean([len(set(t) & set(found[q])) / 5 for q, t in zip(asked, true)]) >= 0.9
+    assert all(found[q][:2] == [q + 1, q + 2] for q in range(0, n, 500))
