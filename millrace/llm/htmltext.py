@@ -289,7 +289,7 @@ def plain_text(root: Node) -> str:
         x = stack.pop()
         if isinstance(x, str):
             out.append(_SPACE.sub(" ", x))
-        elif x.tag not in ("script", "style", "head", "template", "noscript", "iframe", "svg", "noembed", "noframes", "xmp"):
+        elif x.tag not in ("script", "style", "head", "title", "template", "noscript", "iframe", "svg", "noembed", "noframes", "xmp"):
             edge = ["\0"] if x.tag in BLOCK else []
             stack += [*edge, *reversed(x.children), *edge]
     lines = (" ".join(line.split()) for line in "".join(out).split("\0"))

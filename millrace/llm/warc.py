@@ -3,8 +3,9 @@
 ``derive`` turns each response into a metadata record (a JSON envelope with the source's WARC headers, HTTP headers,
 title, metas and links) and a conversion record (the visible text). Both keep the source's identifier in
 WARC-Refers-To, its target and date, and its payload and block digest in WARC-Source-Payload-Digest and WARC-Source-Block-Digest; the
-conversion has the source's WARC headers, as JSON, in WARC-Source-Headers. Each has its own block digest and length. Responses are made of
-pages, or come from WARC files by ``read``; transfer and content encodings of payloads are not undone.
+conversion has the source's WARC headers, as JSON pairs in order, in WARC-Source-Headers. Each has its own block digest and length. Responses are made of
+pages, or come from WARC files by ``read``. Chunked transfer and the content encodings gzip and deflate are undone before a page is
+parsed. Headers that occur more than once keep all their values.
 
 Defined results: a null or empty page gives a response with an empty payload, whose conversion has an empty block; a null
 URL gives records without WARC-Target-URI; repeated rows get distinct records only if their keys differ, as identifiers
@@ -27,15 +28,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import htmltext
-from .common import small_batches, tidied
+from .common import CHUNK_BYTES, small_batches, tidied
 
 VERSION = "WARC/1.1"
 DATE = "1970-01-01T00:00:00Z"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the name space of URLs, a fixed value
 SCHEMA = (
     "key string, record_type string, record_id string, refers_to string, target_uri string, date string, content_type string, content_length long, "
-    "block_digest string, source_payload_digest string, source_block_digest string, source_headers map<string,string>, block string"
+    "block_digest string, source_payload_digest string, source_block_digest string, source_headers array<struct<name:string,value:string>>, block string"
 )
+_PAIRS = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))
 
 
 def digest(block: bytes) -> str:
@@ -46,48 +48,63 @@ def record_id(*names: object) -> str:
     return f"<urn:uuid:{uuid.uuid5(_SPACE, chr(0).join('' if x is None else str(x) for x in names))}>"
 
 
-def record(headers: dict[str, str], block: bytes) -> bytes:
+#: Names and values in order; a name may occur again.
+Headers = list[tuple[str, str]]
+
+
+def record(headers: Headers, block: bytes) -> bytes:
     """A record as bytes; Content-Length is set from the block."""
-    lines = [VERSION, *(f"{k}: {v}" for k, v in headers.items() if k.lower() != "content-length"), f"Content-Length: {len(block)}", "", ""]
+    lines = [VERSION, *(f"{k}: {v}" for k, v in headers if k.lower() != "content-length"), f"Content-Length: {len(block)}", "", ""]
     return "\r\n".join(lines).encode() + block + b"\r\n\r\n"
 
 
-def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of each record of a file, compressed by record, as a whole, or not at all."""
-    while data[:2] == b"\x1f\x8b":
-        plain = []
-        while data[:2] == b"\x1f\x8b":
-            d = zlib.decompressobj(31)
-            plain.append(d.decompress(data) + d.flush())
-            data = d.unused_data
-        data = b"".join(plain)
-    at = 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0:
+def _members(data: bytes) -> Iterator[bytes]:
+    """A file's plain bytes, a compressed member at a time; anything else as it is."""
+    rest = memoryview(data)
+    while len(rest):
+        if bytes(rest[:2]) != b"\x1f\x8b":
+            yield bytes(rest)
             return
-        headers: dict[str, str] = {}
-        last = ""
-        for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
-            if line[:1] in (" ", "\t") and last:
-                headers[last] += " " + line.strip()
-            elif ":" in line:
-                last, _, value = line.partition(":")
-                headers[last] = value.strip()
-        size = int(next((v for k, v in headers.items() if k.lower() == "content-length"), "0"))
-        yield headers, data[end + 4 : end + 4 + size]
-        at = end + 4 + size
-
-
-def response(key: object, url: str | None, page: str | None, date: str = DATE) -> tuple[dict[str, str], bytes]:
+        d = zlib.decompressobj(31)
+        plain = d.decompress(rest) + d.flush()
+        if plain[:2] == b"\x1f\x8b":  # compressed by record, and again as a whole
+            yield from _members(plain)
+        else:
+            yield plain
+        rest = rest[len(rest) - len(d.unused_data) :] if d.eof else rest[:0]
+
+
+def records(data: bytes) -> Iterator[tuple[Headers, bytes]]:
+    """Headers and block of each record of a file, compressed by record, as a whole, or not at all. What a cut-off file lacks is missing."""
+    have = b""
+    for part in _members(data):
+        have = have + part if have else part
+        at = 0
+        while (start := have.find(b"WARC/", at)) >= 0 and (end := have.find(b"\r\n\r\n", start)) >= 0:
+            headers: Headers = []
+            for line in have[start:end].decode("utf-8", "replace").split("\r\n")[1:]:
+                if line[:1] in (" ", "\t") and headers:
+                    headers[-1] = (headers[-1][0], f"{headers[-1][1]} {line.strip()}")
+                elif ":" in line:
+                    name, _, value = line.partition(":")
+                    headers.append((name, value.strip()))
+            size = int(header(headers, "Content-Length") or 0)
+            if end + 4 + size > len(have):
+                break  # the rest is in the next member
+            yield headers, have[end + 4 : end + 4 + size]
+            at = end + 4 + size
+        have = have[at:].lstrip(b"\r\n")
+    if have[:5] == b"WARC/" and (end := have.find(b"\r\n\r\n")) >= 0:
+        yield [(k, v.strip()) for k, _, v in (x.partition(":") for x in have[:end].decode("utf-8", "replace").split("\r\n")[1:])], have[end + 4 :]
+
+
+def response(key: object, url: str | None, page: str | None, date: str = DATE) -> tuple[Headers, bytes]:
     """A response record's headers and block for a page."""
     payload = (page or "").encode("utf-8", "surrogatepass")
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload
     found = digest(payload)
-    headers = {"WARC-Type": "response", "WARC-Record-ID": record_id("response", key, url, found), "WARC-Date": date}
-    if url is not None:
-        headers["WARC-Target-URI"] = url
-    headers |= {"Content-Type": "application/http; msgtype=response", "WARC-Block-Digest": digest(block), "WARC-Payload-Digest": found, "Content-Length": str(len(block))}
+    headers = [("WARC-Type", "response"), ("WARC-Record-ID", record_id("response", key, url, found)), ("WARC-Date", date), *([("WARC-Target-URI", url)] if url is not None else [])]
+    headers += [("Content-Type", "application/http; msgtype=response"), ("WARC-Block-Digest", digest(block)), ("WARC-Payload-Digest", found), ("Content-Length", str(len(block)))]
     return headers, block
 
 
@@ -100,15 +117,50 @@ def split_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     return status, [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in lines)], payload
 
 
-def header(headers: dict[str, str], name: str) -> str | None:
-    """A header's value, whatever the case of its name."""
-    return headers.get(name) or next((v for k, v in headers.items() if k.lower() == name.lower()), None)
+def header(headers: Headers, name: str) -> str | None:
+    """A header's first value, whatever the case of its name."""
+    return next((v for k, v in headers if k.lower() == name.lower()), None)
+
+
+def by_name(headers: Headers) -> dict[str, str | list[str]]:
+    """Values by name; those of a repeated name as a list."""
+    out: dict[str, str | list[str]] = {}
+    for k, v in headers:
+        out[k] = [*([out[k]] if isinstance(out[k], str) else out[k]), v] if k in out else v
+    return out
 
 
-def source_fields(kind: str, payload_digest: str, block_digest: str, headers: dict[str, str]) -> dict[str, str]:
+def unchunked(data: bytes) -> bytes:
+    """A body without the marks of its chunks; one that isn't chunked right stays as it is."""
+    out, at = [], 0
+    while (end := data.find(b"\r\n", at)) >= 0:
+        try:
+            size = int(data[at:end].split(b";")[0], 16)
+        except ValueError:
+            return data
+        if not size:
+            return b"".join(out)
+        out.append(data[end + 2 : end + 2 + size])
+        at = end + 2 + size + 2
+    return data
+
+
+def decoded(data: bytes, encoding: str) -> bytes:
+    """A payload without its content encodings (gzip, deflate); others, and broken ones, stay."""
+    for name in reversed([x.strip().lower() for x in encoding.split(",") if x.strip()]):
+        for window in (47,) if name in ("gzip", "x-gzip") else (15, -15) if name == "deflate" else ():
+            try:
+                data = zlib.decompressobj(window).decompress(data)
+                break
+            except zlib.error:
+                continue
+    return data
+
+
+def source_fields(kind: str, payload_digest: str, block_digest: str, headers: Headers) -> Headers:
     """The headers of a derivative record that tell of its source."""
-    found = {"WARC-Source-Payload-Digest": payload_digest, "WARC-Source-Block-Digest": block_digest}
-    return found | ({"WARC-Source-Headers": json.dumps(headers)} if kind == "conversion" else {})
+    found = [("WARC-Source-Payload-Digest", payload_digest), ("WARC-Source-Block-Digest", block_digest)]
+    return found + ([("WARC-Source-Headers", json.dumps(headers))] if kind == "conversion" else [])
 
 
 def _about(root: htmltext.Node, base: str | None) -> dict:
@@ -131,37 +183,39 @@ def _about(root: htmltext.Node, base: str | None) -> dict:
     return {"Head": {"Title": title, "Metas": metas}, "Links": links}
 
 
-def derivatives(headers: dict[str, str], block: bytes) -> list[tuple[dict[str, str], bytes]]:
+def derivatives(headers: Headers, block: bytes) -> list[tuple[Headers, bytes]]:
     """The metadata and the conversion record of a response."""
     status, http, payload = split_http(block)
-    charset = next((v.partition("charset=")[2].strip("\"' ") for k, v in http if k.lower() == "content-type"), "") or "utf-8"
+    if "chunked" in (header(http, "Transfer-Encoding") or "").lower():
+        payload = unchunked(payload)
+    plain = decoded(payload, header(http, "Content-Encoding") or "")
+    charset = (header(http, "Content-Type") or "").partition("charset=")[2].split(";")[0].strip("\"' ") or "utf-8"
     try:
-        page = payload.decode(charset, "replace")
+        page = plain.decode(charset, "replace")
     except LookupError:
-        page = payload.decode("utf-8", "replace")
+        page = plain.decode("utf-8", "replace")
     root = htmltext.parse(page)
     envelope = {
         "Envelope": {
             "Format": "WARC",
             "WARC-Header-Length": str(len(record(headers, b"")) - 4),
-            "WARC-Header-Metadata": headers,
+            "WARC-Header-Metadata": by_name(headers),
             "Block-Digest": digest(block),
             "Payload-Metadata": {
                 "Actual-Content-Type": "application/http; msgtype=response",
-                "HTTP-Response-Metadata": {"Response-Message": status, "Headers": dict(http), "Entity-Length": str(len(payload)), "Entity-Digest": digest(payload), "HTML-Metadata": _about(root, header(headers, "WARC-Target-URI"))},
+                "HTTP-Response-Metadata": {"Response-Message": status, "Headers": by_name(http), "Entity-Length": str(len(payload)), "Entity-Digest": digest(payload), "HTML-Metadata": _about(root, header(headers, "WARC-Target-URI"))},
             },
         }
     }
     target = header(headers, "WARC-Target-URI")
     source = header(headers, "WARC-Record-ID") or record_id("response", target, digest(block))
-    common = {"WARC-Refers-To": source, "WARC-Date": header(headers, "WARC-Date") or DATE}
-    if target is not None:
-        common["WARC-Target-URI"] = target
+    common = [("WARC-Refers-To", source), ("WARC-Date", header(headers, "WARC-Date") or DATE), *([("WARC-Target-URI", target)] if target is not None else [])]
     digests = header(headers, "WARC-Payload-Digest") or digest(payload), header(headers, "WARC-Block-Digest") or digest(block)
     out = []
     for kind, content, body in (("metadata", "application/json", json.dumps(envelope, ensure_ascii=False, sort_keys=True)), ("conversion", "text/plain", htmltext.plain_text(root))):
         data = body.encode("utf-8", "replace")
-        out.append(({"WARC-Type": kind, "WARC-Record-ID": record_id(kind, source), **common, **source_fields(kind, *digests, headers), "Content-Type": content, "WARC-Block-Digest": digest(data), "Content-Length": str(len(data))}, data))
+        own = [("WARC-Type", kind), ("WARC-Record-ID", record_id(kind, source)), *common, *source_fields(kind, *digests, headers)]
+        out.append(([*own, ("Content-Type", content), ("WARC-Block-Digest", digest(data)), ("Content-Length", str(len(data)))], data))
     return out
 
 
@@ -181,12 +235,13 @@ def derive(df: DataFrame, key: str = "page_id", url: str = "url", page: str = "h
         for batch in batches:
             columns: list[list] = [[] for _ in range(13)]
             for values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                source, block = (dict(values[0] or ()), values[1] or b"") if given else response(*values, date)
-                for h, data in derivatives(source, block):
+                source, block = ([(x["name"], x["value"]) for x in values[0] or ()], values[1] or b"") if given else response(*values, date)
+                for own, data in derivatives(source, block):
+                    h = dict(own)
                     row = (h["WARC-Refers-To"] if given else values[0], h["WARC-Type"], h["WARC-Record-ID"], h["WARC-Refers-To"], h.get("WARC-Target-URI"), h["WARC-Date"], h["Content-Type"], len(data), h["WARC-Block-Digest"])
-                    for c, v in zip(columns, (*row, h["WARC-Source-Payload-Digest"], h["WARC-Source-Block-Digest"], list(source.items()), data.decode()), strict=True):
+                    for c, v in zip(columns, (*row, h["WARC-Source-Payload-Digest"], h["WARC-Source-Block-Digest"], [{"name": k, "value": v} for k, v in source], data.decode()), strict=True):
                         c.append(v)
-            kinds = [pa.string()] * 7 + [pa.int64()] + [pa.string()] * 3 + [pa.map_(pa.string(), pa.string()), pa.string()]
+            kinds = [pa.string()] * 7 + [pa.int64()] + [pa.string()] * 3 + [_PAIRS, pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [x.split()[0] for x in SCHEMA.split(", ")])
 
     return rows.mapInArrow(tidied(run), SCHEMA)
@@ -199,11 +254,10 @@ def write(derived: DataFrame, path: str) -> None:
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                h = {"WARC-Type": r["record_type"], "WARC-Record-ID": r["record_id"], "WARC-Refers-To": r["refers_to"], "WARC-Date": r["date"]}
-                if r["target_uri"] is not None:
-                    h["WARC-Target-URI"] = r["target_uri"]
-                h |= source_fields(r["record_type"], r["source_payload_digest"], r["source_block_digest"], dict(r["source_headers"]))
-                h |= {"Content-Type": r["content_type"], "WARC-Block-Digest": r["block_digest"]}
+                h = [("WARC-Type", r["record_type"]), ("WARC-Record-ID", r["record_id"]), ("WARC-Refers-To", r["refers_to"]), ("WARC-Date", r["date"])]
+                h += [("WARC-Target-URI", r["target_uri"])] if r["target_uri"] is not None else []
+                h += source_fields(r["record_type"], r["source_payload_digest"], r["source_block_digest"], [(x["name"], x["value"]) for x in r["source_headers"]])
+                h += [("Content-Type", r["content_type"]), ("WARC-Block-Digest", r["block_digest"])]
                 out.append(gzip.compress(record(h, r["block"].encode()), mtime=0))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["member"])
 
@@ -211,14 +265,22 @@ def write(derived: DataFrame, path: str) -> None:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (type, headers, block) of WARC files, read by Spark as whole files."""
+    """Rows (type, headers, block) of WARC files. A task reads a whole file, but holds some megabytes of its records at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.string(), _PAIRS, pa.binary())
         for batch in batches:
             for data in batch.column(0).to_pylist():
-                found = list(records(data))
-                kinds = [next((v for k, v in h.items() if k.lower() == "warc-type"), None) for h, _ in found]
-                arrays = [pa.array(kinds, pa.string()), pa.array([list(h.items()) for h, _ in found], pa.map_(pa.string(), pa.string())), pa.array([b for _, b in found], pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, ["type", "headers", "block"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(tidied(run), "type string, headers map<string,string>, block binary")
+                rows: list[tuple] = []
+                size = 0
+                for headers, block in records(data):
+                    rows.append((header(headers, "WARC-Type"), [{"name": k, "value": v} for k, v in headers], block))
+                    size += len(block)
+                    if size > CHUNK_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["type", "headers", "block"])
+                        rows, size = [], 0
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["type", "headers", "block"])
+
+    schema = "type string, headers array<struct<name:string,value:string>>, block binary"
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(tidied(run), schema)

@@ -296,12 +296,13 @@ def test_derivatives_link_to_their_source():
     parsed = list(warc.records(warc.record(headers, block)))
     assert parsed == [(headers, block)]
     (meta, body), (conversion, text) = warc.derivatives(headers, block)
-    assert meta["WARC-Refers-To"] == conversion["WARC-Refers-To"] == headers["WARC-Record-ID"]
+    meta, conversion, names = dict(meta), dict(conversion), dict(headers)
+    assert meta["WARC-Refers-To"] == conversion["WARC-Refers-To"] == names["WARC-Record-ID"]
     envelope = json.loads(body)["Envelope"]
-    assert envelope["WARC-Header-Metadata"] == headers
+    assert envelope["WARC-Header-Metadata"] == names
     http = envelope["Payload-Metadata"]["HTTP-Response-Metadata"]
     assert http["HTML-Metadata"]["Links"] == [{"path": "A@/href", "url": "http://a.example/y"}] and http["HTML-Metadata"]["Head"]["Title"] == "T"
-    assert http["Entity-Digest"] == headers["WARC-Payload-Digest"] and text == b"Hello link"
+    assert http["Entity-Digest"] == names["WARC-Payload-Digest"] and text == b"Hello link"
     import base64
 
     assert conversion["WARC-Block-Digest"] == "sha1:" + base64.b32encode(hashlib.sha1(text).digest()).decode()
@@ -317,7 +318,7 @@ def test_warc_files_round_trip(spark, tmp_path):
     warc.write(derived, str(tmp_path / "out"))
     data = b"".join(bytes(r["member"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     found = list(warc.records(data))
-    assert len(found) == 4 and sorted(h["WARC-Type"] for h, _ in found) == ["conversion"] * 2 + ["metadata"] * 2
+    assert len(found) == 4 and sorted(dict(h)["WARC-Type"] for h, _ in found) == ["conversion"] * 2 + ["metadata"] * 2
     assert {r["block"] for r in derived.collect() if r["record_type"] == "conversion"} == {"", "t"}
 
 
@@ -327,7 +328,7 @@ def test_derivatives_of_responses_of_files(spark, tmp_path):
     full = {"WARC-Type": "response", "WARC-Record-ID": "<urn:uuid:1>", "WARC-Date": "2020-02-02T02:02:02Z", "WARC-Target-URI": "http://x/é", "WARC-Payload-Digest": "sha1:GIVEN", "X-Note": 'a "b"'}
     bare = {"warc-type": "response", "warc-record-id": "<urn:uuid:2>", "warc-target-uri": "http://y/"}
     other = {"WARC-Type": "request", "WARC-Record-ID": "<urn:uuid:3>"}
-    (tmp_path / "a.warc").write_bytes(b"".join(warc.record(h, block) for h in (full, bare, other)))
+    (tmp_path / "a.warc").write_bytes(b"".join(warc.record(list(h.items()), block) for h in (full, bare, other)))
     derived = warc.derive(warc.read(spark, str(tmp_path / "a.warc")))
     rows = {(r["key"], r["record_type"]): r for r in derived.collect()}
     assert set(rows) == {(f"<urn:uuid:{i}>", k) for i in (1, 2) for k in ("metadata", "conversion")}
@@ -337,9 +338,85 @@ def test_derivatives_of_responses_of_files(spark, tmp_path):
     http = json.loads(rows["<urn:uuid:1>", "metadata"]["block"])["Envelope"]["Payload-Metadata"]["HTTP-Response-Metadata"]
     assert http["Response-Message"] == "HTTP/1.0 404 Not Found" and http["Headers"]["X-Own"] == "1"
     warc.write(derived, str(tmp_path / "out"))
-    found = {(h["WARC-Refers-To"], h["WARC-Type"]): h for r in spark.read.parquet(str(tmp_path / "out")).collect() for h, _ in warc.records(bytes(r["member"]))}
+    found = {(h["WARC-Refers-To"], h["WARC-Type"]): h for r in spark.read.parquet(str(tmp_path / "out")).collect() for x, _ in warc.records(bytes(r["member"])) for h in [dict(x)]}
     assert {k: (h["WARC-Source-Payload-Digest"], h["WARC-Source-Block-Digest"]) for k, h in found.items()} == {k: (r["source_payload_digest"], r["source_block_digest"]) for k, r in rows.items()}
-    assert json.loads(found["<urn:uuid:1>", "conversion"]["WARC-Source-Headers"]) == one["source_headers"] and one["source_headers"]["X-Note"] == 'a "b"'
+    pairs = [[x["name"], x["value"]] for x in one["source_headers"]]
+    assert json.loads(found["<urn:uuid:1>", "conversion"]["WARC-Source-Headers"]) == pairs and dict(pairs)["X-Note"] == 'a "b"'
+
+
+def test_repeated_headers_and_encoded_payloads(spark, tmp_path):
+    import zlib
+
+    text = b"<title>T</title><p>Seen</p>" * 50
+    chunks = lambda b: b"".join(b"%x;x=1\r\n%s\r\n" % (len(b[i : i + 100]), b[i : i + 100]) for i in range(0, len(b), 100)) + b"0\r\n\r\n"
+    raw = zlib.compressobj(wbits=-15)
+    cases = [
+        ([], text), ([("Transfer-Encoding", "chunked")], chunks(text)), ([("content-encoding", "gzip")], gzip.compress(text)), ([("Content-Encoding", "deflate")], zlib.compress(text)),
+        ([("Content-Encoding", "deflate")], raw.compress(text) + raw.flush()), ([("Transfer-Encoding", "chunked"), ("Content-Encoding", "gzip")], chunks(gzip.compress(text))), ([("Content-Encoding", "gzip")], text),
+    ]
+    members = []
+    for k, (extra, payload) in enumerate(cases):
+        http = "".join(f"{n}: {v}\r\n" for n, v in [("Content-Type", "text/html; charset=utf-8; x=y"), ("Set-Cookie", "a=1"), ("Set-Cookie", "b=2"), *extra])
+        headers = [("WARC-Type", "response"), ("WARC-Record-ID", f"<urn:uuid:{k}>"), ("WARC-Concurrent-To", "<a>"), ("WARC-Concurrent-To", "<b>")]
+        members.append(warc.record(headers, b"HTTP/1.1 200 OK\r\n" + http.encode() + b"\r\n" + payload))
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(b"".join(members[:3])) + b"".join(map(gzip.compress, members[3:])))
+    rows = warc.derive(warc.read(spark, str(tmp_path / "a.warc.gz"))).collect()
+    assert len(rows) == 2 * len(cases)
+    for r in rows:
+        assert [x["value"] for x in r["source_headers"] if x["name"] == "WARC-Concurrent-To"] == ["<a>", "<b>"]
+        if r["record_type"] == "metadata":
+            http = json.loads(r["block"])["Envelope"]["Payload-Metadata"]["HTTP-Response-Metadata"]
+            assert http["Headers"]["Set-Cookie"] == ["a=1", "b=2"] and http["HTML-Metadata"]["Head"]["Title"] == "T"
+        else:
+            assert r["block"] == "\n".join(["Seen"] * 50)
+
+
+class _Page(HTMLParser):
+    """Title, links and visible words of a page, by the library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.at, self.title, self.links, self.words = [], "", [], []
+
+    def handle_starttag(self, tag, attrs):
+        if tag not in htmltext.VOID:
+            self.at.append(tag)
+        if tag == "a" and dict(attrs).get("href"):
+            self.links.append(dict(attrs)["href"])
+        self.words.append(" " if tag in htmltext.BLOCK else "")
+
+    def handle_endtag(self, tag):
+        while tag in self.at and self.at.pop() != tag:
+            pass
+        self.words.append(" " if tag in htmltext.BLOCK else "")
+
+    def handle_data(self, data):
+        if "title" in self.at:
+            self.title += data
+        if not {"head", "script", "style"} & set(self.at):
+            self.words.append(data)
+
+
+def test_warc_query_against_brute_force(spark):
+    import base64
+    from urllib.parse import urljoin
+
+    sha = lambda b: "sha1:" + base64.b32encode(hashlib.sha1(b).digest()).decode()
+    found = {(r["page_id"], r["record_type"]): r for r in queries.op10_warc(spark, SF).collect()}
+    pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    assert len(found) == 2 * len(pages)
+    for r in pages:
+        p = _Page()
+        p.feed(r["html"])
+        p.close()
+        meta, text = found[r["page_id"], "metadata"], found[r["page_id"], "conversion"]
+        assert meta["refers_to"] == text["refers_to"] and meta["target_uri"] == text["target_uri"] == r["url"] and meta["record_id"] != text["record_id"]
+        for x in (meta, text):
+            assert x["content_length"] == len(x["block"].encode()) and x["block_digest"] == sha(x["block"].encode()) and x["source_payload_digest"] == sha(r["html"].encode())
+        html = json.loads(meta["block"])["Envelope"]["Payload-Metadata"]["HTTP-Response-Metadata"]["HTML-Metadata"]
+        assert html["Head"]["Title"] == " ".join(p.title.split())
+        assert [x["url"] for x in html["Links"] if x["path"] == "A@/href"] == [urljoin(r["url"], x) for x in p.links]
+        assert text["block"].split() == "".join(p.words).split()
 
 
 def test_warc_query(spark):
