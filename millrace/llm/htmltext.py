@@ -147,28 +147,25 @@ def _is_main(node: Node, have: dict[str, str]) -> bool:
     return node.tag in ("article", "main") and not _hints(node, True, have)[0] or have.get("role") == "main"
 
 
-_SPACE = re.compile(r"\s+")
-
-
 def _chars(node: Node) -> int:
-    return sum(len(_SPACE.sub("", c)) if isinstance(c, str) else c.chars for c in node.children)
+    return sum(sum(map(len, c.split())) if isinstance(c, str) else c.chars for c in node.children)
 
 
 def _leave_out(root: Node) -> None:
     """Take out the parts that aren't main text by their own word."""
-    order: list[tuple[Node, dict[str, str], bool]] = []
+    order: list[tuple[Node, bool]] = []
     stack: list[tuple[Node, bool]] = [(root, False)]
     while stack:
         node, inside = stack.pop()
-        have = attributes(node)
-        order.append((node, have, inside))
+        order.append((node, inside))
         inside = inside or node.tag in ("article", "main")
         node.children = [c for c in node.children if isinstance(c, str) or not _says_other(c, inside, attributes(c))]
         stack += [(c, inside) for c in node.children if not isinstance(c, str)]
     largest: dict[int, int] = {}  # characters of the largest article or main element in a node
     hinted = []
-    for node, have, inside in reversed(order):
+    for node, inside in reversed(order):
         node.chars = _chars(node)
+        have = attributes(node)
         most = max((largest[id(c)] for c in node.children if not isinstance(c, str)), default=0)
         if have and (found := _hints(node, inside, have))[0]:
             hinted.append((node, *found, most))
@@ -183,7 +180,7 @@ def _leave_out(root: Node) -> None:
         out.add(id(node))
     if not out:
         return
-    kept = {id(node): [c for c in node.children if isinstance(c, str) or id(c) not in out] for node, _, _ in order}
+    kept = {id(node): [c for c in node.children if isinstance(c, str) or id(c) not in out] for node, _ in order}
     left = [root]
     some = False
     while left and not some:
@@ -193,7 +190,7 @@ def _leave_out(root: Node) -> None:
             else:
                 left.append(c)
     if some:
-        for node, _, _ in order:
+        for node, _ in order:
             node.children = kept[id(node)]
 
 
@@ -284,13 +281,15 @@ def main_text(page: str | None) -> str:
 def plain_text(root: Node) -> str:
     """All visible text of a page, a line for each block."""
     out: list[str] = []
-    stack: list[Node | str] = [root]
+    stack: list[Node | str | None] = [root]
     while stack:
         x = stack.pop()
-        if isinstance(x, str):
-            out.append(_SPACE.sub(" ", x))
+        if x is None:
+            out.append("\0")
+        elif isinstance(x, str):
+            out.append(x.replace("\0", " ") if "\0" in x else x)
         elif x.tag not in ("script", "style", "head", "title", "template", "noscript", "iframe", "svg", "noembed", "noframes", "xmp"):
-            edge = ["\0"] if x.tag in BLOCK else []
+            edge = [None] if x.tag in BLOCK else []
             stack += [*edge, *reversed(x.children), *edge]
     lines = (" ".join(line.split()) for line in "".join(out).split("\0"))
     return "\n".join(line for line in lines if line)

@@ -234,15 +234,21 @@ def derive(df: DataFrame, key: str = "page_id", url: str = "url", page: str = "h
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns: list[list] = [[] for _ in range(13)]
+            names, texts = [], []  # of the sources' headers, in one array each
+            columns[11].append(0)
             for values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 source, block = ([(x["name"], x["value"]) for x in values[0] or ()], values[1] or b"") if given else response(*values, date)
                 for own, data in derivatives(source, block):
                     h = dict(own)
                     row = (h["WARC-Refers-To"] if given else values[0], h["WARC-Type"], h["WARC-Record-ID"], h["WARC-Refers-To"], h.get("WARC-Target-URI"), h["WARC-Date"], h["Content-Type"], len(data), h["WARC-Block-Digest"])
-                    for c, v in zip(columns, (*row, h["WARC-Source-Payload-Digest"], h["WARC-Source-Block-Digest"], [{"name": k, "value": v} for k, v in source], data.decode()), strict=True):
+                    for c, v in zip(columns, (*row, h["WARC-Source-Payload-Digest"], h["WARC-Source-Block-Digest"], len(names) + len(source), data.decode()), strict=True):
                         c.append(v)
+                    names.extend(k for k, _ in source)
+                    texts.extend(v for _, v in source)
+            pairs = pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.string())], ["name", "value"])
+            columns[11] = pa.ListArray.from_arrays(pa.array(columns[11], pa.int32()), pairs)
             kinds = [pa.string()] * 7 + [pa.int64()] + [pa.string()] * 3 + [_PAIRS, pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [x.split()[0] for x in SCHEMA.split(", ")])
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [x.split()[0] for x in SCHEMA.split(", ")])
 
     return rows.mapInArrow(tidied(run), SCHEMA)
 
