@@ -211,11 +211,41 @@ def shared_dir(spark: SparkSession) -> str:
     return os.path.join(tempfile.gettempdir(), "millrace-checkpoints")
 
 
+#: Staged tables of this process that are still there.
+_staged: list[str] = []
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it again: cuts lineage, survives the loss of executors."""
     path = f"{shared_dir(df.sparkSession)}/millrace-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    _staged.append(path)
+    return out
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing reads any more: what was made of them is staged itself, or was collected."""
+    for df in tables:
+        _delete(df.sparkSession, getattr(df, "staged_at", None))
+
+
+def staged_whole(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """Stages what ``make`` plans, and deletes all tables that it staged on the way."""
+    mark = len(_staged)
+    out = stage(make(), name)
+    for path in _staged[mark:]:
+        if path != out.staged_at:
+            _delete(out.sparkSession, path)
+    return out
+
+
+def _delete(spark: SparkSession, path: str | None) -> None:
+    if path in _staged:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _staged.remove(path)
 
 
 def free(name: str, taken: list[str]) -> str:

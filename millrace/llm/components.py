@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stage, tidied
+from .common import small_batches, stage, tidied, unstage
 
 
 def union_find(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -49,7 +49,9 @@ def connected(links: DataFrame, a: str, b: str) -> DataFrame:
     while True:
         state = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.col("v").cast("decimal(38,0)")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+            out = edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+            out.staged_at = edges.staged_at  # what it reads, for the caller to unstage
+            return out
         before = state
         # large star: each node's larger neighbours to its smallest neighbour
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -58,4 +60,5 @@ def connected(links: DataFrame, a: str, b: str) -> DataFrame:
         # small star: each node and its smaller neighbours to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        edges = stage(small.where("u > v").distinct(), "links")
+        old, edges = edges, stage(small.where("u > v").distinct(), "links")
+        unstage(old)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, small_batches, stage, text_slices, tidied
+from .common import mix64, small_batches, stage, text_slices, tidied, unstage
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 15
@@ -204,6 +204,7 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", orders: tuple[i
         full = np.zeros((buckets, len(part)))
         full[table.column("bucket").to_numpy(), table.column("at").to_numpy()] = table.column("n").to_numpy()
         models.append(LanguageModel(part, full, np.array([documents[x] for x in part], dtype=float), orders, smoothing, (float(sum(documents.values())), len(languages))))
+    unstage(sums)
     return models
 
 

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, mix64, small_batches, stage, text_chunks, tidied, word_hashes
+from .common import chunks, mix64, small_batches, stage, text_chunks, tidied, unstage, word_hashes
 from .components import connected
 
 PLACES, BAND_ROWS = 128, 4
@@ -242,9 +242,14 @@ def near_duplicates(
     shared = stage(banded.join(buckets, "band").select("band", "key", "least"), "buckets")
     pairs = shared.where("key <> least").select(F.col("least").alias("x"), F.col("key").alias("y")).distinct()
     links = stage(verify(pairs, docs, key, text, words, numerator, denominator), "verified")
-    found = stage(connected(links, "x", "y"), "components")
+    grouped = connected(links, "x", "y")
+    found = stage(grouped, "components")
+    unstage(grouped)
     # what is still apart within a bucket; the pairs with the bucket's smallest key have been checked
     rest = shared.where("key <> least").join(found.withColumnRenamed("node", "key"), "key", "left").select("band", "key", F.coalesce("root", "key").alias("component"))
-    links = links.union(stage(_apart(rest, docs, key, text, words, numerator, denominator), "verified"))
-    found = stage(connected(links.union(member.where("key <> rep").select(F.col("rep").alias("x"), F.col("key").alias("y"))), "x", "y"), "components")
+    more = stage(_apart(rest, docs, key, text, words, numerator, denominator), "verified")
+    unstage(shared, found)
+    grouped = connected(links.union(more).union(member.where("key <> rep").select(F.col("rep").alias("x"), F.col("key").alias("y"))), "x", "y")
+    found = stage(grouped, "components")
+    unstage(grouped, links, more)
     return sketches.select("key", "n_shingles").join(found.withColumnRenamed("node", "key"), "key", "left").select(F.col("key").alias(key), "n_shingles", F.coalesce("root", "key").alias("component"))

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ByteHash, lower_ascii, mix64, small_batches, stage, text_chunks, tidied, word_bounds
+from .common import ByteHash, lower_ascii, mix64, small_batches, stage, text_chunks, tidied, unstage, word_bounds
 
 _CLASS = np.zeros((256, 8), dtype=bool)
 for _c in range(256):
@@ -159,6 +159,7 @@ def fit(labelled: DataFrame, model: QualityModel | None = None) -> QualityModel:
     d = len(STATISTICS)
     sums = rows.select(F.count(F.lit(1)), *[f(F.col("stats")[k]) for k in range(d) for f in (F.avg, F.stddev_pop)]).first()
     if not sums[0]:
+        unstage(rows)
         return model
     model.mean = np.array([sums[1 + 2 * k] for k in range(d)])
     model.scale = np.maximum([sums[2 + 2 * k] for k in range(d)], 1e-6)
@@ -194,6 +195,7 @@ def fit(labelled: DataFrame, model: QualityModel | None = None) -> QualityModel:
             yield pa.RecordBatch.from_arrays([pa.array(at), batch.column(1)], ["bin", "label"])
 
     curve = rows.mapInArrow(tidied(bins), "bin int, label double").groupBy("bin").agg(F.sum("label").alias("y"), F.count(F.lit(1)).alias("n")).orderBy("bin").collect()
+    unstage(rows)
     x = np.array([_LOW + (r["bin"] + 0.5) * (_HIGH - _LOW) / BINS for r in curve])
     model.x, model.y = pool_adjacent_violators(x, np.array([r["y"] for r in curve]), np.array([float(r["n"]) for r in curve]))
     return model

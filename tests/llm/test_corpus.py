@@ -379,3 +379,16 @@ def test_stages_with_odd_tables(spark, tmp_path):
             out = apply(spark, docs, str(tmp_path))
             assert out.columns[: len(docs.columns)] == docs.columns, name
             assert all(r["_null"] == r["rest"] == r["_text"] for r in out.collect())
+
+
+def test_a_run_leaves_only_what_its_result_reads(spark, tmp_path, monkeypatch):
+    from millrace.llm import common
+
+    monkeypatch.setattr(common, "shared_dir", lambda _: str(tmp_path))
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    left = {}
+    for name, run in (("near", lambda: minhash.near_duplicates(docs)), ("languages", lambda: langid.train(docs)), ("pipeline", lambda: corpus_pipeline.run(spark, SF).count())):
+        seen = {p.name for p in tmp_path.iterdir()}
+        run()
+        left[name] = sorted(p.name.split("-")[1] for p in tmp_path.iterdir() if p.name not in seen)
+    assert left == {"near": ["components", "sketches"], "languages": [], "pipeline": ["decontamination"]}
