@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import decontam, langid, minhash, pieces, suffix
-from millrace.llm.common import free, stage
+from millrace.llm.common import free, staged_whole, unstage
 from millrace.llm.queries import TOKENIZER, TOKENIZERS, table
 
 #: Documents whose best language has a smaller posterior are rejected, as are those without a letter.
@@ -72,5 +72,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on ``documents``, each written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, apply in STAGES[:-1]:
-        docs = stage(apply(spark, docs, sf_dir), name)
+        before, docs = docs, staged_whole(lambda: apply(spark, docs, sf_dir), name)  # noqa: B023  called at once
+        unstage(before)
     return STAGES[-1][1](spark, docs, sf_dir)
