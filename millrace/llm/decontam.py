@@ -28,6 +28,8 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW, SHINGLE = 10, 3
 #: Benchmark shingles up to which they are broadcast: with their windows they take some tens of MB.
 SMALL = 50_000
+#: Texts with candidates up to which their keys (24 bytes each) are broadcast, so that no other texts are shuffled; more are joined by shuffles.
+FEW = 500_000
 
 
 def words(text: Column) -> Column:
@@ -129,8 +131,9 @@ def occurrences(docs: DataFrame, items: DataFrame, text: str = "text", item_key:
     texts = places.select(*TEXT_KEY, "n_words").distinct()
     start = F.col("at") - F.col("offset")
     candidates = hits.distinct().join(fit(index), "h").join(texts, TEXT_KEY).where((start >= 0) & (start + F.size("w") <= F.col("n_words")))
-    candidates = candidates.groupBy(*TEXT_KEY).agg(F.collect_set(F.struct(start.alias("at"), "w", "of")).alias("candidates"))
-    wanted = base.select(*TEXT_KEY, "text").join(candidates.select(*TEXT_KEY), TEXT_KEY, "left_semi").groupBy(*TEXT_KEY).agg(F.first("text").alias("text"))
+    candidates = stage(candidates.groupBy(*TEXT_KEY).agg(F.collect_set(F.struct(start.alias("at"), "w", "of")).alias("candidates")), "candidates")
+    few = F.broadcast if candidates.count() <= FEW else (lambda x: x)
+    wanted = base.select(*TEXT_KEY, "text").join(few(candidates.select(*TEXT_KEY)), TEXT_KEY, "left_semi").groupBy(*TEXT_KEY).agg(F.first("text").alias("text"))
     checked = wanted.join(candidates, TEXT_KEY).select(*TEXT_KEY, words(F.col("text")).alias("words"), "candidates")
     exact = checked.select(*TEXT_KEY, F.filter("candidates", lambda c: F.slice(F.col("words"), c["at"] + 1, F.size(c["w"])) == c["w"]).alias("occ"))
     exact = exact.select(
@@ -138,6 +141,7 @@ def occurrences(docs: DataFrame, items: DataFrame, text: str = "text", item_key:
         F.array_distinct(F.transform("occ", lambda c: F.struct(c["at"].alias("at"), F.size(c["w"]).alias("size")))).alias("spans"),
         F.array_distinct(F.flatten(F.transform("occ", lambda c: c["of"]))).alias("items"),
     )
+    exact = stage(exact, "exact")  # so that the join's sides are no aggregates, and AQE can split a hot text
     lines = places.where("lead").select("doc", F.col("n_words").cast("long").alias("n_words"), *TEXT_KEY).join(exact, TEXT_KEY, "left")
     return _named(lines.select("doc", "n_words", F.coalesce("spans", F.array().cast(spans_array)).alias("spans"), F.coalesce("items", F.array().cast(id_array)).alias("items")), rest)
 
