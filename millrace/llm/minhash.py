@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, mix64, small_batches, stage, text_chunks, tidied, unstage, word_hashes
+from .common import chunks, mix64, partitions, small_batches, stage, text_chunks, tidied, unstage, word_hashes
 from .components import connected
 
 PLACES, BAND_ROWS = 128, 4
@@ -33,6 +33,8 @@ WORDS = 5
 NUMERATOR, DENOMINATOR = 80, 100
 #: Members of a side of a cell, and columns of a matrix, that a task holds at a time.
 _SIDE, _COLUMNS = 512, 4096
+#: Parts of a class of equal sets, at least; there are as many as shuffle partitions.
+_PARTS = 64
 #: Elements that are permuted at once, and bytes of texts that are worked on at once.
 _ELEMENTS, _CHUNK = 1 << 15, 1 << 19
 
@@ -234,8 +236,12 @@ def near_duplicates(
     sketches = stage(sketch(docs, key, text, words, places, rows), "sketches")
     taking = sketches.where("key is not null and n_shingles > 0")
     same = ["p1", "p2", "n_shingles"]
-    classes = taking.groupBy(*same).agg(F.min("key").alias("rep"))
-    member = taking.select("key", *same).join(classes, same).select("key", "rep")
+    # copies meet in parts of their class first, so a class of any size is spread over tasks
+    parted = taking.select("key", *same, F.pmod(F.xxhash64("key"), F.lit(max(_PARTS, partitions(docs.sparkSession)))).alias("part"))
+    parts = parted.groupBy(*same, "part").agg(F.min("key").alias("near"))
+    classes = parts.groupBy(*same).agg(F.min("near").alias("rep"))
+    copies = parted.join(parts, [*same, "part"]).where("key <> near").select(F.col("near").alias("x"), F.col("key").alias("y"))
+    heads = parts.join(classes, same).where("near <> rep").select(F.col("rep").alias("x"), F.col("near").alias("y"))
     nodes = taking.join(classes.select(F.col("rep").alias("key")).distinct(), "key", "left_semi").dropDuplicates(["key", *same])
     banded = nodes.select("key", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -249,7 +255,7 @@ def near_duplicates(
     rest = shared.where("key <> least").join(found.withColumnRenamed("node", "key"), "key", "left").select("band", "key", F.coalesce("root", "key").alias("component"))
     more = stage(_apart(rest, docs, key, text, words, numerator, denominator), "verified")
     unstage(shared, found)
-    grouped = connected(links.union(more).union(member.where("key <> rep").select(F.col("rep").alias("x"), F.col("key").alias("y"))), "x", "y")
+    grouped = connected(links.union(more).union(copies).union(heads), "x", "y")
     found = stage(grouped, "components")
     unstage(grouped, links, more)
     return sketches.select("key", "n_shingles").join(found.withColumnRenamed("node", "key"), "key", "left").select(F.col("key").alias(key), "n_shingles", F.coalesce("root", "key").alias("component"))
