@@ -185,7 +185,20 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, lower-cased A-Z, and each text's first word."""
     starts, ends, first = word_bounds(data, offsets)
-    return ByteHash(lower_ascii(data))(starts, ends), first
+    return slice_hashes(data, starts, ends), first
+
+
+def slice_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of ascending slices that don't overlap, lower-cased A-Z; some megabytes at a time, however long a text is."""
+    if len(data) <= 2 * CHUNK_BYTES:
+        return ByteHash(lower_ascii(data))(starts, ends)
+    out, i = np.empty(len(starts), dtype=U64), 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + CHUNK_BYTES, side="right")))
+        lo = starts[i]
+        out[i:j] = ByteHash(lower_ascii(data[lo : ends[j - 1]]))(starts[i:j] - lo, ends[i:j] - lo)
+        i = j
+    return out
 
 
 def text_chunks(column, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ByteHash, lower_ascii, mix64, small_batches, stage, text_chunks, tidied, unstage, word_bounds
+from .common import mix64, slice_hashes, small_batches, stage, text_chunks, tidied, unstage, word_bounds
 
 _CLASS = np.zeros((256, 8), dtype=bool)
 for _c in range(256):
@@ -67,16 +67,14 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     out = np.zeros((n, len(STATISTICS)))
     if not len(data):
         return out
-    byte_owner = np.repeat(np.arange(n), size)
-    some = np.maximum(size, 1)
+    some = size > 0
     for k in range(8):
-        out[:, k] = np.bincount(byte_owner[_CLASS[data, k]], minlength=n) / some
+        out[some, k] = np.add.reduceat(_CLASS[:, k][data].view(np.uint8), offsets[:-1][some], dtype=np.int64) / size[some]
     starts, ends, first = word_bounds(data, offsets)
     count = np.diff(first)
     owner = np.repeat(np.arange(n), count)
     words, length = np.maximum(count, 1), (ends - starts).astype(float)
-    h = ByteHash(lower_ascii(data))
-    hashes = h(starts, ends)
+    hashes = slice_hashes(data, starts, ends)
     mean = np.bincount(owner, length, n) / words
     out[:, 8], out[:, 9], out[:, 10] = np.log1p(size), np.log1p(count), mean
     out[:, 11] = np.sqrt(np.maximum(np.bincount(owner, length**2, n) / words - mean**2, 0))
@@ -92,7 +90,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     line_end = np.r_[at[1:], len(data)]
     line_owner = np.searchsorted(offsets, at, side="right") - 1
     lines = np.maximum(np.bincount(line_owner, minlength=n), 1)
-    distinct, _ = _distinct(line_owner, h(at, line_end), n)
+    distinct, _ = _distinct(line_owner, slice_hashes(data, at, line_end), n)
     out[:, 16], out[:, 17] = distinct / lines, np.log1p(count / lines)
     out[:, 18] = np.bincount(owner[_CLASS[data[starts], 1]], minlength=n) / words
     out[:, 19] = np.bincount(owner[length <= 2], minlength=n) / words

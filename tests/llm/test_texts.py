@@ -73,9 +73,104 @@ def test_language_scores_match_brute_force():
         assert name == "pq"[int(p.argmax())] and abs(s - p.max()) < 1e-9
 
 
+def test_language_of_long_texts_in_parts(monkeypatch):
+    r = random.Random(2)
+    text = "".join(r.choice("abcé  .,X\n") for _ in range(5000)) + "x" * 900 + " 12 " * 50
+    whole, has = langid.ngrams([text], (1, 2, 3), 1 << 12)
+    monkeypatch.setattr(langid, "_LONG", 100)
+    for t, want in ((text, whole), ("!" * 900, None), ("a" * 700, None)):
+        want = want or langid.ngrams([t], (1, 2, 3), 1 << 12)[0]
+        parts = list(langid.long_ngrams(t, (1, 2, 3), 1 << 12))
+        for k in range(3):
+            assert np.array_equal(np.concatenate([grams[k][0] for grams, _ in parts]), want[k][0])
+    assert has[0] and len(list(langid.long_ngrams(text, (1,), 4))) > 10
+
+
+def test_many_languages_in_slices(spark):
+    """600 languages, each of a word of its own: slices of the matrix give what the whole one gives."""
+    r = random.Random(1)
+    words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(12)) for _ in range(600)]
+    df = documents(spark, [f"{w} {w}" for w in words], lang=[f"l{k:03}" for k in range(600)])
+    sliced, whole = langid.train(df), langid.train(df, slice_of=1000)
+    assert [len(m.languages) for m in sliced] == [128] * 4 + [88] and len(whole) == 1
+    a, b = ({r["doc_id"]: (r["lang_pred"], r["lang_score"]) for r in langid.identify(df, m).collect()} for m in (sliced, whole))
+    assert all(a[k][0] == b[k][0] == f"l{k:03}" and abs(a[k][1] - b[k][1]) < 1e-9 for k in range(600))
+
+
+def test_language_ties_and_clashing_names(spark):
+    df = documents(spark, ["same words", "same words"], lang=["b", "a"], top=["x", "y"])
+    out = langid.identify(df, langid.train(df)).collect()
+    assert [r["lang_pred"] for r in out] == ["a", "a"] and [r["top"] for r in out] == ["x", "y"] and out[0]["lang_score"] == out[1]["lang_score"]
+
+
+def test_training_against_counts_by_hand(spark):
+    texts, langs = ["ab ba", "Abba!", "xy", None, "zz"], ["p", "q", "p", "p", None]
+    (model,) = langid.train(documents(spark, texts, lang=langs), orders=(1, 2), buckets=1 << 10)
+    counts = {k: np.zeros(1 << 10) for k in "pq"}
+    for t, x in zip(texts, langs):
+        if t and x:
+            grams, _ = langid.ngrams([t], (1, 2), 1 << 10)
+            for bucket, _ in grams:
+                np.add.at(counts[x], bucket, 1)
+    for k, x in enumerate("pq"):
+        want = np.log(counts[x] + langid.SMOOTHING) - np.log(counts[x].sum() + langid.SMOOTHING * (1 << 10))
+        assert np.allclose(model.logp[:, k], want, atol=1e-12)
+    assert np.allclose(model.prior, np.log([3 / 5, 2 / 5]))
+
+
 # quality
 
 
+def test_fit_against_ridge_and_isotonic_by_hand(spark):
+    r = np.random.default_rng(4)
+    stats = r.normal(size=(300, len(quality.STATISTICS)))
+    label = (stats[:, 0] + 0.3 * r.normal(size=300) > 0).astype(int)
+    df = spark.createDataFrame([(s.tolist(), int(y)) for s, y in zip(stats, label)], "stats array<double>, label int").repartition(5)
+    model = quality.fit(df)
+    plain = quality.QualityModel()
+    plain.mean, plain.scale = stats.mean(axis=0), stats.std(axis=0)
+    z = plain.expand(stats)
+    weights = np.linalg.solve(z.T @ z + plain.ridge * len(z) * np.eye(z.shape[1]) / z.shape[1], z.T @ label)
+    assert np.allclose(model.weights, weights, atol=1e-8)
+    scores = model.score(stats)
+    order = np.argsort(z @ weights)
+    assert (np.diff(scores[order]) >= -1e-12).all()
+    bins = np.clip((z @ weights - quality._LOW) / (quality._HIGH - quality._LOW) * quality.BINS, 0, quality.BINS - 1).astype(int)
+    means = [[label[bins == b].sum(), (bins == b).sum()] for b in np.unique(bins)]
+    while any(p[0] * q[1] > q[0] * p[1] for p, q in zip(means, means[1:])):  # pool neighbours that fall, one pair at a time
+        k = next(k for k, (p, q) in enumerate(zip(means, means[1:])) if p[0] * q[1] > q[0] * p[1])
+        means[k : k + 2] = [[means[k][0] + means[k + 1][0], means[k][1] + means[k + 1][1]]]
+    assert np.allclose(np.unique(np.round(model.y, 9)), np.unique(np.round([a / b for a, b in means], 9)))
+    assert quality.fit(df.where("false")).score(stats[:3]).tolist() == [0.5] * 3
+
+
+def test_statistics_against_plain_counts(monkeypatch):
+    from millrace.llm import common
+
+    r = random.Random(6)
+    texts = ["".join(r.choice("aB c1.!\n#|é ") for _ in range(n)) for n in (0, 1, 5, 400, 3000)]
+    texts += ["dog dog cat\ndog dog cat\nThe end of it"]
+    import pyarrow as pa
+
+    data, offsets = utf8(pa.array(texts))
+    got = quality.statistics(data, offsets)
+    for t, s in zip(texts, got):
+        b, w, lines = t.encode(), t.split(), [x for x in t.split("\n")]
+        lines = lines[:-1] if t.endswith("\n") else lines
+        low = [x.encode().lower() for x in w]
+        n = dict(zip(quality.STATISTICS, s))
+        if not b:
+            assert not s.any()
+            continue
+        assert abs(n["digits"] - sum(48 <= c <= 57 for c in b) / len(b)) < 1e-12 and abs(n["capitals"] - sum(65 <= c <= 90 for c in b) / len(b)) < 1e-12
+        assert abs(n["log_words"] - math.log1p(len(w))) < 1e-12 and abs(n["distinct"] - len(set(low)) / max(len(w), 1)) < 1e-12
+        assert abs(n["common"] - max([low.count(x) for x in low], default=0) / max(len(w), 1)) < 1e-12
+        assert abs(n["pairs"] - len(set(zip(low, low[1:]))) / max(len(w), 1)) < 1e-12
+        assert abs(n["distinct_lines"] - len({x.lower() for x in lines}) / len(lines)) < 1e-12
+    monkeypatch.setattr(common, "CHUNK_BYTES", 64)  # the same in slices
+    assert np.array_equal(quality.statistics(data, offsets), got)
+
+
 def test_quality_on_held_out_labels(spark):
     found = queries.op7_quality(spark, "/root/testdata/sf0.01").toPandas()
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").toPandas()
