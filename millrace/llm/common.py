@@ -37,9 +37,9 @@ def _allocator(name: str, *values: int) -> None:
         pass
 
 
-#: Arrays up to 32 MB come from the heap, which isn't cut before a task's end; larger ones get maps of their own. Else the system would clear
+#: Arrays up to 16 MB come from the heap, which isn't cut before a task's end; larger ones get maps of their own. Else the system would clear
 #: pages for every array anew. -3 and -1 are the C library's fixed names of the two thresholds.
-_allocator("mallopt", -3, 32 << 20)
+_allocator("mallopt", -3, 16 << 20)
 _allocator("mallopt", -1, 512 << 20)
 
 

@@ -14,6 +14,7 @@ the model has them, else the unknown id. Decoding inverts encoding but for the m
 
 from __future__ import annotations
 
+import gc
 import heapq
 import re
 from collections.abc import Callable, Iterator
@@ -30,10 +31,10 @@ from .common import chunks, small_batches, text_slices, tidied, widened
 
 MARK = "▁"
 #: Words and pairs kept between a task's batches; beyond that a table starts anew.
-KEEP_WORDS = 200_000
-_KEEP_PAIRS = 400_000
+KEEP_WORDS = 300_000
+_KEEP_PAIRS = 1_000_000
 #: Bytes of texts, and ids, that are worked on at once.
-_CHUNK = 1 << 20
+_CHUNK = 1 << 23
 _loaded: dict[bytes, PieceModel] = {}
 
 
@@ -266,6 +267,7 @@ def _run(df: DataFrame, proto: bytes, source: str, added: list[tuple[str, T.Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(shared.value)
+        gc.disable()  # millions of lists and tuples come and go here, none in cycles
         for batch in batches:
             for a, b in _parts(batch.column(names.index(source))):
                 values = batch.column(names.index(source)).slice(a, b - a).to_pylist()
@@ -273,6 +275,7 @@ def _run(df: DataFrame, proto: bytes, source: str, added: list[tuple[str, T.Data
                 made = [pa.array([None if v is None else next(c) for v in values], k) for c, k in zip(columns, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, *made], [*names, *(n for n, _ in added)])
         m.forget()
+        gc.enable()
 
     return df.mapInArrow(tidied(run), widened(df.schema, *added))
 
