@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import decontam, langid, minhash, pieces, suffix
-from millrace.llm.common import free, staged_whole, unstage
+from millrace.llm.common import free, stage, staged_whole, unstage
 from millrace.llm.queries import TOKENIZER, TOKENIZERS, table
 
 #: Documents whose best language has a smaller posterior are rejected, as are those without a letter.
@@ -51,8 +51,9 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     names = [free(f"_{k}", docs.columns) for k in decontam.TEXT_KEY]
     keys = [k.alias(n) for k, n in zip(decontam.identity(F.col("text")), names, strict=True)]
     found = decontam.occurrences(docs.select("text", *keys), table(spark, sf_dir, "benchmark"))
-    gone = found.where(F.size("items") > 0).select(*names).distinct()
-    return docs.select(*docs.columns, *keys).join(gone, names, "left_anti").select(*docs.columns)
+    gone = stage(found.where(F.size("items") > 0).select(*names).distinct(), "dirty")
+    few = gone.count() <= decontam.FEW  # then texts need no shuffle
+    return docs.select(*docs.columns, *keys).join(F.broadcast(gone) if few else gone, names, "left_anti").select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
