@@ -97,13 +97,14 @@ _INVERSES = tuple(U64(pow(int(x), -1, 1 << 64)) for x in _STEPS)
 with np.errstate(over="ignore"):
     _BYTES = tuple(mix64(np.arange(1 + 256 * k, 257 + 256 * k, dtype=U64) * x) for k, x in enumerate(_STEPS))
 _powers: dict[int, np.ndarray] = {}
+_HALF = (CHUNK_BYTES >> 1) + 4096
 
 
 def _power(step: np.uint64, n: int) -> np.ndarray:
     which = int(step)
     have = _powers.get(which)
     if have is None or len(have) < n:
-        size = max(n, CHUNK_BYTES + 1)
+        size = max(n, CHUNK_BYTES + 1 if n > _HALF else _HALF)  # some operators take a chunk at once, some half of it
         a = np.full(size, step, dtype=U64)
         a[0] = 1
         with np.errstate(over="ignore"):
@@ -113,6 +114,11 @@ def _power(step: np.uint64, n: int) -> np.ndarray:
     return have[:n]
 
 
+def forget_powers() -> None:
+    """Frees the tables of powers, up to 67 MB, which a worker else keeps as long as it lives."""
+    _powers.clear()
+
+
 class ByteHash:
     """Hashes of any slices of a byte array in constant time each (a polynomial over 2**64 with random byte values).
 

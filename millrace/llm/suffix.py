@@ -114,15 +114,14 @@ def minimisers(h: np.ndarray, width: int) -> np.ndarray:
 
 
 class Scan:
-    """Minimisers of a block's texts: places, hashes, two hashes of their surroundings; and in ``runs``, if asked for, the strings of each
-    chunk of texts with their minimisers' numbers."""
+    """Minimisers of a block's texts: hashes, two hashes of their surroundings, and the strings of each, which follow each other in one
+    text: where the first one starts (``start``), and how many there are (``times``)."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int, strings: bool):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int):
         gram = min(GRAM, length)
-        hashes, around, check = [], [], []
-        self.runs: list[tuple[np.ndarray, np.ndarray]] = []
-        seen = 0
-        for a, b in chunks(offsets, _CHUNK):
+        none = np.zeros(0, dtype=np.uint64)
+        hashes, around, check, start, times = [none], [none], [none.astype(np.uint32)], [none.astype(np.int64)], [none.astype(np.int64)]
+        for a, b in chunks(offsets, _CHUNK // 2):
             lo, hi = offsets[a], offsets[b]
             part, off = data[lo:hi], offsets[a : b + 1] - lo
             if len(part) < length:
@@ -144,12 +143,14 @@ class Scan:
             around.append(mix64(of(x, y) + (place - x).astype(np.uint64)))
             del of, h
             check.append((mix64(ByteHash(part, 1)(x, y) + (place - x).astype(np.uint64)) >> np.uint64(32)).astype(np.uint32))
-            if strings:
-                self.runs.append(((string + lo).astype(np.int32 if hi < 1 << 31 else np.int64), (np.cumsum(new) - 1 + seen).astype(np.int32)))
-            seen += len(place)
-        none = np.zeros(0, dtype=np.uint64)
-        self.hash, self.around = np.concatenate([none, *hashes]), np.concatenate([none, *around])
-        self.check = np.concatenate([none.astype(np.uint32), *check])
+            start.append(string[new] + lo)
+            times.append(np.diff(np.r_[np.flatnonzero(new), len(mine)]))
+        self.hash, self.around, self.check, self.start, self.times = map(np.concatenate, (hashes, around, check, start, times))
+
+    def strings(self, of: np.ndarray) -> np.ndarray:
+        """The places of the strings of some minimisers."""
+        start, times = self.start[of], self.times[of]
+        return np.repeat(start - (np.cumsum(times) - times), times) + np.arange(times.sum())
 
 
 class _Facts:
@@ -178,7 +179,7 @@ def _string_hashes(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.nd
     out, check = np.empty(len(at), dtype=np.uint64), np.empty(len(at), dtype=np.uint32)
     start = 0
     while start < len(at):
-        end = int(np.searchsorted(at, at[start] + (1 << 21)))
+        end = int(np.searchsorted(at, at[start] + _CHUNK))
         lo = at[start]
         for which in (0, 1):
             h = ByteHash(data[lo : at[end - 1] + length], which)(at[start:end] - lo, at[start:end] - lo + length)
@@ -221,12 +222,22 @@ def _new_in_part(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     return factor[at - heads[run] + begin[run]] < length
 
 
-def _cover(delta: np.ndarray, at: np.ndarray, length: int) -> None:
-    """Notes strings at distinct places as covered."""
+def _cover(delta: np.ndarray, at: np.ndarray, length: int | np.ndarray) -> None:
+    """Notes strings, or runs of them, as covered; their starts are distinct, and so are their ends. So a call changes a note by 1 at most."""
     delta[at] += 1
     delta[at + length] -= 1
 
 
+def _covered(delta: np.ndarray) -> np.ndarray:
+    """Which bytes are covered, by the sums of the notes up to them; some at a time."""
+    out, before = np.empty(len(delta) - 1, dtype=bool), np.int32(0)
+    for a in range(0, len(out), _CHUNK):
+        sums = np.cumsum(delta[a : min(a + _CHUNK, len(out))], dtype=np.int32) + before
+        out[a : a + len(sums)] = sums > 0
+        before = sums[-1]
+    return out
+
+
 def _bits(flags: np.ndarray) -> bytes:
     packed = np.packbits(flags)
     return blocks.pack(packed)
@@ -250,21 +261,20 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
 
     def send(block: int, table: pa.Table) -> list[tuple]:
         _, data, offsets = _arranged(table, key, text)
-        scan = Scan(data, offsets, length, False)
+        scan = Scan(data, offsets, length)
         hash_, around = _Facts(scan.hash), _Facts(scan.around, scan.check)
         return blocks.posted(block, blocks.messages(0, hash_.keys, hash_.counts, buckets), blocks.messages(1, around.keys, around.counts, buckets, around.checks))
 
     def heard(block: int, table: pa.Table, answers: blocks.Answers) -> list[tuple]:
         _, data, offsets = _arranged(table, key, text)
-        scan = Scan(data, offsets, length, True)
+        scan = Scan(data, offsets, length)
         around = _Facts(scan.around, scan.check)
         total, alike, new = answers.totals(0)[_Facts(scan.hash).of], answers.totals(1)[around.of], answers.first(1)[around.of]
         new &= around.first[around.of] == np.arange(len(around.of))
         open_ = new & (alike < total)  # first of its surroundings, but the minimiser occurs in others
-        covered = np.zeros(len(data) + 1, dtype=np.int32)
-        for string, owner in scan.runs:
-            _cover(covered, string[~new[owner]], length)
-        left = np.concatenate([np.zeros(0, dtype=np.int64), *(string[open_[owner]] for string, owner in scan.runs)])
+        covered = np.zeros(len(data) + 1, dtype=np.int8)
+        _cover(covered, scan.start[~new], scan.times[~new] - 1 + length)
+        left = scan.strings(open_)
         del scan
         fresh = _new_in_block(data, left, length)
         strings = _Facts(*_string_hashes(data, left[fresh], length))
@@ -274,7 +284,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         asks = np.zeros(len(data), dtype=bool)
         asks[left[asked]] = True
         rows = blocks.posted(block, blocks.messages(2, strings.keys, None, buckets, strings.checks))
-        for kind, flags in ((-1, np.cumsum(covered[:-1], dtype=np.int32) > 0), (-2, asks)):  # what the block has found so far goes with one of the messages
+        for kind, flags in ((-1, _covered(covered)), (-2, asks)):  # what the block has found so far goes with one of the messages
             for column, value in zip(rows[block % buckets][2:], (kind, len(data), b"", b"", _bits(flags)), strict=True):
                 column.append(value)
         return rows
@@ -286,9 +296,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         covered, asks = _unbits(answers.passed(-1), len(data)), np.flatnonzero(_unbits(answers.passed(-2), len(data)))
         which = _Facts(*_string_hashes(data, asks, length)).of
         gone = asks[~answers.first(2)[which]] if len(asks) else asks
-        delta = np.zeros(len(data) + 1, dtype=np.int32)
+        delta = np.zeros(len(data) + 1, dtype=np.int8)
         _cover(delta, gone, length)
-        covered |= np.cumsum(delta[:-1], dtype=np.int32) > 0
+        covered |= _covered(delta)
         n, size = len(offsets) - 1, np.diff(offsets)
         edge = np.zeros(len(data) + 1, dtype=bool)
         edge[offsets] = True

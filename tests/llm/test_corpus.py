@@ -283,6 +283,31 @@ def test_repeats_against_brute_force(spark, length, block_bytes):
     assert all(sum(s["end"] - s["start"] for s in g["removed"]) == g["n_removed"] for g in got)
 
 
+def test_a_scan_holds_each_run_of_strings_once():
+    """A block's notes on its strings take fewer bytes than its texts, whatever these are; they stand for all strings."""
+    r = np.random.default_rng(4)
+    for texts in ([r.integers(32, 127, 3_000_000)], [np.full(1_500_000, 97)], [r.integers(97, 100, n) for n in r.integers(0, 400, 8000)]):
+        data, offsets = np.concatenate(texts).astype(np.uint8), np.r_[0, np.cumsum([len(t) for t in texts])]
+        scan = suffix.Scan(data, offsets, 100)
+        want = np.concatenate([np.arange(a, max(a, b - 99)) for a, b in zip(offsets[:-1], offsets[1:])])
+        assert np.array_equal(scan.strings(np.ones(len(scan.hash), dtype=bool)), want)
+        if len(texts) == 1 and data[0] != data[1]:
+            assert sum(x.nbytes for x in vars(scan).values()) < 2 * len(data)
+
+
+def test_covered_bytes_against_brute_force():
+    r = np.random.default_rng(6)
+    n = 3 * suffix._CHUNK // 2
+    at = np.sort(r.choice(n - 300, 40_000, replace=False))
+    at, more = at[::2], np.unique(np.r_[at[1::2], suffix._CHUNK - 50])
+    delta, want = np.zeros(n + 1, dtype=np.int8), np.zeros(n, dtype=bool)
+    suffix._cover(delta, at, 100)
+    suffix._cover(delta, more, 100)
+    for x in (*at, *more):
+        want[x : x + 100] = True
+    assert np.array_equal(suffix._covered(delta), want)
+
+
 def test_repeats_edges(spark):
     t = prose(random.Random(1), 40)
     rows = suffix.remove_repeats(documents(spark, [t, t, t], [5, None, 5])).collect()
