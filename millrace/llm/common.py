@@ -57,6 +57,7 @@ def tidied(f: Callable) -> Callable:
             try:
                 yield from f(batches)
             finally:
+                forget_powers()
                 tidy()
 
     elif f.__code__.co_argcount == 1:
@@ -97,14 +98,14 @@ _INVERSES = tuple(U64(pow(int(x), -1, 1 << 64)) for x in _STEPS)
 with np.errstate(over="ignore"):
     _BYTES = tuple(mix64(np.arange(1 + 256 * k, 257 + 256 * k, dtype=U64) * x) for k, x in enumerate(_STEPS))
 _powers: dict[int, np.ndarray] = {}
-_HALF = (CHUNK_BYTES >> 1) + 4096
+_QUARTER = (CHUNK_BYTES >> 2) + 4096
 
 
 def _power(step: np.uint64, n: int) -> np.ndarray:
     which = int(step)
     have = _powers.get(which)
     if have is None or len(have) < n:
-        size = max(n, CHUNK_BYTES + 1 if n > _HALF else _HALF)  # some operators take a chunk at once, some half of it
+        size = max(n, CHUNK_BYTES + 1 if n > _QUARTER else _QUARTER)  # some operators take a chunk at once, some a quarter of it
         a = np.full(size, step, dtype=U64)
         a[0] = 1
         with np.errstate(over="ignore"):
@@ -115,7 +116,7 @@ def _power(step: np.uint64, n: int) -> np.ndarray:
 
 
 def forget_powers() -> None:
-    """Frees the tables of powers, up to 67 MB, which a worker else keeps as long as it lives."""
+    """Frees the tables of powers, up to 67 MB, which a worker would else keep as long as it lives."""
     _powers.clear()
 
 

@@ -200,7 +200,8 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", orders: tuple[i
     models = []
     for k in range(0, len(languages), slice_of):
         part = languages[k : k + slice_of]
-        table = sums.where((F.col("bucket") < buckets) & F.col("lang").isin(part)).join(F.broadcast(df.sparkSession.createDataFrame(list(zip(part, range(len(part)), strict=True)), "lang string, at int")), "lang").select("bucket", "at", "n").toArrow()
+        places = df.sparkSession.createDataFrame(pa.table({"lang": pa.array(part, pa.string()), "at": pa.array(range(len(part)), pa.int32())}))  # of a list, Python workers of another kind would make it, and stay
+        table = sums.where((F.col("bucket") < buckets) & F.col("lang").isin(part)).join(F.broadcast(places), "lang").select("bucket", "at", "n").toArrow()
         full = np.zeros((buckets, len(part)))
         full[table.column("bucket").to_numpy(), table.column("at").to_numpy()] = table.column("n").to_numpy()
         models.append(LanguageModel(part, full, np.array([documents[x] for x in part], dtype=float), orders, smoothing, (float(sum(documents.values())), len(languages))))

@@ -27,14 +27,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import chunks, small_batches, text_slices, tidied, widened
+from .common import chunks, forget_powers, small_batches, text_slices, tidied, widened
 
 MARK = "▁"
 #: Words and pairs kept between a task's batches; beyond that a table starts anew.
 KEEP_WORDS = 300_000
 _KEEP_PAIRS = 1_000_000
 #: Bytes of texts, and ids, that are worked on at once.
-_CHUNK = 1 << 22
+_CHUNK = 1 << 21
 _loaded: dict[bytes, PieceModel] = {}
 
 
@@ -216,7 +216,11 @@ class PieceModel:
         split = [self.marked(t) for t in texts]
         self.learn(set().union(*split))
         of = self.words.__getitem__
-        return [list(chain.from_iterable(map(of, words))) for words in split]
+        split.reverse()
+        out = []
+        while split:  # a text's words go when its ids are there
+            out.append(list(chain.from_iterable(map(of, split.pop()))))
+        return out
 
     def decode(self, ids: list[int]) -> str:
         text, of_byte, kind, parts = self.text, self.byte_of, self.kind, []
@@ -266,6 +270,7 @@ def _run(df: DataFrame, proto: bytes, source: str, added: list[tuple[str, T.Data
     kinds = [pa.list_(pa.int32()) if isinstance(t, T.ArrayType) else pa.string() for _, t in added]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_powers()  # of a stage before
         m = model(shared.value)
         gc.disable()  # millions of lists and tuples come and go here, none in cycles
         for batch in batches:
@@ -274,6 +279,8 @@ def _run(df: DataFrame, proto: bytes, source: str, added: list[tuple[str, T.Data
                 columns = [iter(c) for c in work(m, [v for v in values if v is not None])]
                 made = [pa.array([None if v is None else next(c) for v in values], k) for c, k in zip(columns, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, *made], [*names, *(n for n, _ in added)])
+                del values, columns, made
+                pa.default_memory_pool().release_unused()
         m.forget()
         gc.enable()
 

@@ -28,8 +28,9 @@ from .common import ByteHash, chunks, mix64, utf8, widened
 
 LENGTH = 100
 GRAM = 32
-#: Minimisers and factor arrays are worked out for about so many bytes at a time, to bound a task's memory.
-_CHUNK = 1 << 20
+#: Minimisers and factor arrays are worked out for about so many bytes at a time, to bound a task's memory. Strings that stand in several parts
+#: of a block count as one all the same, by their hashes.
+_CHUNK = 1 << 19
 COLUMNS = (("n_bytes", "long"), ("n_removed", "long"), ("removed", "array<struct<start:bigint,end:bigint>>"), ("kept", "binary"))
 
 
@@ -121,7 +122,7 @@ class Scan:
         gram = min(GRAM, length)
         none = np.zeros(0, dtype=np.uint64)
         hashes, around, check, start, times = [none], [none], [none.astype(np.uint32)], [none.astype(np.int64)], [none.astype(np.int64)]
-        for a, b in chunks(offsets, _CHUNK // 2):
+        for a, b in chunks(offsets, _CHUNK):
             lo, hi = offsets[a], offsets[b]
             part, off = data[lo:hi], offsets[a : b + 1] - lo
             if len(part) < length:

@@ -8,11 +8,12 @@ import random
 from html.parser import HTMLParser
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm import ann, htmltext, langid, pieces, quality, queries, warc
+from millrace.llm import ann, common, htmltext, langid, pieces, quality, queries, warc
 from millrace.llm.common import ByteHash, chunks, lower_ascii, utf8, word_bounds
 
 SF = "/root/testdata/sf0.001"
@@ -47,6 +48,14 @@ def test_language_on_held_out_texts(spark):
     assert len(found) == 200 and (held.lang_pred == held.lang).mean() > 0.95 and found.score.between(0, 1).all()
 
 
+def test_language_starts_no_second_kind_of_workers(spark, monkeypatch):
+    """Small tables of the driver's go to the JVM as Arrow tables; of lists, Spark makes them by workers that take memory until the end."""
+    make, given = type(spark).createDataFrame, []
+    docs = documents(spark, ["the cat sat", "le chat est"], lang=["en", "fr"])
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, data, *a, **k: given.append(type(data)) or make(self, data, *a, **k))
+    assert langid.train(docs)[0].languages == ["en", "fr"] and given == [pa.Table]
+
+
 def test_language_edges(spark):
     df = documents(spark, ["the cat sat on the mat " * 3, "le chat est sur la table " * 3, None, "", "12 34 !!", "ß" * 5000, "the cat"], lang=["en", "fr", "en", None, "en", None, None])
     model = langid.train(df)
@@ -373,6 +382,32 @@ def test_unigram_scores_are_the_best(model):
         assert abs(sum(toy.scores[number[i]] for i in ids) - best(word)) < 1e-9
 
 
+def test_encoding_drops_what_it_needs_no_more(spark, model):
+    """A text's words go when its ids are there, and tables of powers that an earlier stage left go before the first text."""
+    alive = []
+
+    class Words(list):
+        def __del__(self):
+            alive.append(-1)
+
+        def __iter__(self):
+            alive.append(1)
+            return super().__iter__()
+
+    toy = pieces.PieceModel.__new__(pieces.PieceModel)
+    toy.__dict__ = model.__dict__ | {"words": {}, "marked": lambda text: Words(pieces.PieceModel.marked(model, text))}
+    assert toy.encode(["a b", "c", "a"]) == [model.encode([t])[0] for t in ("a b", "c", "a")]
+    assert alive[-6:] == [1, -1] * 3  # the first three are learnt from before
+
+    ByteHash(np.zeros(9, dtype=np.uint8))
+    taken = []
+    df = documents(spark, ["a b"])
+    df.mapInArrow = lambda run, schema: taken.append(run)
+    pieces.encode_and_decode(df, pieces.read_model(MODEL))
+    batch = pa.RecordBatch.from_pydict({"doc_id": [0], "text": ["a b"]})
+    assert common._powers and next(taken[0](iter([batch]))).column("decoded").to_pylist() == ["a b"] and not common._powers
+
+
 def test_pieces_query_and_edges(spark):
     df = documents(spark, [None, "", "a word " * 20_000, "x"])
     proto = pieces.read_model(MODEL)
