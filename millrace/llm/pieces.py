@@ -34,7 +34,7 @@ MARK = "▁"
 KEEP_WORDS = 300_000
 _KEEP_PAIRS = 1_000_000
 #: Bytes of texts, and ids, that are worked on at once.
-_CHUNK = 1 << 21
+_CHUNK = 3 << 20
 _loaded: dict[bytes, PieceModel] = {}
 
 
