@@ -3,6 +3,7 @@
 import csv
 import datetime as dt
 import decimal
+import importlib
 import io
 import json
 import sqlite3
@@ -227,3 +228,52 @@ def test_unknown_strategies_are_errors(spark, put):
 def test_validator_options_of_sinks(spark, tmp_path):
     m.Flow([{"v": "1"}, {"v": "x"}], m.update_schema(None, fields=[{"name": "v", "type": "integer"}]), m.dump_to_path(str(tmp_path), validator_options={"on_error": m.drop})).process()
     assert (tmp_path / "res_1.csv").read_bytes() == b"v\r\n1\r\n"
+
+
+STREAM = importlib.import_module("millrace.sources.stream")
+
+
+@pytest.fixture
+def no_rows_to_driver(spark, monkeypatch):
+    def fail(*_, **__):
+        raise AssertionError("rows come through the driver")
+
+    monkeypatch.setattr(type(spark.range(1)), "toLocalIterator", fail)
+    monkeypatch.setattr(STREAM, "from_rows", fail)
+
+
+def test_stream_and_unstream_leave_rows_to_tasks(spark, tmp_path, no_rows_to_driver):
+    path = str(tmp_path / "s.ndjson")
+    df = spark.range(1000, numPartitions=7).select(F.col("id"), F.concat(F.lit("é\r\n"), "id").alias("s"))
+    m.Flow(m.load(df, name="a"), m.load(df.limit(0), name="b"), m.load(df.limit(1), name="c"), m.stream(path)).process()
+    assert sorted(x.name for x in tmp_path.iterdir()) == ["s.ndjson"]
+    lines = (tmp_path / "s.ndjson").read_text(encoding="utf-8").split("\n")
+    assert [i for i, x in enumerate(lines) if not x] == [1001, 1002, 1004, 1005]
+    assert [json.loads(x)["id"] for x in lines[1:1001]] == list(range(1000))
+    out = m.Flow(m.unstream(path)).results()[0]
+    assert out[0] == [{"id": i, "s": f"é\r\n{i}"} for i in range(1000)] and out[1:] == [[], [{"id": 0, "s": "é\r\n0"}]]
+
+
+HEAD = json.dumps({"name": "p", "resources": [{"name": n, "schema": {"fields": [{"name": "k", "type": "integer"}]}} for n in "abc"]})
+
+
+@pytest.mark.parametrize("split", [1, 5, 9, 1000])
+@pytest.mark.parametrize("text", [
+    '{"k": 1}\n{"k": 22}\n\n\n{"k": 3}\n\nbehind\n', '{"k": 1}\r\n{"k": 22}\r\n\r\n  \r\n{"k": 3}', '{"k": 1}\r{"k": 22}\r\r\r{"k": 3}\r\r{"k": 4}', '{"k": 1}\n{"k": 22}\n\n\n{"k": 3}\n',
+])
+def test_resources_of_a_stream_end_at_blank_lines(spark, tmp_path, monkeypatch, split, text):
+    """Whatever the breaks of lines and wherever tasks' bytes end, rows are those of a file read line by line."""
+    monkeypatch.setattr(STREAM, "SPLIT", split)
+    (tmp_path / "s").write_bytes((HEAD + text[text.index("}") + 1 : text.index("{", 2)] + text).encode())
+    for source in (tmp_path / "s", open(tmp_path / "s", encoding="utf-8")):  # noqa: SIM115
+        out, package, _ = m.Flow(m.unstream(source)).results()
+        assert out == [[{"k": 1}, {"k": 22}], [], [{"k": 3}]] and package.metadata == {"name": "p"}
+
+
+def test_streams_of_handles_and_over_their_own_source(spark, tmp_path):
+    path, out = tmp_path / "s.ndjson", io.StringIO()
+    m.Flow(DATA, m.stream(path)).process()
+    m.Flow(DATA, m.stream(out)).process()
+    assert out.getvalue() == path.read_text(encoding="utf-8")
+    change = lambda row: {**row, "n": (row["n"] or 0) + 1}
+    assert [r["n"] for r in rows(m.unstream(path), change, m.stream(path))] == [2, 1] == [r["n"] for r in rows(m.unstream(path))]
