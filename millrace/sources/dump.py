@@ -1,4 +1,7 @@
-"""Sinks: files in a folder or archive, and databases. What is written passes through to later steps."""
+"""Sinks: files in a folder or archive, and databases. What is written passes through to later steps.
+
+Tasks write text files; workbooks, files of a caller's own format and sqlite files are written by the driver, a partition at a time.
+"""
 
 from __future__ import annotations
 
@@ -23,6 +26,7 @@ from ..functions.text import col, python_text, python_time_pattern
 from ..package import ORDER, Package, Resource, select
 from ..schema import TableSchema, from_spark
 from . import xlsx
+from .parts import Parts
 
 #: How dates and times are written unless a field says otherwise.
 PATTERNS = {"date": "%Y-%m-%d", "datetime": "%Y-%m-%dT%H:%M:%S", "time": "%H:%M:%S"}
@@ -44,7 +48,7 @@ def _text(r: Resource, f: dict, temporal: str | None) -> Column:
 
 
 def _csv(r: Resource, titles: bool, temporal: str | None) -> tuple[DataFrame, str]:
-    """Lines of a CSV file, quoted where needed, and its header."""
+    """Lines of a CSV file with their ends, quoted where needed, and its header."""
     out = io.StringIO()
     csv.writer(out).writerow([f.get("title", f["name"]) if titles else f["name"] for f in r.schema.fields])
     cells = []
@@ -52,7 +56,7 @@ def _csv(r: Resource, titles: bool, temporal: str | None) -> tuple[DataFrame, st
         t = _text(r, f, temporal)
         quoted = F.concat(F.lit('"'), F.replace(t, F.lit('"'), F.lit('""')), F.lit('"'))
         cells.append(F.coalesce(F.when(t.rlike('[",\r\n]'), quoted).otherwise(t), F.lit("")))
-    return r.df.select(F.concat_ws(",", *cells).alias("value"), ORDER), out.getvalue()
+    return r.df.select(F.concat(F.concat_ws(",", *cells), F.lit("\r\n")).alias("value"), ORDER), out.getvalue()
 
 
 def _json_value(r: Resource, f: dict) -> Column:
@@ -105,28 +109,18 @@ class _Writer:
         self.hash.update(data)
 
 
-def _lines(df: DataFrame) -> Iterator[str]:
-    """Lines in arrival order on the driver, a partition at a time."""
-    for row in df.orderBy(ORDER).select("value").toLocalIterator(prefetchPartitions=True):
-        yield row[0]
-
-
 def _write_one(r: Resource, form: str, out: Any, titles: bool, temporal: str | None) -> tuple[int, int, str]:
-    """One file of a resource; rows, bytes, md5."""
-    put, count = _Writer(out), 0
-    if form == "csv":
-        df, header = _csv(r, titles, temporal)
-        put(header)
-        for line in _lines(df):
-            put(line + "\r\n")
-            count += 1
-    else:
-        put("[" if form == "json" else '{"features": [')
-        for line in _lines(_json(r) if form == "json" else _geojson(r)):
-            put((", " if count else "") + line)
-            count += 1
-        put("]" if form == "json" else '], "type": "FeatureCollection"}')
-    return count, put.size, put.hash.hexdigest()
+    """One file of a resource, written by tasks; rows, bytes, md5."""
+    with Parts(r.df.sparkSession) as parts:
+        if form == "csv":
+            df, header = _csv(r, titles, temporal)
+            parts.text(header)
+            count = parts.lines(df)
+        else:
+            parts.text("[" if form == "json" else '{"features": [')
+            count = parts.lines(_json(r) if form == "json" else _geojson(r), ", ")
+            parts.text("]" if form == "json" else '], "type": "FeatureCollection"}')
+        return count, *parts.join(out)
 
 
 def _write_book(r: Resource, out: Any, titles: bool, temporal: str | None, options: dict, place: Any, path: str) -> tuple[int, int, str]:

@@ -3,6 +3,7 @@
 import csv
 import datetime as dt
 import decimal
+import hashlib
 import importlib
 import io
 import json
@@ -277,3 +278,39 @@ def test_streams_of_handles_and_over_their_own_source(spark, tmp_path):
     assert out.getvalue() == path.read_text(encoding="utf-8")
     change = lambda row: {**row, "n": (row["n"] or 0) + 1}
     assert [r["n"] for r in rows(m.unstream(path), change, m.stream(path))] == [2, 1] == [r["n"] for r in rows(m.unstream(path))]
+
+
+def test_text_sinks_leave_rows_to_tasks(spark, tmp_path, no_rows_to_driver):
+    """Whole files in order, with the counts, whatever the partitions; a line break within a text stays."""
+    df = spark.range(1000, numPartitions=7).filter("id < 300 OR id >= 600").select("id", F.concat(F.lit('é"\n'), "id").alias("s"))
+    wanted = [{"id": i, "s": f'é"\n{i}'} for i in range(1000) if not 300 <= i < 600]
+    read = {
+        "csv": lambda text: [{"id": int(a), "s": b} for a, b in list(csv.reader(io.StringIO(text, newline="")))[1:]],
+        "json": json.loads,
+        "geojson": lambda text: [x["properties"] for x in json.loads(text)["features"]],
+    }
+    for form, parse in read.items():
+        _, stats = m.Flow(m.load(df, name="a"), m.load(df.limit(0), name="b"), m.dump_to_path(str(tmp_path / form), format=form)).process()
+        data = [(tmp_path / form / f"{n}.{form}").read_bytes() for n in "ab"]
+        described = json.loads((tmp_path / form / "datapackage.json").read_text())["resources"]
+        assert [parse(x.decode()) for x in data] == [wanted, []]
+        assert [(x["count_of_rows"], x["bytes"], x["hash"]) for x in described] == [(n, len(x), hashlib.md5(x).hexdigest()) for n, x in zip((700, 0), data, strict=True)]
+        assert stats["count_of_rows"] == 700 and len(list((tmp_path / form).iterdir())) == 3
+    m.Flow(m.load(df, name="a"), m.dump_to_zip(str(tmp_path / "z.zip"))).process()
+    with zipfile.ZipFile(tmp_path / "z.zip") as z:
+        assert z.read("a.csv") == (tmp_path / "csv" / "a.csv").read_bytes()
+
+
+def test_sinks_where_tasks_share_no_folder(spark, tmp_path, monkeypatch):
+    """The same files by the driver's hand."""
+    m.Flow(DATA, m.dump_to_path(str(tmp_path / "a")), m.stream(tmp_path / "a.ndjson")).process()
+    parts = importlib.import_module("millrace.sources.parts")
+    monkeypatch.setattr(parts, "in_reach", lambda *_: False)
+    monkeypatch.setattr(STREAM, "in_reach", lambda *_: False)
+    m.Flow(DATA, m.dump_to_path(str(tmp_path / "b")), m.stream(tmp_path / "b.ndjson")).process()
+    for module in (parts, STREAM):
+        monkeypatch.setattr(module, "shared_path", lambda _: None)
+    m.Flow(DATA, m.dump_to_path(str(tmp_path / "c")), m.stream(tmp_path / "c.ndjson")).process()
+    for x in "bc":
+        assert (tmp_path / x / "res_1.csv").read_bytes() == (tmp_path / "a" / "res_1.csv").read_bytes() and (tmp_path / f"{x}.ndjson").read_bytes() == (tmp_path / "a.ndjson").read_bytes()
+        assert rows(m.unstream(tmp_path / f"{x}.ndjson")) == DATA
