@@ -314,3 +314,11 @@ def test_sinks_where_tasks_share_no_folder(spark, tmp_path, monkeypatch):
     for x in "bc":
         assert (tmp_path / x / "res_1.csv").read_bytes() == (tmp_path / "a" / "res_1.csv").read_bytes() and (tmp_path / f"{x}.ndjson").read_bytes() == (tmp_path / "a.ndjson").read_bytes()
         assert rows(m.unstream(tmp_path / f"{x}.ndjson")) == DATA
+
+
+def test_temporal_formats_leave_rows_to_tasks(spark, tmp_path, no_rows_to_driver):
+    df = spark.range(500, numPartitions=5).select(F.date_add(F.lit("2020-01-01").cast("date"), F.col("id").cast("int")).alias("d"))
+    m.Flow(m.load(df, name="a"), m.set_type("d", shown="%d/%m/%Y"), m.dump_to_path(str(tmp_path), temporal_format_property="shown")).process()
+    days = [dt.date(2020, 1, 1) + dt.timedelta(days=i) for i in range(500)]
+    assert (tmp_path / "a.csv").read_bytes().decode().split("\r\n") == ["d", *[f"{d:%d/%m/%Y}" for d in days], ""]
+    assert json.loads((tmp_path / "datapackage.json").read_text())["resources"][0]["schema"]["fields"][0]["format"] == "%d/%m/%Y"
